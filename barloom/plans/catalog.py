@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from barloom.plans import core
+from barloom.plans import core, evidence
 
-QUERIES = {**core.QUERIES}
+QUERIES = {**core.QUERIES, **evidence.QUERIES}

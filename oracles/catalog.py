@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import core
+from oracles import core, evidence
 
-SQL = {**core.SQL}
+SQL = {**core.SQL, **evidence.SQL}
