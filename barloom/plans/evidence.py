@@ -55,13 +55,13 @@ def evidence(
 
 
 def perturbation_scores(
-    bars: DataFrame, specs: DataFrame, samples: int = 20, seed: int = 0
+    bars: DataFrame, specs: DataFrame, samples: int = 20, seed: int = 0, key: str = "strategy_id"
 ) -> DataFrame:
     """RB6: OOS Sharpe of sampled neighbours; equal variants are evaluated once.
 
     Only the test slice is evaluated, since the score reads nothing else.
     """
-    variants = sweeps.sampled_variants(specs, samples, seed, (sweeps.PERIOD, sweeps.THRESHOLD))
+    variants = sweeps.sampled_variants(specs, samples, seed, (sweeps.PERIOD, sweeps.THRESHOLD), key)
     names = variants.select(F.col("parent_id"), "sample", "strategy_id")
     distinct = variants.dropDuplicates(["strategy_id"])
     test = splits.default_windows(bars).where(F.col("segment") == "test")
@@ -175,7 +175,7 @@ def regimes(spark: SparkSession, sf: str) -> DataFrame:
 
 def perturbations(spark: SparkSession, sf: str) -> DataFrame:
     specs = spec_table(spark, [{**r, "universe": PRIORITIES} for r in DEMO])
-    p = perturbation_scores(src.bars_priority(spark, sf), specs, samples=20, seed=1)
+    p = perturbation_scores(src.bars_priority(spark, sf), specs, samples=20, seed=1, key="name")
     named = p.join(specs.select("strategy_id", "name"), "strategy_id")
     return named.select(
         F.col("name").alias("strategy_id"), "symbol", "pert_samples", r6("pert_pass_rate").alias("pert_pass_rate"),
@@ -211,7 +211,7 @@ def candidate_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """GT8: the full evidence chain with perturbations on the priority series."""
     bars = src.bars_priority(spark, sf)
     specs = spec_table(spark, [{**r, "universe": PRIORITIES} for r in DEMO])
-    pert = perturbation_scores(bars, specs, samples=20, seed=1)
+    pert = perturbation_scores(bars, specs, samples=20, seed=1, key="name")
     e = evidence(bars, ev.from_table(specs), seed=1, simulations=500, perturbations=pert)
     g = gates.promotion(e).join(specs.select("strategy_id", "name"), "strategy_id")
     return g.select(

@@ -315,3 +315,58 @@ part("sup_ev", f"SELECT *, {_text} AS why, {_text} = '' AS promoted FROM sup_ev0
 SQL["promotion_gate"] = with_parts(
     f"SELECT {CAND}, {r6('oos_sharpe')} AS oos_sharpe, {r6('oos_drawdown')} AS oos_drawdown, wf_passed, {r6('mc_pass_rate')} AS mc_pass_rate, {r6('rob_ratio')} AS rob_ratio, "
     "CASE WHEN promoted THEN 'paper' ELSE 'research' END AS stage, promoted AS promotion_eligible, why AS reasons FROM sup_ev")
+
+
+# --- perturbations: the same draws, the variants spelled out ---------------------------------
+def perturbation_parts(seed: int = 1, samples: int = 20) -> None:
+    base = {
+        "sma_5_20": [("sma", 5), ("sma", 20)], "sma_10_30": [("sma", 10), ("sma", 30)],
+        "ema_10_30": [("ema", 10), ("ema", 30)], "rsi_14": [("rsi", 14)], "revert_20": [("sma", 20)],
+    }
+    edits, signals = [], []
+    for name, inds in base.items():
+        n = 0
+        for i, (k, p) in enumerate(inds):
+            for q in GRID:
+                if q == p:
+                    continue
+                v = inds[:i] + [(k, q)] + inds[i + 1:]
+                label = name + ":" + ",".join(str(x) for _, x in v)
+                edits.append(f"('{name}', 0, {n}, '{label}')")
+                n += 1
+                en, ex = sweep_rule(name, [f"{a}{b}" for a, b in v])
+                signals.append(
+                    f"SELECT '{label}' AS strategy_id, symbol, ts, close, 0.25E0 AS max_position, COALESCE({en}, FALSE) AS entry, COALESCE({ex}, FALSE) AS exit FROM pt_wide")
+    part("pt_edits", "SELECT * FROM (VALUES " + ", ".join(edits) + ") t(name, op, edit, label)")
+    names = ", ".join(f"('{n}', {2 if n == 'rsi_14' else 1}, {len(i) * 7 - sum(p in GRID for _, p in i)})" for n, i in base.items())
+    md5 = lambda tail: f"CAST('0x' || SUBSTR(MD5('{seed}:' || name || ':' || sample || ':{tail}'), 1, 8) AS BIGINT)"
+    part("pt_draw",
+         f"SELECT name, sample, {md5('op')} % n_ops AS op, CASE WHEN {md5('op')} % n_ops = 1 THEN 0 ELSE {md5('edit')} % n_edits END AS edit, "
+         f"0.9E0 + 0.2E0 * {md5('factor')} / 4294967296.0E0 AS factor "
+         f"FROM (VALUES {names}) t(name, n_ops, n_edits), (SELECT UNNEST(RANGE(0, {samples})) AS sample)")
+    part("pt_pick",
+         "SELECT d.name, d.sample, d.factor, d.op, COALESCE(e.label, d.name || ':threshold:' || d.sample) AS label "
+         "FROM pt_draw d LEFT JOIN pt_edits e ON e.name = d.name AND e.op = d.op AND e.edit = d.edit")
+    part("pt_test", "SELECT symbol, ts, close FROM pri_seg WHERE segment = 'test'")
+    wide_parts("pt", "pt_test", "symbol")
+    signals.append(
+        "SELECT p.label AS strategy_id, w.symbol, w.ts, w.close, 0.25E0 AS max_position, COALESCE(w.rsi14 > 50.0E0 * p.factor, FALSE) AS entry, "
+        "COALESCE(w.rsi14 < 45, FALSE) AS exit FROM pt_wide w, pt_pick p WHERE p.op = 1")
+    part("pt_flags", " UNION ALL ".join(signals))
+    part("pt_sig", f"SELECT strategy_id, symbol, ts, close, max_position, {hold_sql('entry', 'exit', CAND)} AS signal FROM pt_flags")
+    backtest_parts("pt", "pt_sig", CAND)
+    part("pert",
+         "SELECT p.name AS strategy_id, s.symbol, COUNT(*) AS pert_samples, AVG(CASE WHEN s.sharpe >= 0 THEN 1.0E0 ELSE 0.0E0 END) AS pert_pass_rate, "
+         "MIN(s.sharpe) AS pert_worst, MEDIAN(s.sharpe) AS pert_median FROM pt_pick p JOIN pt_s s ON s.strategy_id = p.label GROUP BY 1, 2")
+
+
+perturbation_parts()
+SQL["perturbations"] = with_parts(
+    f"SELECT {CAND}, pert_samples, " + ", ".join(f"{r6(c)} AS {c}" for c in ("pert_pass_rate", "pert_worst", "pert_median")) + " FROM pert")
+_sel, _text = gate("ps", "sc_pri", True)
+part("pri_ev0", _sel)
+part("pri_ev", f"SELECT *, {_text} AS why, {_text} = '' AS promoted FROM pri_ev0")
+SQL["candidate_evidence"] = with_parts(
+    f"SELECT {CAND}, " + ", ".join(f"{r6(c)} AS {c}" for c in ("oos_return", "oos_sharpe", "oos_drawdown", "mc_pass_rate", "mc_lower", "pert_pass_rate", "rob_ratio"))
+    + f", {r6('regime_score * 1000.0E0')} AS regime_score, wf_passed, rob_reasons = '' AS rob_passed, "
+    "CASE WHEN promoted THEN 'paper' ELSE 'research' END AS stage, promoted AS promotion_eligible, why AS reasons FROM pri_ev")
