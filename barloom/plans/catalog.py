@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from barloom.plans import core, evidence
+from barloom.plans import core, evidence, portfolios, selection
 
-QUERIES = {**core.QUERIES, **evidence.QUERIES}
+QUERIES = {**core.QUERIES, **evidence.QUERIES, **selection.QUERIES, **portfolios.QUERIES}

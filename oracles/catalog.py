@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import core, evidence
+from oracles import core, evidence, portfolios, selection
 
-SQL = {**core.SQL, **evidence.SQL}
+SQL = {**core.SQL, **evidence.SQL, **selection.SQL, **portfolios.SQL}
