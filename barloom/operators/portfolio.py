@@ -31,7 +31,7 @@ def aligned(returns: DataFrame) -> DataFrame:
     return returns.join(good, [G, "ts"], "left_semi")
 
 
-def moments(returns: DataFrame, blocks: int = 1, ts_blocks: int = 4) -> DataFrame:
+def moments(returns: DataFrame, blocks: int = 1, ts_blocks: int = 1) -> DataFrame:
     """PF2, PF3: covariance and correlation of every strategy pair of aligned returns.
 
     Block tiles multiply matrices of (timestamps x strategies): a return is copied once per
@@ -131,6 +131,7 @@ def select_diversified(
         raise ValueError("max_average_correlation must be between 0 and 1")
     if min_history < 2:
         raise ValueError("min_history must be at least 2")
+    returns = cut(returns)
     good = aligned(returns)
     history = good.groupBy(G).agg(F.count_distinct("ts").alias("n_ts")).where(F.col("n_ts") >= min_history)
     good = cut(good.join(history.select(G), G, "left_semi"))
@@ -142,10 +143,10 @@ def select_diversified(
         open_ = state.withColumn("_last", last).where(
             F.col("pos").isNull() & (F.col("rank") > F.col("_last")) & fits
         )
-        picks = cut(open_.groupBy(G).agg(F.min_by("strategy_id", "rank").alias("pick")))
-        if picks.isEmpty():
-            break
+        picks = open_.groupBy(G).agg(F.min_by("strategy_id", "rank").alias("pick"))
         state = _advance(state, picks, good, step, ["rank"])
+        if state.where(F.col("pos") == step).isEmpty():
+            break
     return state.select(
         G, "strategy_id", "rank", F.col("pos").isNotNull().alias("selected"), "pos",
         F.when(F.col("pos").isNotNull(), F.col("pos_sum")).alias("pos_sum"),
@@ -172,6 +173,7 @@ def select_survivors(
     """
     ok = F.col("eligible") & finite("fitness")
     keep = ["fitness", "robustness"]
+    returns = cut(returns)
     good = cut(aligned(returns.join(candidates.where(ok).select(G, "strategy_id"), [G, "strategy_id"], "left_semi")))
     state = cut(_state(candidates.where(ok), keep))
     for step in range(1, survivors + 1):
@@ -179,12 +181,10 @@ def select_survivors(
         score = final_score(F.col("fitness"), F.col("robustness"), div, weights)
         open_ = state.where(F.col("pos").isNull()).withColumn("_s", score)
         best = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("_s"), F.desc("fitness"), "strategy_id"))
-        picks = cut(
-            open_.withColumn("_rn", best).where("_rn = 1").select(G, F.col("strategy_id").alias("pick"))
-        )
-        if picks.isEmpty():
-            break
+        picks = open_.withColumn("_rn", best).where("_rn = 1").select(G, F.col("strategy_id").alias("pick"))
         state = _advance(state, picks, good, step, keep)
+        if state.where(F.col("pos") == step).isEmpty():
+            break
     taken = state.where(F.col("pos").isNotNull()).select(G, "strategy_id", "pos")
     rest = candidates.join(taken, [G, "strategy_id"], "left_anti").join(
         taken.groupBy(G).agg(F.max("pos").alias("used")), G, "left"

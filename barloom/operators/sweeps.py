@@ -252,12 +252,14 @@ def evolve(
     gen = lineage.select("strategy_id", "generation")
     slots = target - elite
     crossed_slots = roll_count(seed, slots, crossover_rate) if mutation_rate > 0 else slots
-    mutated = sampled_variants(parents, 4 * max(1, slots), seed)
+    # about four draws per open slot, shared out over the parents
+    per_parent = 4 + 4 * slots // max(1, parents.count())
+    mutated = sampled_variants(parents, per_parent, seed)
     mutated = mutated.join(gen.withColumnRenamed("strategy_id", "parent_id"), "parent_id").select(
         "strategy_id", *SPEC_FIELDS, (F.col("generation") + 1).alias("generation"),
         F.array("parent_id").alias("parent_ids"), "operator",
     )
-    pairs = hash_pairs(parents, seed, rounds=4 * max(1, slots))
+    pairs = hash_pairs(parents, seed, rounds=per_parent)
     crossed = crossover(pairs, parents, seed)
     crossed = (
         crossed.join(gen.select(F.col("strategy_id").alias("a_id"), F.col("generation").alias("ga")), "a_id")

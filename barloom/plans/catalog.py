@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from barloom.plans import core, evidence, portfolios, selection
+from barloom.plans import core, evidence, paper, portfolios, selection
 
-QUERIES = {**core.QUERIES, **evidence.QUERIES, **selection.QUERIES, **portfolios.QUERIES}
+QUERIES = {**core.QUERIES, **evidence.QUERIES, **selection.QUERIES, **portfolios.QUERIES, **paper.QUERIES}

@@ -10,6 +10,7 @@ from barloom.operators import backtest as bt
 from barloom.operators import evaluation as ev
 from barloom.operators import gates, metrics
 from barloom.operators.specs import demo_records, with_strategy_id
+from barloom.session import cut
 from barloom.sources import bars as src
 from barloom.sources.schemas import SPEC_BODY
 
@@ -85,6 +86,11 @@ def strategy_returns(spark: SparkSession, sf: str) -> DataFrame:
     return b.select(F.col("symbol").alias("portfolio_id"), "strategy_id", "ts", F.col("net_ret").alias("r"))
 
 
+def saved_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """Strategy returns written once, for plans that read them several times."""
+    return cut(strategy_returns(spark, sf))
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence columns of every (strategy, supplier) from one aggregate over back-test rows.
 

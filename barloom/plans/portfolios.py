@@ -13,24 +13,24 @@ G = pf.G
 
 
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    m = pf.moments(pf.aligned(fx.strategy_returns(spark, sf)), blocks=2)
+    m = pf.moments(pf.aligned(fx.saved_returns(spark, sf)), blocks=1)
     return m.select(G, "a", "b", "n", r6(F.col("cov") * 1e6).alias("cov_ppm"), r6("corr").alias("corr"))
 
 
 def inv_vol_weights(spark: SparkSession, sf: str) -> DataFrame:
-    w = pf.inverse_volatility(fx.strategy_returns(spark, sf), minimum=0.02, maximum=0.24)
+    w = pf.inverse_volatility(fx.saved_returns(spark, sf), minimum=0.02, maximum=0.24)
     return w.select(G, "strategy_id", r6("weight").alias("weight"), r6("est_vol").alias("est_vol"))
 
 
 def portfolio_volatility(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.strategy_returns(spark, sf)
+    r = fx.saved_returns(spark, sf)
     v = pf.portfolio_volatility(r, pf.inverse_volatility(r))
     return v.select(G, r6(F.col("volatility") * 1e3).alias("volatility_permille"))
 
 
-def selection(spark: SparkSession, sf: str) -> DataFrame:
+def selection(spark: SparkSession, sf: str, returns: DataFrame | None = None) -> DataFrame:
     return pf.select_diversified(
-        fx.strategy_returns(spark, sf), fx.ranked_members(spark, sf), max_strategies=4, max_average_correlation=0.35
+        returns or fx.strategy_returns(spark, sf), fx.ranked_members(spark, sf), max_strategies=4, max_average_correlation=0.35
     )
 
 
@@ -49,7 +49,8 @@ def survivors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def risk_admission(spark: SparkSession, sf: str) -> DataFrame:
-    return pf.risk_prefix(fx.strategy_returns(spark, sf), selection(spark, sf), max_volatility=0.0006)
+    r = fx.saved_returns(spark, sf)
+    return pf.risk_prefix(r, selection(spark, sf, r), max_volatility=0.0006)
 
 
 def risk_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +62,7 @@ def risk_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attributed(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.strategy_returns(spark, sf)
+    r = fx.saved_returns(spark, sf)
     return pf.attribution(r, pf.inverse_volatility(r, maximum=0.5))
 
 
@@ -82,8 +83,9 @@ def portfolio_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def portfolio_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    s = selection(spark, sf)
-    f = pf.portfolio_feedback(s, pf.risk_prefix(fx.strategy_returns(spark, sf), s, max_volatility=0.0006))
+    r = fx.saved_returns(spark, sf)
+    s = selection(spark, sf, r)
+    f = pf.portfolio_feedback(s, pf.risk_prefix(r, s, max_volatility=0.0006))
     return f.select(
         G, "strategy_id", "reason", "robustness", r6("novelty").alias("novelty"),
         r6("uncertainty").alias("uncertainty"), "capacity_gap",

@@ -9,6 +9,7 @@ from barloom.operators import gates, ranking, sweeps
 from barloom.operators.specs import spec_problems, with_strategy_id
 from barloom.plans import fixtures as fx
 from barloom.plans.core import r6
+from barloom.session import cut
 from barloom.sources import bars as src
 from barloom.sources.schemas import SPEC_FIELDS
 
@@ -120,7 +121,7 @@ def with_objectives(df: DataFrame) -> DataFrame:
 
 
 def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
-    s = with_objectives(fx.scores(spark, sf))
+    s = cut(with_objectives(fx.scores(spark, sf)))
     return ranking.pareto_front(s, OBJECTIVES).select("candidate_id", r6("fitness").alias("fitness"))
 
 
@@ -135,7 +136,7 @@ def part_pareto(spark: SparkSession, sf: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf: str) -> DataFrame:
     """GT5: promotion-ready experiments, the best 50."""
-    e = gates.experiment_rows(fx.gated(spark, sf), "bars_supplier", "v1", 3, key=("candidate_id",))
+    e = cut(gates.experiment_rows(fx.gated(spark, sf), "bars_supplier", "v1", 3, key=("candidate_id",)))
     top = gates.catalog(e.drop("evidence"), e.select("experiment_id", "evidence"), limit=50)
     return top.select("candidate_id", "dataset_id", r6("score").alias("score"))
 
@@ -156,7 +157,7 @@ def selection_eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 def selected_population(spark: SparkSession, sf: str) -> DataFrame:
     """RK7 without the diversity step: the Pareto front first, then by rank, 60 candidates."""
-    s = with_objectives(fx.scores(spark, sf).where(F.col("fitness") > -3))
+    s = cut(with_objectives(fx.scores(spark, sf).where(F.col("fitness") > -3)))
     p = ranking.select_population(s, None, 60, preserve_diversity=False, objectives=OBJECTIVES)
     return p.select("candidate_id", F.col("tier").cast("bigint").alias("tier"))
 

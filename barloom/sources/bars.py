@@ -1,10 +1,11 @@
 """Bars from files, from request lists and from the warehouse tables.
 
-Bars derived from row-level tables are built with ``min_by``/``max_by`` on an
-ordering struct.  Both combine on the map side, so a supplier that owns a third
-of all line items costs one partial row per task and day, not one giant sort.
-A derived series then has at most one row per symbol and calendar step, which
-bounds every later per-series window by the calendar and not by the source.
+Bars derived from row-level tables are built with ``min_by``/``max_by`` on one
+number that packs the order of the rows inside a bar.  A number, unlike a struct,
+keeps the aggregation hash based and combines on the map side, so a supplier that
+owns a third of all line items costs one partial row per task and day.  A derived
+series then has at most one row per symbol and calendar step, which bounds every
+later per-series window by the calendar and not by the source.
 """
 
 from __future__ import annotations
@@ -19,14 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ohlcv(rows: DataFrame, symbol: Column, ts: Column, price: Column, quantity: Column, *order: str) -> DataFrame:
-    """Fold row-level prices to one bar per (symbol, ts); ``order`` ranks rows inside a bar."""
+def packed(*parts: tuple[Column, int]) -> Column:
+    """One decimal that orders like the tuple of non-negative integers; each part has a digit budget.
+
+    A value beyond its budget raises an overflow error instead of mixing up the order.
+    """
+    total = sum(digits for _, digits in parts)
+    if total > 38:
+        raise ValueError("at most 38 digits can be packed")
+    out, below = None, total
+    for value, digits in parts:
+        below -= digits
+        term = value.cast(f"decimal({digits},0)") * F.lit(f"1e{below}").cast(f"decimal({below + 1},0)")
+        out = term if out is None else out + term
+    return out.cast("decimal(38,0)")
+
+
+def ohlcv(rows: DataFrame, symbol: Column, ts: Column, price: Column, quantity: Column, position: Column) -> DataFrame:
+    """Fold row-level prices to one bar per (symbol, ts); ``position`` orders rows inside a bar."""
     staged = rows.select(
-        symbol.alias("symbol"),
-        ts.alias("ts"),
-        price.alias("px"),
-        quantity.alias("qty"),
-        F.struct(*[F.col(c) for c in order]).alias("pos"),
+        symbol.alias("symbol"), ts.alias("ts"), price.alias("px"), quantity.alias("qty"), position.alias("pos")
     )
     return staged.groupBy("symbol", "ts").agg(
         F.min_by("px", "pos").alias("open"),
@@ -38,14 +51,18 @@ def ohlcv(rows: DataFrame, symbol: Column, ts: Column, price: Column, quantity:
 
 
 def bars_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per supplier from line items."""
+    """Daily bars per supplier from line items, ordered inside a day by order, line, part and price."""
     return ohlcv(
         table(spark, sf_dir, "lineitem"),
         F.col("l_suppkey").cast("string"),
         F.col("l_shipdate"),
         F.lit(100.0) + F.col("l_extendedprice") / F.lit(50000.0),
         F.col("l_quantity"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+        packed(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber"), 16),
+            (F.col("l_partkey"), 12),
+            (F.round(F.col("l_extendedprice") * 100).cast("bigint"), 10),
+        ),
     )
 
 
@@ -57,19 +74,19 @@ def bars_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate"),
         F.lit(100.0) + F.col("o_totalprice") / F.lit(100000.0),
         F.lit(1.0),
-        "o_orderkey",
+        F.col("o_orderkey"),
     )
 
 
 def bars_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly bars per event type."""
+    """Hourly bars per event type, ordered inside an hour by time and id."""
     return ohlcv(
         table(spark, sf_dir, "events"),
         F.col("event_type"),
         F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz"),
         F.lit(100.0) + F.col("value") / F.lit(100.0),
         F.lit(1.0),
-        "ts", "event_id",
+        packed((F.unix_micros(F.col("ts").cast("timestamp")), 18), (F.col("event_id"), 19)),
     )
 
 
