@@ -1,5 +1,5 @@
 """All registered queries."""
 
-from barloom.plans import core, evidence, paper, portfolios, selection
+from barloom.plans import core, evidence, paper, portfolios, records, research, selection
 
-QUERIES = {**core.QUERIES, **evidence.QUERIES, **selection.QUERIES, **portfolios.QUERIES, **paper.QUERIES}
+QUERIES = {**core.QUERIES, **evidence.QUERIES, **selection.QUERIES, **portfolios.QUERIES, **paper.QUERIES, **research.QUERIES, **records.QUERIES}

@@ -1,5 +1,5 @@
 """All SQL twins."""
 
-from oracles import core, evidence, paper, portfolios, selection
+from oracles import core, evidence, paper, portfolios, records, research, selection
 
-SQL = {**core.SQL, **evidence.SQL, **selection.SQL, **portfolios.SQL, **paper.SQL}
+SQL = {**core.SQL, **evidence.SQL, **selection.SQL, **portfolios.SQL, **paper.SQL, **research.SQL, **records.SQL}
