@@ -26,7 +26,11 @@ def from_table(specs: DataFrame) -> Signals:
     return lambda df, keys: rules.table_signals(df, specs, keys)
 
 
-def held(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
+def held(flags: DataFrame, keys: Sequence[str], spread: bool = True) -> DataFrame:
+    """Hold state per run.  ``spread`` shuffles the narrow flag rows on the run keys first: without
+    it all strategies of a symbol would stay in the task that computed its indicators."""
+    if spread:
+        flags = flags.repartition(int(flags.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     return flags.withColumn("signal", rules.hold_state("entry", "exit", keys)).drop("entry", "exit")
 
 

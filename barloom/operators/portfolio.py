@@ -7,12 +7,14 @@ Portfolio volatility and risk shares use the identities  w'Cw = var(sum w r)  an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import longseries as ls
 from barloom.functions.columns import clip01, finite, ratio, reasons, whole
 from barloom.functions.scale import tiles
 from barloom.operators.ranking import diversity_from, final_score
@@ -31,13 +33,20 @@ def aligned(returns: DataFrame) -> DataFrame:
     return returns.join(good, [G, "ts"], "left_semi")
 
 
-def moments(returns: DataFrame, blocks: int = 1, ts_blocks: int = 1) -> DataFrame:
+def moments(returns: DataFrame, blocks: int | None = None, ts_blocks: int | None = None) -> DataFrame:
     """PF2, PF3: covariance and correlation of every strategy pair of aligned returns.
 
     Block tiles multiply matrices of (timestamps x strategies): a return is copied once per
     strategy block, not once per partner, and partial products add up over timestamp blocks.
-    Returns are centred first, so the sums do not cancel.
+    Returns are centred first, so the sums do not cancel.  Block counts follow from the largest
+    portfolio unless given: a tile holds at most about 512 x 512 strategies and 4096 timestamps.
     """
+    if blocks is None or ts_blocks is None:
+        top = returns.groupBy(G, "strategy_id").agg(F.count(F.lit(1)).alias("t")).groupBy(G).agg(
+            F.count(F.lit(1)).alias("n"), F.max("t").alias("t")
+        ).agg(F.max("n").alias("n"), F.max("t").alias("t")).first()
+        blocks = blocks or max(1, math.ceil((top["n"] or 1) / 512))
+        ts_blocks = ts_blocks or max(1, math.ceil((top["t"] or 1) / 4096))
     centred = returns.withColumn(
         "x", F.col("r") - F.avg("r").over(Window.partitionBy(G, "strategy_id"))
     ).withColumn("tb", F.pmod(F.xxhash64("ts"), F.lit(ts_blocks)).cast("int"))
@@ -180,8 +189,8 @@ def select_survivors(
         div = diversity_from(F.col("pos_sum"), F.col("n_corr"), F.lit(step > 1))
         score = final_score(F.col("fitness"), F.col("robustness"), div, weights)
         open_ = state.where(F.col("pos").isNull()).withColumn("_s", score)
-        best = F.row_number().over(Window.partitionBy(G).orderBy(F.desc("_s"), F.desc("fitness"), "strategy_id"))
-        picks = open_.withColumn("_rn", best).where("_rn = 1").select(G, F.col("strategy_id").alias("pick"))
+        first = F.struct(-F.col("_s"), -F.col("fitness"), F.col("strategy_id"))
+        picks = open_.groupBy(G).agg(F.min_by("strategy_id", first).alias("pick"))
         state = _advance(state, picks, good, step, keep)
         if state.where(F.col("pos") == step).isEmpty():
             break
@@ -189,8 +198,11 @@ def select_survivors(
     rest = candidates.join(taken, [G, "strategy_id"], "left_anti").join(
         taken.groupBy(G).agg(F.max("pos").alias("used")), G, "left"
     )
-    n = F.row_number().over(Window.partitionBy(G).orderBy("strategy_id")) + F.coalesce("used", F.lit(0))
-    fill = rest.withColumn("pos", n.cast("int")).where(F.col("pos") <= survivors).select(G, "strategy_id", "pos")
+    # the rank filter lets Spark keep the first rows per partition before the shuffle
+    n = F.row_number().over(Window.partitionBy(G).orderBy("strategy_id"))
+    fill = rest.withColumn("_n", n).where(F.col("_n") <= survivors).withColumn(
+        "pos", (F.col("_n") + F.coalesce("used", F.lit(0))).cast("int")
+    ).where(F.col("pos") <= survivors).select(G, "strategy_id", "pos")
     return taken.withColumn("fallback", F.lit(False)).unionByName(fill.withColumn("fallback", F.lit(True)))
 
 
@@ -356,12 +368,10 @@ def portfolio_feedback(selection: DataFrame, admission: DataFrame) -> DataFrame:
     )
 
 
-def health_history(history: DataFrame) -> DataFrame:
+def health_history(history: DataFrame, width: int = 100_000) -> DataFrame:
     """PF12: rows whose generation does not increase in append order (``seq``)."""
-    w = Window.partitionBy(G).orderBy("seq")
-    return history.withColumn("prev_generation", F.lag("generation").over(w)).where(
-        F.col("generation") <= F.col("prev_generation")
-    )
+    df = ls.previous(ls.with_bucket(history, F.col("seq"), width), [G], ["seq"], ["generation"])
+    return df.where(F.col("generation") <= F.col("prev_generation")).drop(ls.BUCKET)
 
 
 def latest_health(history: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.columns import finite, series
+from barloom.functions import longseries as ls
+from barloom.functions.columns import finite, reasons
 from barloom.sources.schemas import BAR_COLUMNS
 
 
@@ -70,8 +71,6 @@ def dq_report(bars: DataFrame) -> DataFrame:
 
 def dq_failures(report: DataFrame) -> DataFrame:
     """Symbols whose report breaks a rule, with the rule's message."""
-    from barloom.functions.columns import reasons
-
     r = reasons(
         (F.col("duplicate_ts") > 0, "market data index must not contain duplicates"),
         (F.col("not_finite") > 0, "market data contains non-finite values"),
@@ -96,10 +95,13 @@ def require_valid(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", *BAR_COLUMNS)
 
 
-def out_of_order(rows: DataFrame, position: str = "ingest_pos") -> DataFrame:
-    """DQ3: rows whose timestamp is before the one ingested just earlier."""
-    w = series(["symbol"], position)
-    return rows.withColumn("prev_ts", F.lag("ts").over(w)).where(F.col("ts") < F.col("prev_ts"))
+def out_of_order(rows: DataFrame, position: str = "ingest_pos", width: int = 100_000) -> DataFrame:
+    """DQ3: rows whose timestamp is before the one ingested just earlier.
+
+    Ingested rows are not bars yet, so nothing bounds a symbol: the lag runs over buckets.
+    """
+    df = ls.previous(ls.with_bucket(rows, F.col(position), width), ["symbol"], [position], ["ts"])
+    return df.where(F.col("ts") < F.col("prev_ts")).drop(ls.BUCKET)
 
 
 def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -113,7 +115,8 @@ def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def ragged_timestamps(bars: DataFrame, key: str = "symbol") -> DataFrame:
     """DQ13: timestamps that some series lack.  One row of totals is joined back."""
-    total = bars.agg(F.count_distinct(key).alias("n_series"))
+    total = bars.agg(F.count_distinct(key).alias("n_series")).withColumn("_one", F.lit(1))
     per_ts = bars.select("ts", key).distinct().groupBy("ts").agg(F.count(F.lit(1)).alias("n"))
     # The right side is a single aggregate row, so its size is proven.
-    return per_ts.join(F.broadcast(total), F.col("n") < F.col("n_series")).select("ts", "n", "n_series")
+    both = per_ts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    return both.where(F.col("n") < F.col("n_series")).select("ts", "n", "n_series")

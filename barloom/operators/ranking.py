@@ -90,11 +90,14 @@ def mean_distance(specs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def distance_extremes(specs: DataFrame, groups: Sequence[str] = (), blocks: int = 1) -> DataFrame:
+def distance_extremes(specs: DataFrame, groups: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
     """Smallest and largest pairwise distance per group, by block tiles; no pair is ever a row.
 
-    ``blocks`` should be about (members of the largest group) / 2048.
+    Unless given, the number of blocks follows from the largest group.
     """
+    if blocks is None:
+        top = specs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
+        blocks = max(1, math.ceil((top["n"] or 1) / BLOCK))
     gene_cols = [f"_g{n}" for n in range(N_FIELDS)]
     genes = specs.select(
         *groups, "strategy_id", *[F.xxhash64(canonical(f)).alias(g) for f, g in zip(SPEC_FIELDS, gene_cols)]

@@ -137,7 +137,7 @@ def generation_metrics(evaluated: DataFrame) -> DataFrame:
 
 
 def generation_history(
-    evaluated: DataFrame, specs: DataFrame, *, epsilon: float = 0.0, blocks: int = 1
+    evaluated: DataFrame, specs: DataFrame, *, epsilon: float = 0.0, blocks: int | None = None
 ) -> DataFrame:
     """RS8: metrics, genome distances, new ids, best id and generations without improvement.
 

@@ -181,6 +181,9 @@ def table_signals(
     operands = [*BAR_COLUMNS, *[column_name(*d) for d in wanted]]
     df = with_indicators(bars, keys, wanted, order).withColumn("_vals", F.array(*operands))
     df = df.withColumn("_prev", F.lag("_vals").over(series(keys, order)))
+    # A rule check needs one bar only: spread a hot symbol by time before the specs multiply it.
+    n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select(*keys, order, *keep, "_vals", "_prev").repartition(n, "symbol", order)
     rules = resolve_conditions(specs, operands).withColumn("symbol", F.explode("universe")).drop("universe")
     return df.join(rules, "symbol").select(
         "strategy_id", *keys, order, *keep,

@@ -214,6 +214,41 @@ def paper_qualification(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ingest_order(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ3 on orders in key order, per priority: one symbol may own most of them."""
+    rows = src.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("ingest_pos")
+    )
+    late = quality.out_of_order(rows, width=1000)
+    return late.select("symbol", "ingest_pos", stamp("ts").alias("ts"), stamp("prev_ts").alias("prev_ts"))
+
+
+def numeric_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ6 on text prices, some of which are not numbers."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 50 == 3, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    rows = src.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), text.alias("open"), text.alias("high"),
+        F.col("o_totalprice").alias("low"), F.when(k % 70 == 1, "").otherwise("1.5").alias("close"), F.lit(1).alias("volume"), "o_custkey",
+    )
+    c = quality.cast_numeric(rows)
+    return c.groupBy("symbol").agg(
+        F.sum("bad_cast").cast("bigint").alias("bad_cast"), F.count("open").alias("opens"), F.max("close").alias("close")
+    )
+
+
+def ragged_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    r = quality.ragged_timestamps(src.bars_event(spark, sf))
+    return r.select(stamp("ts").alias("ts"), "n", "n_series")
+
+
+def key_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ12: customers against the customers that order."""
+    a = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("key")).where("key % 7 <> 1")
+    b = src.table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).where("key % 11 <> 1")
+    return quality.key_mismatch(a, b, "key")
+
+
 QUERIES = {
     "sma_cross_summary": sma_cross_summary,
     "bars_supplier": bars_query(src.bars_supplier),
@@ -221,6 +256,10 @@ QUERIES = {
     "bars_event": bars_query(src.bars_event),
     "dq_report": dq_report,
     "dq_raw_prices": dq_raw_prices,
+    "ingest_order": ingest_order,
+    "numeric_cast": numeric_cast,
+    "ragged_timestamps": ragged_timestamps,
+    "key_mismatch": key_mismatch,
     "rolling_stats": rolling_stats,
     "ema_bars": ema_bars,
     "rsi_bars": rsi_bars,

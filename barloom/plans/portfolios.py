@@ -13,7 +13,7 @@ G = pf.G
 
 
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    m = pf.moments(pf.aligned(fx.saved_returns(spark, sf)), blocks=1)
+    m = pf.moments(pf.aligned(fx.saved_returns(spark, sf)))
     return m.select(G, "a", "b", "n", r6(F.col("cov") * 1e6).alias("cov_ppm"), r6("corr").alias("corr"))
 
 

@@ -271,9 +271,13 @@ def chart_payload(spark: SparkSession, sf: str) -> DataFrame:
     arr = F.sort_array(F.collect_list(F.struct(
         F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"),
         F.when(F.dayofmonth("ts") != 7, F.col("open")).alias("open"), "high", "low", "close", "volume")))
-    quote = F.struct(*[F.transform("a", lambda x, c=c: x[c]).alias(c) for c in src.BAR_COLUMNS])
+
+    def values(name: str):
+        return F.transform("a", lambda x: x[name])
+
+    quote = F.struct(*[values(c).alias(c) for c in src.BAR_COLUMNS])
     doc = F.struct(F.struct(F.array(F.struct(
-        F.transform("a", lambda x: x["t"]).alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart"))
+        values("t").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"))).alias("result")).alias("chart"))
     docs = b.groupBy("symbol").agg(arr.alias("a")).select("symbol", F.to_json(doc).alias("payload"))
     return tidy(payloads.chart_json(docs, start="1996-01-01", end="1999-01-01"))
 
@@ -336,13 +340,14 @@ def company_facts_payload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC8: conversations as feeds, the first two items of each."""
+    """SRC8: conversations as feeds in pages of fifty turns, the first two items of each page."""
     c = src.table(spark, sf, "conversations")
+    page = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 50))
     items = F.transform(
         F.sort_array(F.collect_list(F.struct("turn", "role"))),
         lambda x: F.struct(F.concat(x["role"], F.lit(" "), x["turn"].cast("string")).alias("title"), x["role"].alias("url")),
     )
-    docs = c.groupBy(F.col("conv_id").alias("feed_id")).agg(items.alias("feed")).select(
+    docs = c.groupBy(page.alias("feed_id")).agg(items.alias("feed")).select(
         "feed_id", F.to_json(F.struct("feed")).alias("payload")
     )
     n = payloads.news_feed(docs, 2)

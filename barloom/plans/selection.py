@@ -41,7 +41,7 @@ def genome_novelty(spark: SparkSession, sf: str) -> DataFrame:
 def genome_distances(spark: SparkSession, sf: str) -> DataFrame:
     """RS8 part: mean, smallest and largest distance inside each brand's population."""
     s = fx.part_specs(spark, sf)
-    ext = ranking.distance_extremes(s, ["name"], blocks=2)
+    ext = ranking.distance_extremes(s, ["name"])
     return ranking.mean_distance(s, ["name"]).join(ext, "name").select(
         "name", "members", r6("mean_distance").alias("mean_distance"),
         r6("min_distance").alias("min_distance"), r6("max_distance").alias("max_distance"),

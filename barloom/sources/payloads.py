@@ -143,12 +143,19 @@ def envelope(df: DataFrame, source: str, dataset: str, payload: Column, fetched_
 
 
 def snapshot_manifest(envelopes: DataFrame, group: str) -> DataFrame:
-    """SRC12: one fingerprint per snapshot over the sorted fingerprints of its components.
+    """SRC12: one fingerprint per snapshot over the distinct fingerprints of its components.
 
-    A snapshot has one market envelope and a handful of others, so its list is short by design.
+    Sums and xors of hashes do not depend on order, so a snapshot of any size is a plain aggregate.
     """
-    return envelopes.groupBy(group).agg(
+    h = F.xxhash64("fingerprint")
+    agg = envelopes.select(group, "dataset", "fingerprint").distinct().groupBy(group).agg(
         F.count(F.lit(1)).alias("components"),
         F.sum(F.when(F.col("dataset") == "daily_ohlcv", 1).otherwise(0)).alias("markets"),
-        F.sha2(F.array_join(F.sort_array(F.collect_set("fingerprint")), ","), 256).alias("snapshot_fingerprint"),
-    ).withColumn("valid", F.col("markets") >= 1)
+        F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x"),
+    )
+    return agg.withColumns(
+        {
+            "snapshot_fingerprint": F.sha2(F.concat_ws(":", "components", "_s", "_x"), 256),
+            "valid": F.col("markets") >= 1,
+        }
+    ).drop("_s", "_x")

@@ -169,3 +169,16 @@ part("qual_r",
 SQL["paper_qualification"] = with_parts(
     f"SELECT strategy_id, symbol, observations, {r6('total_return')} AS total_return, "
     "CASE WHEN why = '' THEN 'eligible_for_live_review' ELSE 'reject' END AS decision, why AS reasons FROM qual_r")
+
+SQL["ingest_order"] = (
+    "SELECT symbol, ingest_pos, STRFTIME(ts, '%Y-%m-%d %H:%M:%S') AS ts, STRFTIME(p, '%Y-%m-%d %H:%M:%S') AS prev_ts FROM (SELECT o_orderpriority AS symbol, o_orderkey AS ingest_pos, o_orderdate AS ts, "
+    "LAG(o_orderdate) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS p FROM orders) WHERE ts < p")
+SQL["numeric_cast"] = (
+    "SELECT o_orderpriority AS symbol, CAST(SUM(CASE WHEN o_orderkey % 50 = 3 THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 70 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS bad_cast, "
+    "COUNT(*) FILTER (WHERE o_orderkey % 50 <> 3) AS opens, MAX(CASE WHEN o_orderkey % 70 <> 1 THEN 1.5E0 END) AS close FROM orders GROUP BY 1")
+part("evt_n", "SELECT ts, COUNT(DISTINCT symbol) AS n FROM bars_event GROUP BY 1")
+SQL["ragged_timestamps"] = with_parts(
+    "SELECT STRFTIME(ts, '%Y-%m-%d %H:%M:%S') AS ts, n, (SELECT COUNT(DISTINCT symbol) FROM bars_event) AS n_series FROM evt_n WHERE n < (SELECT COUNT(DISTINCT symbol) FROM bars_event)")
+SQL["key_mismatch"] = (
+    "WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 7 <> 1), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey % 11 <> 1) "
+    "SELECT key, 'right' AS missing_in FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'left' FROM b WHERE key NOT IN (SELECT key FROM a)")

@@ -99,7 +99,7 @@ SQL["macro_payload"] = with_parts(
 SQL["company_facts_payload"] = with_parts(
     "SELECT LPAD(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_name AS entity, 'core' AS taxonomy, 'AccountBalance' AS concept, 'USD' AS unit, s_acctbal AS val, CAST(fy AS BIGINT) AS fy FROM supplier, (VALUES (1998), (1999)) t(fy)")
 SQL["news_payload"] = with_parts(
-    "SELECT conv_id AS feed_id, rn - 1 AS position, role || ' ' || turn AS title FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations) WHERE rn <= 2")
+    "SELECT conv_id || '-' || page AS feed_id, rn - 1 AS position, role || ' ' || turn AS title FROM (SELECT *, turn // 50 AS page, ROW_NUMBER() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn, role) AS rn FROM conversations) WHERE rn <= 2")
 SQL["snapshot_manifests"] = with_parts(
     "SELECT CAST(n_nationkey AS VARCHAR) AS nation, 1 + COUNT(s_suppkey) AS components, COUNT(s_suppkey) > 0 AS valid, TRUE AS has_fingerprint FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 SQL["provenance_assertions"] = with_parts(
