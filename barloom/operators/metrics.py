@@ -15,7 +15,7 @@ PERIODS = 252
 def returns_of(equity: DataFrame, keys: Sequence[str], order: str = "ts") -> DataFrame:
     """W4: simple returns of an equity column, null on the first row."""
     return equity.withColumn(
-        "ret", F.col("equity") / F.lag("equity").over(series(keys, order)) - 1.0
+        "ret", ratio(F.col("equity"), F.lag("equity").over(series(keys, order))) - 1.0
     )
 
 
@@ -119,10 +119,10 @@ def degradation(
     """MT6: health report of equity rows (keys, ts, equity); bad input is its own reason."""
     r = returns_of(equity, keys, order)
     peak = F.max("equity").over(running(keys, order))
-    r = r.withColumn("dd", F.col("equity") / peak - 1.0)
+    r = r.withColumn("dd", ratio(F.col("equity"), peak) - 1.0)
     agg = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
-        (F.max_by("equity", order) / F.min_by("equity", order) - 1.0).alias("total_return"),
+        (ratio(F.max_by("equity", order), F.min_by("equity", order)) - 1.0).alias("total_return"),
         F.min("dd").alias("max_drawdown"),
         F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("volatility"),
         F.bool_and(finite("equity")).alias("is_finite"),

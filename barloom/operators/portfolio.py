@@ -140,7 +140,6 @@ def select_diversified(
         raise ValueError("max_average_correlation must be between 0 and 1")
     if min_history < 2:
         raise ValueError("min_history must be at least 2")
-    returns = cut(returns)
     good = aligned(returns)
     history = good.groupBy(G).agg(F.count_distinct("ts").alias("n_ts")).where(F.col("n_ts") >= min_history)
     good = cut(good.join(history.select(G), G, "left_semi"))
@@ -182,7 +181,6 @@ def select_survivors(
     """
     ok = F.col("eligible") & finite("fitness")
     keep = ["fitness", "robustness"]
-    returns = cut(returns)
     good = cut(aligned(returns.join(candidates.where(ok).select(G, "strategy_id"), [G, "strategy_id"], "left_semi")))
     state = cut(_state(candidates.where(ok), keep))
     for step in range(1, survivors + 1):

@@ -80,9 +80,14 @@ def demo_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return bt.backtest_bars(ev.held(flags, CAND), CAND)
 
 
-def strategy_returns(spark: SparkSession, sf: str) -> DataFrame:
+def saved_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """Back-test rows written once, for plans that read them several times."""
+    return cut(demo_backtest(spark, sf))
+
+
+def strategy_returns(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """(portfolio_id, strategy_id, ts, r): one portfolio per supplier, the demo specs as members."""
-    b = demo_backtest(spark, sf)
+    b = demo_backtest(spark, sf) if rows is None else rows
     return b.select(F.col("symbol").alias("portfolio_id"), "strategy_id", "ts", F.col("net_ret").alias("r"))
 
 
@@ -91,13 +96,13 @@ def saved_returns(spark: SparkSession, sf: str) -> DataFrame:
     return cut(strategy_returns(spark, sf))
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
+def scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Evidence columns of every (strategy, supplier) from one aggregate over back-test rows.
 
     mc_pass_rate is the share of held bars that did not lose, regime_score compares rising and
     falling bars, so the table has the shape of full evidence at the cost of one pass.
     """
-    b = demo_backtest(spark, sf)
+    b = demo_backtest(spark, sf) if rows is None else rows
     rates = bt.scenario_rates()
     ret = F.when(F.col("prev_close").isNotNull(), F.col("net_ret"))
     up = F.col("close") >= F.col("prev_close")
@@ -131,11 +136,11 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return gates.promotion(scores(spark, sf), min_mc_pass_rate=0.45, min_regime_score=-0.01)
 
 
-def ranked_members(spark: SparkSession, sf: str) -> DataFrame:
+def ranked_members(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """(portfolio_id, strategy_id, rank, fitness, robustness, eligible) per supplier by Sharpe."""
     from barloom.operators.ranking import rank_within
 
-    s = scores(spark, sf).select(
+    s = scores(spark, sf, rows).select(
         F.col("symbol").alias("portfolio_id"), "strategy_id", "fitness",
         F.when(F.col("rob_passed"), 1.0).otherwise(0.0).alias("robustness"),
         (F.col("fitness") > -1.5).alias("eligible"),

@@ -28,9 +28,11 @@ def portfolio_volatility(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(G, r6(F.col("volatility") * 1e3).alias("volatility_permille"))
 
 
-def selection(spark: SparkSession, sf: str, returns: DataFrame | None = None) -> DataFrame:
+def selection(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    rows = fx.saved_backtest(spark, sf) if rows is None else rows
     return pf.select_diversified(
-        returns or fx.strategy_returns(spark, sf), fx.ranked_members(spark, sf), max_strategies=4, max_average_correlation=0.35
+        fx.strategy_returns(spark, sf, rows), fx.ranked_members(spark, sf, rows), max_strategies=4,
+        max_average_correlation=0.35,
     )
 
 
@@ -44,13 +46,14 @@ def average_correlation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def survivors(spark: SparkSession, sf: str) -> DataFrame:
-    s = pf.select_survivors(fx.strategy_returns(spark, sf), fx.ranked_members(spark, sf), 3)
+    rows = fx.saved_backtest(spark, sf)
+    s = pf.select_survivors(fx.strategy_returns(spark, sf, rows), fx.ranked_members(spark, sf, rows), 3)
     return s.select(G, "strategy_id", F.col("pos").cast("bigint").alias("pos"), "fallback")
 
 
 def risk_admission(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.saved_returns(spark, sf)
-    return pf.risk_prefix(r, selection(spark, sf, r), max_volatility=0.0006)
+    rows = fx.saved_backtest(spark, sf)
+    return pf.risk_prefix(fx.strategy_returns(spark, sf, rows), selection(spark, sf, rows), max_volatility=0.0006)
 
 
 def risk_prefix(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,9 +86,9 @@ def portfolio_health(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def portfolio_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    r = fx.saved_returns(spark, sf)
-    s = selection(spark, sf, r)
-    f = pf.portfolio_feedback(s, pf.risk_prefix(r, s, max_volatility=0.0006))
+    rows = fx.saved_backtest(spark, sf)
+    s = selection(spark, sf, rows)
+    f = pf.portfolio_feedback(s, pf.risk_prefix(fx.strategy_returns(spark, sf, rows), s, max_volatility=0.0006))
     return f.select(
         G, "strategy_id", "reason", "robustness", r6("novelty").alias("novelty"),
         r6("uncertainty").alias("uncertainty"), "capacity_gap",
