@@ -32,14 +32,23 @@ def _total(kind: str, value: Column, order: Column) -> Column:
     if kind == "last":
         # newest present value of the bucket
         return F.max_by(value, F.when(value.isNotNull(), order))
+    if kind == "prev":
+        # value of the newest row, null or not
+        return F.max_by(value, order)
     raise ValueError(f"unsupported running aggregate: {kind}")
 
 
-def _over(kind: str, value: Column, w) -> Column:
-    return {"sum": F.sum, "max": F.max}[kind](value).over(w) if kind != "last" else F.last(value, ignorenulls=True).over(w)
+def _over(kind: str, value: Column, w, whole) -> Column:
+    if kind == "prev":
+        return F.lag(value).over(whole)
+    if kind == "last":
+        return F.last(value, ignorenulls=True).over(w)
+    return {"sum": F.sum, "max": F.max}[kind](value).over(w)
 
 
 def _combine(kind: str, local: Column, carry: Column) -> Column:
+    if kind == "prev":
+        return F.when(F.col("_first"), carry).otherwise(local)
     if kind == "sum":
         return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
     if kind == "max":
@@ -51,31 +60,37 @@ def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], wanted: dict[str, tuple[str, Column]],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add running ``sum``, ``max`` or ``last`` (newest non-null) columns over a bucketed series.
+    """Add running ``sum``, ``max``, ``last`` (newest non-null) or ``prev`` (row before) columns.
 
-    ``inclusive=False`` stops at the row before, so ``last`` then is a lag that skips nulls.
+    ``inclusive=False`` stops at the row before.
     """
     k = list(keys)
-    position = F.struct(*order)
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
     end = Window.currentRow if inclusive else -1
-    local_w = Window.partitionBy(*k, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    in_bucket = Window.partitionBy(*k, BUCKET).orderBy(*order)
+    local_w = in_bucket.rowsBetween(Window.unboundedPreceding, end)
     values = df.withColumns({f"_v_{n}": v for n, (_, v) in wanted.items()})
     totals = values.groupBy(*k, BUCKET).agg(
         *[_total(kind, F.col(f"_v_{n}"), position).alias(f"_t_{n}") for n, (kind, _) in wanted.items()]
     )
-    before = Window.partitionBy(*k).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    by_bucket = Window.partitionBy(*k).orderBy(BUCKET)
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(
-        *k, BUCKET, *[_over(kind, F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n, (kind, _) in wanted.items()]
+        *k, BUCKET,
+        *[_over(kind, F.col(f"_t_{n}"), before, by_bucket).alias(f"_c_{n}") for n, (kind, _) in wanted.items()],
+    )
+    local = values.withColumns(
+        {
+            "_first": F.lag(F.lit(1)).over(in_bucket).isNull(),
+            **{f"_l_{n}": _over(kind, F.col(f"_v_{n}"), local_w, in_bucket) for n, (kind, _) in wanted.items()},
+        }
     )
-    local = values.withColumns({f"_l_{n}": _over(kind, F.col(f"_v_{n}"), local_w) for n, (kind, _) in wanted.items()})
     out = local.join(carries, [*k, BUCKET]).withColumns(
         {n: _combine(kind, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, (kind, _) in wanted.items()}
     )
-    return out.drop(*[f"_{p}_{n}" for p in "vlc" for n in wanted])
+    return out.drop("_first", *[f"_{p}_{n}" for p in "vlc" for n in wanted])
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``prev_<column>`` of the row before, nulls included; null on the first row of a key."""
-    row = F.struct(*[F.col(c) for c in columns])
-    df = running(df, keys, order, {"_prev": ("last", row)}, inclusive=False)
-    return df.withColumns({f"prev_{c}": F.col(f"_prev.{c}") for c in columns}).drop("_prev")
+    return running(df, keys, order, {f"prev_{c}": ("prev", F.col(c)) for c in columns})

@@ -13,6 +13,7 @@ from barloom.operators import evaluation as ev
 from barloom.operators import gates, rules, splits, sweeps
 from barloom.operators.specs import demo_records, spec_table
 from barloom.plans.core import r2, r6, stamp
+from barloom.session import cut
 from barloom.sources import bars as src
 
 CAND = list(ev.CANDIDATE)
@@ -30,16 +31,16 @@ def evidence(
 ) -> DataFrame:
     """GT8 without the gate: one row per candidate with every evidence column.
 
-    The segmented runs feed the segment metrics, the OOS rows and the trades; all three read
-    one shuffle of the flags on run keys.  Everything joined here is one row per candidate.
+    The segmented runs feed the segment metrics, the OOS rows and the trades, so they are written
+    once; back-testing them again in every branch would cost a window sort each.  Everything joined
+    here is one row per candidate.
     """
-    runs = ev.segment_runs(splits.default_windows(bars), signals)
+    windows = splits.default_windows(bars)
+    runs = cut(ev.segment_runs(windows, signals))
     oos = ev.oos_rows(runs, overlapping=False)
     wf = ev.walk_forward(runs, overlapping=False)
     mc = ev.bootstrap(ev.oos_trades(runs), simulations=simulations, seed=seed)
-    labels = ev.regime_labels(
-        splits.default_windows(bars).where(F.col("segment") == "test")
-    )
+    labels = ev.regime_labels(windows.where(F.col("segment") == "test"))
     regime = ev.regime_stability(oos, labels).select(*CAND, "regime_score")
     rob = ev.cost_scenarios(moves(bars, signals))
     out = (
