@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,29 +52,43 @@ def moments(returns: DataFrame, blocks: int | None = None, ts_blocks: int | None
         "x", F.col("r") - F.avg("r").over(Window.partitionBy(G, "strategy_id"))
     ).withColumn("tb", F.pmod(F.xxhash64("ts"), F.lit(ts_blocks)).cast("int"))
 
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_side"] == "l"].pivot(index="ts", columns="strategy_id", values="x")
-        right = pdf[pdf["_side"] == "r"].pivot(index="ts", columns="strategy_id", values="x")
-        sums = pd.DataFrame(
-            left.to_numpy().T @ right.to_numpy(),
-            index=pd.Index(left.columns, name="a"), columns=pd.Index(right.columns, name="b"),
+    def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Names and the (timestamps x strategies) matrix of one side; rows share the same timestamps."""
+        t, ts = pd.factorize(pdf["ts"], sort=True)
+        s, names = pd.factorize(pdf["strategy_id"], sort=True)
+        m = np.zeros((len(ts), len(names)))
+        m[t, s] = pdf["x"].to_numpy()
+        return names.to_numpy(), m
+
+    def cells_of(portfolio: str, a: np.ndarray, b: np.ndarray, sums: np.ndarray, n: int, same: bool) -> pd.DataFrame:
+        left, right = np.meshgrid(a, b, indexing="ij")
+        out = pd.DataFrame({G: portfolio, "a": left.ravel(), "b": right.ravel(), "sxy": sums.ravel(), "n": n})
+        swap = (out["a"] > out["b"]).to_numpy()
+        if same:
+            return out[~swap]
+        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
+        return out
+
+    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, m = matrix(pdf)
+        return cells_of(pdf[G].iloc[0], names, names, m.T @ m, len(m), True)
+
+    def two_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, left = matrix(pdf[pdf["_side"] == "l"])
+        b, right = matrix(pdf[pdf["_side"] == "r"])
+        if not len(left) or not len(right):
+            return pd.DataFrame({G: [], "a": [], "b": [], "sxy": [], "n": []})
+        same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        return cells_of(pdf[G].iloc[0], a, b, left.T @ right, len(left), same)
+
+    schema = f"{G} string, a string, b string, sxy double, n long"
+    rows = centred.select(G, "strategy_id", "ts", "x", "tb")
+    if blocks == 1:
+        parts = rows.groupBy(G, "tb").applyInPandas(one_block, schema)
+    else:
+        parts = tiles(
+            rows, [G], F.pmod(F.xxhash64("strategy_id"), F.lit(blocks)).cast("int"), blocks, two_blocks, schema, split=["tb"]
         )
-        out = sums.stack().rename("sxy").reset_index()
-        same_block = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-        if same_block:
-            out = out[out["a"] <= out["b"]]
-        else:
-            swap = out["a"] > out["b"]
-            out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
-        out["n"] = len(left)
-        out[G] = pdf[G].iloc[0]
-        return out[[G, "a", "b", "sxy", "n"]]
-
-    parts = tiles(
-        centred.select(G, "strategy_id", "ts", "x", "tb"), [G],
-        F.pmod(F.xxhash64("strategy_id"), F.lit(blocks)).cast("int"), blocks, product,
-        f"{G} string, a string, b string, sxy double, n long", split=["tb"],
-    )
     cells = parts.groupBy(G, "a", "b").agg(F.sum("sxy").alias("sxy"), F.sum("n").alias("n"))
     diag = cells.where(F.col("a") == F.col("b"))
     va = diag.select(G, "a", F.col("sxy").alias("va"))
