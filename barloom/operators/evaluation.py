@@ -230,8 +230,9 @@ def bootstrap(
         ).alias("rs")
     )
     chunks = min(chunks, simulations)
+    n_tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(
-        *keys, "chunk"
+        n_tasks, *keys, "chunk"
     )
     sims = spread.withColumn(
         "sim", F.explode(F.sequence(F.col("chunk"), F.lit(simulations - 1), F.lit(chunks)))

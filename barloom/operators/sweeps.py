@@ -209,7 +209,7 @@ def crossover(pairs: DataFrame, specs: DataFrame, seed: int = 0) -> DataFrame:
     return with_strategy_id(out)
 
 
-def hash_pairs(specs: DataFrame, seed: int, rounds: int, bucket_size: int = 1000, population: int = 1000) -> DataFrame:
+def hash_pairs(specs: DataFrame, seed: int, rounds: int, population: int, bucket_size: int = 1000) -> DataFrame:
     """Pairs for crossing: in each round a spec meets the next one in a hash order.
 
     Hash buckets keep the order local, so no task sorts the whole population.
@@ -253,13 +253,14 @@ def evolve(
     slots = target - elite
     crossed_slots = roll_count(seed, slots, crossover_rate) if mutation_rate > 0 else slots
     # about four draws per open slot, shared out over the parents
-    per_parent = 4 + 4 * slots // max(1, parents.count())
+    size = parents.count()
+    per_parent = 4 + 4 * slots // max(1, size)
     mutated = sampled_variants(parents, per_parent, seed)
     mutated = mutated.join(gen.withColumnRenamed("strategy_id", "parent_id"), "parent_id").select(
         "strategy_id", *SPEC_FIELDS, (F.col("generation") + 1).alias("generation"),
         F.array("parent_id").alias("parent_ids"), "operator",
     )
-    pairs = hash_pairs(parents, seed, rounds=per_parent)
+    pairs = hash_pairs(parents, seed, rounds=per_parent, population=size)
     crossed = crossover(pairs, parents, seed)
     crossed = (
         crossed.join(gen.select(F.col("strategy_id").alias("a_id"), F.col("generation").alias("ga")), "a_id")

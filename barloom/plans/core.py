@@ -243,9 +243,9 @@ def ragged_timestamps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def key_mismatch(spark: SparkSession, sf: str) -> DataFrame:
-    """DQ12: customers against the customers that order."""
-    a = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("key")).where("key % 7 <> 1")
-    b = src.table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).where("key % 11 <> 1")
+    """DQ12: customers against the customers that have a high-priority order."""
+    a = src.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
+    b = src.table(spark, sf, "orders").where(F.col("o_orderpriority") == "2-HIGH").select(F.col("o_custkey").alias("key"))
     return quality.key_mismatch(a, b, "key")
 
 

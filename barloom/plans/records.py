@@ -108,11 +108,11 @@ def portfolio_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- lineage and provenance ---------------------------------------------------
-def part_lineage(spark: SparkSession, sf: str) -> DataFrame:
+def part_lineage(spark: SparkSession, sf: str, without_brand: str = "") -> DataFrame:
     """Parts as strategies: part k descends from k/2 and k/3; a few rows break a rule."""
     k = F.col("p_partkey")
     half, third = F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")
-    return src.table(spark, sf, "part").select(
+    return src.table(spark, sf, "part").where(F.col("p_brand") != without_brand).select(
         k.cast("string").alias("strategy_id"), F.when(k == 0, 0).otherwise(F.floor(F.log2(k.cast("double"))) + 1).cast("int").alias("generation"),
         F.when(k == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(half, third))).alias("parent_ids"),
         F.when(k == 0, "seed").otherwise("mutate_threshold").alias("operator"),
@@ -133,14 +133,14 @@ def lineage_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lineage_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    """GR3: an edge from 1 back to 40 closes cycles through the ancestors of 40; two parents are unknown."""
-    e = lineage.parent_edges(part_lineage(spark, sf)).where(F.col("strategy_id").cast("bigint") < 200)
+    """GR3: an edge from 1 back to 40 closes cycles through the ancestors of 40."""
+    e = lineage.parent_edges(part_lineage(spark, sf))
     back = e.where(F.col("strategy_id") == "1").select("strategy_id", F.lit("40").alias("parent_id"))
     return lineage.cycles(lineage.closure(e.unionByName(back).distinct()))
 
 
 def missing_parents(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.missing_parents(part_lineage(spark, sf).where(F.col("strategy_id").cast("bigint") % 5 != 2))
+    return lineage.missing_parents(part_lineage(spark, sf, "Brand#7"))
 
 
 def run_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -224,9 +224,10 @@ def certificates(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks ---------------------------------------------------------
 def append_once(spark: SparkSession, sf: str) -> DataFrame:
     """SNK1: orders arrive again with some changed and some new rows."""
-    o = src.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    old = o.where(F.col("o_orderkey") % 3 != 0)
-    new = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 1, F.lit(0.0)).otherwise(F.col("o_totalprice")))
+    o = src.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    old = o.where(F.col("o_orderstatus") != "F").drop("o_orderpriority")
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    new = o.withColumn("o_totalprice", F.when(urgent, F.lit(0.0)).otherwise(F.col("o_totalprice"))).drop("o_orderpriority")
     fresh = sinks.new_rows(old, new, ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("appended").alias("what"), "n")
     bad = sinks.payload_conflicts(old, new, ["o_orderkey"]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("conflicts").alias("what"), "n")
     return fresh.unionByName(bad)
@@ -234,8 +235,8 @@ def append_once(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     c = src.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    new = c.where(F.col("c_custkey") % 4 == 0).withColumn("c_mktsegment", F.lit("MOVED"))
-    u = sinks.upserted(c.where(F.col("c_custkey") % 5 != 0), new, ["c_custkey"])
+    new = c.where(F.col("c_mktsegment") == "MACHINERY").withColumn("c_mktsegment", F.lit("MOVED"))
+    u = sinks.upserted(c.where(F.col("c_acctbal") >= 0), new, ["c_custkey"])
     return u.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), r2(F.sum("c_acctbal")).alias("balance"))
 
 

@@ -62,7 +62,7 @@ def sweep_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def crossover_children(spark: SparkSession, sf: str) -> DataFrame:
     """SW6 over hash-ordered pairs; checked by the rules every child must keep."""
     s = fx.part_specs(spark, sf)
-    kids = sweeps.crossover(sweeps.hash_pairs(s, seed=5, rounds=1), s, seed=5)
+    kids = sweeps.crossover(sweeps.hash_pairs(s, seed=5, rounds=1, population=s.count()), s, seed=5)
     a = s.select(F.col("strategy_id").alias("a_id"), F.struct(*SPEC_FIELDS).alias("pa"))
     b = s.select(F.col("strategy_id").alias("b_id"), F.struct(*SPEC_FIELDS).alias("pb"))
     j = kids.join(a, "a_id").join(b, "b_id")

@@ -180,5 +180,5 @@ part("evt_n", "SELECT ts, COUNT(DISTINCT symbol) AS n FROM bars_event GROUP BY 1
 SQL["ragged_timestamps"] = with_parts(
     "SELECT STRFTIME(ts, '%Y-%m-%d %H:%M:%S') AS ts, n, (SELECT COUNT(DISTINCT symbol) FROM bars_event) AS n_series FROM evt_n WHERE n < (SELECT COUNT(DISTINCT symbol) FROM bars_event)")
 SQL["key_mismatch"] = (
-    "WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 7 <> 1), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey % 11 <> 1) "
+    "WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer ), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderpriority = '2-HIGH') "
     "SELECT key, 'right' AS missing_in FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'left' FROM b WHERE key NOT IN (SELECT key FROM a)")

@@ -48,11 +48,11 @@ SQL["lineage_problems"] = with_parts(
     "SELECT strategy_id, reasons FROM (SELECT CAST(k AS VARCHAR) AS strategy_id, CONCAT_WS('; ', CASE WHEN k % 97 = 5 THEN 'strategy lineage cycle detected: ' || k END, CASE WHEN seed AND n > 0 THEN 'seed strategies cannot have parents' END, "
     "CASE WHEN NOT seed AND n = 0 THEN 'derived strategies must have at least one parent' END) AS reasons FROM ("
     "SELECT p_partkey AS k, p_partkey = 0 OR p_partkey % 103 = 9 AS seed, CASE WHEN p_partkey % 97 = 5 THEN 1 WHEN p_partkey % 101 = 7 OR p_partkey = 0 THEN 0 ELSE 1 END AS n FROM part)) WHERE reasons <> ''")
-part("cyc_e", "SELECT c, p FROM lin_e WHERE c < 200 UNION SELECT 1, 40 FROM lin_e WHERE c = 1")
+part("cyc_e", "SELECT c, p FROM lin_e UNION SELECT 1, 40 FROM lin_e WHERE c = 1")
 part("cyc_c", "SELECT c AS s, p AS a FROM cyc_e UNION SELECT l.s, e.p FROM cyc_c l JOIN cyc_e e ON e.c = l.a")
 SQL["lineage_cycles"] = with_parts("SELECT DISTINCT CAST(s AS VARCHAR) AS strategy_id FROM cyc_c WHERE s = a")
 SQL["missing_parents"] = with_parts(
-    "SELECT DISTINCT CAST(p AS VARCHAR) AS strategy_id FROM lin_e WHERE c % 5 <> 2 AND (p % 5 = 2 OR p NOT IN (SELECT p_partkey FROM part))")
+    "SELECT DISTINCT CAST(p AS VARCHAR) AS strategy_id FROM lin_e WHERE c IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#7') AND p NOT IN (SELECT p_partkey FROM part WHERE p_brand <> 'Brand#7')")
 
 part("nfills", "SELECT COUNT(*) AS n FROM lfill_f")
 part("nport", "SELECT COUNT(DISTINCT event_type) AS n FROM events")
@@ -77,9 +77,9 @@ SQL["certificates"] = with_parts(
     "SELECT 'run-' || portfolio_id AS run_id, portfolio_id NOT IN ('click', 'error') AS valid, CASE portfolio_id WHEN 'error' THEN 'certificate is not marked verified' WHEN 'click' THEN 'certificate_id does not match certificate contents' END AS reason FROM ports")
 
 SQL["append_once"] = with_parts(
-    "SELECT 'appended' AS what, COUNT(*) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'conflicts', COUNT(*) FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 100 = 1 AND o_totalprice <> 0")
+    "SELECT 'appended' AS what, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'conflicts', COUNT(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice <> 0")
 SQL["upsert"] = with_parts(
-    f"SELECT seg AS c_mktsegment, COUNT(*) AS customers, {r2('SUM(c_acctbal)')} AS balance FROM (SELECT CASE WHEN c_custkey % 4 = 0 THEN 'MOVED' ELSE c_mktsegment END AS seg, c_acctbal FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 5 <> 0) GROUP BY 1")
+    f"SELECT seg AS c_mktsegment, COUNT(*) AS customers, {r2('SUM(c_acctbal)')} AS balance FROM (SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MOVED' ELSE c_mktsegment END AS seg, c_acctbal FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_acctbal >= 0) GROUP BY 1")
 SQL["portfolio_members"] = with_parts(
     "SELECT CAST(s_nationkey AS VARCHAR) AS portfolio_id, m || s_suppkey AS strategy_id, CAST(w AS DOUBLE) AS weight, CAST(k AS BIGINT) AS rank, n_regionkey = 1 AS frozen FROM supplier JOIN nation ON n_nationkey = s_nationkey, (VALUES ('a', 0.5, 0), ('b', 0.25, 1)) t(m, w, k)")
 SQL["request_bars"] = with_parts(

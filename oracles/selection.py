@@ -86,6 +86,6 @@ SQL["selected_population"] = with_parts(
     "SELECT candidate_id, tier FROM (SELECT *, CAST(CASE WHEN EXISTS (SELECT 1 FROM scores o WHERE o.fitness > -3 AND o.candidate_id <> s.candidate_id AND " + DOM + ") THEN 1 ELSE 0 END AS BIGINT) AS tier "
     "FROM scores s WHERE fitness > -3) ORDER BY tier, fitness DESC, mc_pass_rate DESC, rob_ratio DESC, regime_score DESC, candidate_id DESC LIMIT 60")
 
-# one bucket and one round pair every spec with its successor in hash order
+# one round pairs every spec with its successor in the hash order of its bucket
 SQL["crossover_children"] = with_parts(
-    "SELECT COUNT(*) - 1 AS children, TRUE AS universe_ok, TRUE AS sizing_ok, TRUE AS one_condition, TRUE AS version_ok, TRUE AS marked FROM p_num")
+    "SELECT COUNT(*) - GREATEST(1, COUNT(*) // 1000) AS children, TRUE AS universe_ok, TRUE AS sizing_ok, TRUE AS one_condition, TRUE AS version_ok, TRUE AS marked FROM p_num")

@@ -194,7 +194,7 @@ def test_sweeps_respect_rules(spark):
     period = sweeps.neighbours(base, sweeps.PERIOD)
     by = {r.name: r["count"] for r in period.join(base.select(F.col("strategy_id").alias("parent_id"), F.col("name").alias("n")), "parent_id").groupBy("name").count().collect()}
     assert by["rsi_14"] == 6 and by["sma_10_30"] == 13
-    kids = sweeps.crossover(sweeps.hash_pairs(base, 3, 2), base, 3)
+    kids = sweeps.crossover(sweeps.hash_pairs(base, 3, 2, 5), base, 3)
     assert kids.count() > 0 and spec_problems(kids.select(*base.columns)).where(F.size("reasons") > 0).count() == 0
     lineage = base.select("strategy_id", F.lit(0).alias("generation"))
     nxt = sweeps.evolve(base, lineage, 20, seed=5, elite=2)
