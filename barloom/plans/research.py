@@ -123,8 +123,8 @@ def replacement_work(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("req-"), key.cast("string")).alias("request_id"), key.cast("string").alias("source_strategy_id"),
         F.when(key % 5 == 0, "capacity").otherwise("degraded").alias("reason"), (key % 4).alias("priority"),
     )
-    stages = s.where(key % 7 != 0).select(key.cast("string").alias("strategy_id"), F.when(key % 3 == 0, "paper").otherwise("degraded").alias("stage"))
-    cycles = s.where(key % 11 == 0).select(F.concat(F.lit("req-"), key.cast("string")).alias("request_id"))
+    stages = s.where(F.col("s_acctbal") >= 0).select(key.cast("string").alias("strategy_id"), F.when(key % 3 == 0, "paper").otherwise("degraded").alias("stage"))
+    cycles = s.where(F.col("s_acctbal") > 8000).select(F.concat(F.lit("req-"), key.cast("string")).alias("request_id"))
     return rs.replacement_work(req, stages, cycles, limit=30)
 
 
@@ -197,7 +197,7 @@ def paper_admission(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").cast("string").alias("strategy_id"),
         F.when(F.col("o_custkey") % 6 == 0, "research").otherwise("promoted").alias("source_stage"),
     )
-    runs = o.where(F.col("o_orderkey") % 13 != 0).select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderstatus") == "F").alias("halted"))
+    runs = o.where(F.col("o_orderpriority") != "5-LOW").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderstatus") == "F").alias("halted"))
     cert = src.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum("l_linenumber").alias("n")).select(
         "run_id", F.concat(F.lit("c"), F.col("run_id").cast("string")).alias("certificate_id"), (F.col("n") % 5 != 0).alias("verified"),
         F.when(F.col("n") % 7 == 0, "").otherwise("v1").alias("dataset_version"), F.lit("b1").alias("data_bundle_version"), F.lit("e1").alias("execution_fingerprint"),
@@ -212,15 +212,16 @@ def successor_handoff(spark: SparkSession, sf: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     text = c.cast("string")
     req = o.select(text.alias("strategy_id"), k.alias("run_id"))
-    life = o.select(text.alias("strategy_id"), c).distinct().where(F.col("o_custkey") % 10 != 0).select(
-        "strategy_id", F.when(F.col("o_custkey") % 10 == 1, "paper").otherwise("promoted").alias("stage")
+    life = src.table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
+        F.col("c_custkey").cast("string").alias("strategy_id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "paper").otherwise("promoted").alias("stage"),
     )
-    runs = o.where(k % 9 != 0).select(k.alias("run_id"), (k % 50).alias("portfolio_id"), (k % 8 == 0).alias("halted"))
-    members = o.where((k % 50 != 7) & (c % 4 != 0)).select((k % 50).alias("portfolio_id"), text.alias("strategy_id"), text.alias("experiment_id")).distinct()
+    runs = o.where(F.col("o_orderpriority") != "5-LOW").select(k.alias("run_id"), (k % 50).alias("portfolio_id"), (k % 8 == 0).alias("halted"))
+    members = o.where(F.col("o_orderstatus") != "P").select((k % 50).alias("portfolio_id"), text.alias("strategy_id"), text.alias("experiment_id")).distinct()
     exp = members.select("experiment_id", "strategy_id").distinct()
     ev = exp.select("experiment_id", F.when(F.col("experiment_id").endswith("3"), '{"promotion":{"eligible":false}}').otherwise('{"promotion":{"eligible":true}}').alias("evidence"))
     ver = runs.select("run_id", (F.col("run_id") % 6 != 0).alias("valid"), F.lit("ledger fingerprint mismatch").alias("reason"))
-    cert = runs.where(F.col("run_id") % 5 != 0).select("run_id", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"))
+    cert = o.where(F.col("o_orderpriority") != "3-MEDIUM").select(k.alias("run_id"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"))
     h = gates.successor_handoff(req, life, runs, members, exp, ev, ver, cert)
     return h.groupBy(F.array_join("reasons", "; ").alias("reasons"), "handed_off").agg(F.count(F.lit(1)).alias("requests"))
 

@@ -70,8 +70,8 @@ SQL["research_health"] = with_parts(
     "CASE WHEN crit OR why <> '' THEN why WHEN generation + 1 < 3 THEN 'minimum research generations have not been completed' WHEN eligible_count <= 0 THEN 'no promotion-eligible candidate is available for robustness review' "
     "ELSE 'research health is healthy and review prerequisites are satisfied' END AS reasons FROM gen_q")
 SQL["replacement_work"] = with_parts(
-    "SELECT 'req-' || s_suppkey AS request_id, CAST(s_suppkey AS VARCHAR) AS strategy_id, 'degraded' AS reason, CASE WHEN s_suppkey % 11 = 0 THEN 'completed' ELSE 'ready' END AS status FROM supplier "
-    "WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND (s_suppkey % 11 = 0 OR s_suppkey % 3 <> 0) ORDER BY s_suppkey % 4, 'req-' || s_suppkey LIMIT 30")
+    "SELECT 'req-' || s_suppkey AS request_id, CAST(s_suppkey AS VARCHAR) AS strategy_id, 'degraded' AS reason, CASE WHEN s_acctbal > 8000 THEN 'completed' ELSE 'ready' END AS status FROM supplier "
+    "WHERE s_suppkey % 5 <> 0 AND s_acctbal >= 0 AND (s_acctbal > 8000 OR s_suppkey % 3 <> 0) ORDER BY s_suppkey % 4, 'req-' || s_suppkey LIMIT 30")
 SQL["operator_summary"] = with_parts(
     "SELECT (SELECT COUNT(*) FROM gated_sc) AS experiment_count, CAST(0 AS BIGINT) AS ranked_experiment_count, (SELECT COUNT(*) FROM gated_sc WHERE why = '') AS promotion_eligible_count, "
     "(SELECT COUNT(*) FROM orders) AS cycle_count, (SELECT CAST(MAX(o_orderkey) AS VARCHAR) FROM orders) AS latest_cycle_id, (SELECT MAX(o_orderkey) FROM orders) AS latest_generation, "
@@ -97,19 +97,19 @@ SQL["lifecycle_sync"] = with_parts(
 SQL["replacement_evaluation"] = with_parts("SELECT CASE WHEN why = '' THEN 'paper' ELSE 'reject' END AS stage, COUNT(*) AS candidates FROM gated_sc GROUP BY 1")
 part("cert6", "SELECT l_orderkey, SUM(l_linenumber) AS n FROM lineitem GROUP BY 1")
 part("adm6",
-     "SELECT CONCAT_WS('; ', CASE WHEN o_custkey % 6 = 0 THEN 'strategy must be in promoted lifecycle stage' END, CASE WHEN o_orderkey % 13 = 0 THEN 'portfolio execution provenance is missing' END, "
-     "CASE WHEN o_orderkey % 13 <> 0 AND o_orderstatus = 'F' THEN 'portfolio execution is halted' END, CASE WHEN n IS NULL THEN 'verified reproducibility certificate is missing' END, "
+     "SELECT CONCAT_WS('; ', CASE WHEN o_custkey % 6 = 0 THEN 'strategy must be in promoted lifecycle stage' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'portfolio execution provenance is missing' END, "
+     "CASE WHEN o_orderpriority <> '5-LOW' AND o_orderstatus = 'F' THEN 'portfolio execution is halted' END, CASE WHEN n IS NULL THEN 'verified reproducibility certificate is missing' END, "
      "CASE WHEN n % 5 = 0 THEN 'reproducibility certificate is not verified' END, CASE WHEN n % 7 = 0 THEN 'certificate dataset_version is missing' END) AS reasons FROM orders LEFT JOIN cert6 ON l_orderkey = o_orderkey")
 SQL["paper_admission"] = with_parts("SELECT reasons, reasons = '' AS admitted, COUNT(*) AS admissions FROM adm6 GROUP BY 1, 2")
-part("hmem", "SELECT DISTINCT o_orderkey % 50 AS pid, o_custkey AS c FROM orders WHERE o_orderkey % 50 <> 7 AND o_custkey % 4 <> 0")
+part("hmem", "SELECT DISTINCT o_orderkey % 50 AS pid, o_custkey AS c FROM orders WHERE o_orderstatus <> 'P'")
 part("hand",
-     "SELECT o.o_orderkey AS k, o.o_custkey AS c, o.o_orderkey % 9 <> 0 AS run, EXISTS (SELECT 1 FROM hmem m WHERE m.pid = o.o_orderkey % 50) AS port, EXISTS (SELECT 1 FROM hmem m WHERE m.pid = o.o_orderkey % 50 AND m.c = o.o_custkey) AS mem FROM orders o")
+     "SELECT o.o_orderkey AS k, o.o_custkey AS c, o.o_orderpriority <> '5-LOW' AS run, o.o_orderpriority <> '3-MEDIUM' AS cert, u.c_acctbal >= 0 AS known, u.c_mktsegment AS seg, EXISTS (SELECT 1 FROM hmem m WHERE m.pid = o.o_orderkey % 50) AS port, EXISTS (SELECT 1 FROM hmem m WHERE m.pid = o.o_orderkey % 50 AND m.c = o.o_custkey) AS mem FROM orders o LEFT JOIN customer u ON u.c_custkey = o.o_custkey")
 part("hand1",
-     "SELECT *, CONCAT_WS('; ', CASE WHEN c % 10 = 0 THEN 'successor lifecycle state is missing' END, CASE WHEN c % 10 = 1 THEN 'successor must be in promoted lifecycle stage' END, "
+     "SELECT *, CONCAT_WS('; ', CASE WHEN NOT COALESCE(known, FALSE) THEN 'successor lifecycle state is missing' END, CASE WHEN known AND seg = 'BUILDING' THEN 'successor must be in promoted lifecycle stage' END, "
      "CASE WHEN NOT run THEN 'portfolio execution run is missing' END, CASE WHEN run AND k % 8 = 0 THEN 'portfolio execution run is halted' END, CASE WHEN run AND NOT port THEN 'portfolio provenance is missing' END, "
      "CASE WHEN run AND port AND NOT mem THEN 'successor is not a member of the persisted portfolio; successor experiment provenance is missing' END, "
      "CASE WHEN run AND port AND mem AND c % 10 = 3 THEN 'successor promotion evidence is not eligible' END) AS first FROM hand")
 part("hand2",
      "SELECT CONCAT_WS('; ', NULLIF(first, ''), CASE WHEN run AND port AND first = '' AND k % 6 = 0 THEN 'paper run verification failed: ledger fingerprint mismatch' END, "
-     "CASE WHEN run AND port AND k % 5 = 0 THEN 'reproducibility certificate is invalid: missing' END) AS reasons FROM hand1")
+     "CASE WHEN run AND port AND NOT cert THEN 'reproducibility certificate is invalid: missing' END) AS reasons FROM hand1")
 SQL["successor_handoff"] = with_parts("SELECT reasons, reasons = '' AS handed_off, COUNT(*) AS requests FROM hand2 GROUP BY 1, 2")
