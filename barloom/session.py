@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,23 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barloom") -
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Spark copies the archive to every executor, also to ones that join later.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "barloom")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "barloom"))
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the session; a scratch one only for local masters."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(
