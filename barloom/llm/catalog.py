@@ -1,16 +1,19 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import exact, mixing, sharding, urls
+from barloom.llm import decontaminate, exact, mixing, sharding, simhash, urls
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_filter": urls.op9_url_filter,
 }
 SQL = {
     "op3_sharding": sharding.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
     "op9_url_filter": urls.OP9_SQL,
 }
