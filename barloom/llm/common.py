@@ -44,3 +44,12 @@ def words_expr(col: Column) -> Column:
 
 def keep_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def lookup(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row for each key, to be joined back on it.
+
+    The groups carry a hash of their key while they are formed, so they do not lie where a join on the key wants them:
+    that join shuffles both sides, and adaptive execution can split a hot key on the other one.
+    """
+    return df.groupBy(*keys, F.hash(*keys).alias("_spread")).agg(*aggregates).drop("_spread")

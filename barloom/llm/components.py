@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import lookup
 from barloom.session import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node next to it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a"), F.least("a", "low").alias("low"))
+    least = lookup(both, ["a"], F.min("b").alias("low")).select(F.col("a"), F.least("a", "low").alias("low"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (``a`` is above ``b``)."""
-    least = edges.groupBy("a").agg(F.min("b").alias("low"))
+    least = lookup(edges, ["a"], F.min("b").alias("low"))
     moved = edges.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import table
+from barloom.llm.common import lookup, table
 from barloom.llm.components import components
 from barloom.session import cut
 
@@ -157,7 +157,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     compares more than two blocks and no link is lost.
     """
     spread = distinct.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
-    shared = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = lookup(spread, ["sig"], F.count(F.lit(1)).alias("n")).where("n > 1")
     met = spread.join(shared.select("sig", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "sig")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = met.withColumn("own", own)
@@ -181,7 +181,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = marked.groupBy("fp").agg(F.min("id").alias("low"))
     roots = components(links(distinct, distance))
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    lowest = lookup(placed, ["root"], F.min("low").alias("component_id"))
     placed = placed.join(lowest, "root").select("fp", "component_id")
     return marked.join(placed, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
