@@ -1,8 +1,9 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import decontaminate, exact, mixing, repeats, sharding, simhash, urls
+from barloom.llm import decontaminate, exact, language, mixing, repeats, sharding, simhash, urls
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_repeats": repeats.op2_repeats,
     "op3_sharding": sharding.op3_sharding,
     "op5_simhash": simhash.op5_simhash,
