@@ -1,6 +1,6 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import decontaminate, exact, language, mixing, repeats, sharding, simhash, urls
+from barloom.llm import decontaminate, exact, html, language, mixing, repeats, sharding, simhash, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_filter": urls.op9_url_filter,
+    "op10_html": html.op10_html,
 }
 SQL = {
     "op3_sharding": sharding.OP3_SQL,
