@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import UPPER, ascii_lower, table
+from barloom.llm.common import UPPER, ascii_lower, lookup, table
 from barloom.session import cut
 
 # The broadcast has at most SLOTS / 64 rows of two numbers (2**25 slots: 524,288 rows, 8 MB).
@@ -48,7 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hit = F.expr("coalesce(getbit(m1, cast(p1 % 64 AS int)) = 1 AND getbit(m2, cast(p2 % 64 AS int)) = 1, false)")
     probed = probed.select("doc_id", "text_sha256", hit.alias("hit"))
     maybe = probed.where("hit").select("doc_id", "text_sha256")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = lookup(maybe, ["text_sha256"], F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     grouped = maybe.join(groups, "text_sha256")
     alone = probed.where("NOT hit").select("text_sha256", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
     return grouped.unionByName(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
