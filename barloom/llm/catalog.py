@@ -1,11 +1,12 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import decontaminate, exact, html, language, mixing, repeats, sharding, simhash, urls
+from barloom.llm import decontaminate, exact, html, language, mixing, pii, repeats, sharding, simhash, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_repeats": repeats.op2_repeats,
     "op3_sharding": sharding.op3_sharding,
+    "op4_pii": pii.op4_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op7_decontaminate": decontaminate.op7_decontaminate,

@@ -73,7 +73,8 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     while start < len(points) - 1:
         stop = min(start + PIECE, len(points) - 1)
         ends = np.flatnonzero(points[start + 1 : stop + 1] == 0)
-        stop = start + 1 + int(ends[-1]) if len(ends) else stop
+        # A word that is longer than the piece is taken whole.
+        stop = start + 1 + int(ends[-1]) if len(ends) else stop + int(np.flatnonzero(points[stop:] == 0)[0])
         codes = np.concatenate([gram_codes(points[start : stop + 1], n)[1] for n in range(1, GRAMS + 1)])
         found = np.unique(codes, return_counts=True)
         if total is not None:
