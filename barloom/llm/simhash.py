@@ -157,11 +157,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     compares more than two blocks and no link is lost.
     """
     spread = distinct.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
-    shared = lookup(spread, ["sig"], F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = spread.join(shared.select("sig", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "sig")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    met = met.withColumn("own", own)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+    hot = lookup(spread, ["sig"], F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    hot = hot.select("sig", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
+    met = spread.join(hot, "sig", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    pairs = F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     )
     dealt = met.select("fp", "sig", F.inline(pairs)).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "fp")
