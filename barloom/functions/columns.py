@@ -59,6 +59,30 @@ def content_id(columns: Sequence[str], length: int = 16) -> Column:
     return F.substring(F.sha2(body, 256), 1, length)
 
 
+def row_json(columns: Sequence[str]) -> Column:
+    """Canonical JSON of ``columns`` in their order; nulls are written out, so a value that moves shows."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+
+
+def row_hash(columns: Sequence[str]) -> Column:
+    """64-bit hash of a row that tells (null, x) from (x, null); Spark's own hash skips nulls."""
+    return F.xxhash64(row_json(columns)) if columns else F.lit(0).cast("bigint")
+
+
+def digest_parts(columns: Sequence[str]) -> list[Column]:
+    """Order-free digest of rows as partial aggregates ``_d1.._d4``: four 60-bit parts of the SHA-256 of each row, summed
+    as decimals, so that nothing wraps.  No task ever holds the rows of a group."""
+    row = F.sha2(row_json(columns), 256)
+    return [
+        F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"_d{k + 1}") for k in range(4)
+    ]
+
+
+def digest_of(*extra: Column | str) -> Column:
+    """SHA-256 of the aggregates of ``digest_parts`` and ``extra``."""
+    return F.sha2(F.concat_ws(":", *[F.coalesce(col(c).cast("string"), F.lit("-")) for c in (*extra, "_d1", "_d2", "_d3", "_d4")]), 256)
+
+
 def draw(seed: int | Column, *parts: str | Column) -> Column:
     """Reproducible 32-bit draw: leading 8 hex digits of md5('seed:part:...')."""
     head = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")

@@ -4,38 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import reasons
+from barloom.functions.columns import digest_of, digest_parts, reasons
 from barloom.sources.schemas import BAR_COLUMNS
 
 SCHEMA_VERSION = "ohlcv.v1"
 
 
-def _fold(columns: Sequence[str]) -> list[Column]:
-    """Order-free digest of rows as partial aggregates: two independent 64-bit hashes, each summed
-    (as decimals, so nothing wraps) and xor-ed.  No task ever holds the rows of a series."""
-    a = F.xxhash64(*columns)
-    b = F.xxhash64(F.lit("second"), *columns)
-    return [
-        F.sum(a.cast("decimal(38,0)")).alias("_s1"), F.bit_xor(a).alias("_x1"),
-        F.sum(b.cast("decimal(38,0)")).alias("_s2"), F.bit_xor(b).alias("_x2"),
-    ]
-
-
-def _digest(*extra: Column) -> Column:
-    return F.sha2(F.concat_ws(":", *extra, "_s1", "_x1", "_s2", "_x2"), 256)
-
-
 def dataset_identity(bars: DataFrame, length: int = 16) -> DataFrame:
     """FP1: version, rows, start and end per symbol."""
     agg = bars.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("start"), F.max("ts").alias("end"),
-        *_fold(["ts", *BAR_COLUMNS]),
+        *digest_parts(["ts", *BAR_COLUMNS]),
     )
     return agg.select(
-        "symbol", F.substring(_digest(F.col("rows")), 1, length).alias("version"), "rows", "start", "end"
+        "symbol", F.substring(digest_of(F.col("rows")), 1, length).alias("version"), "rows", "start", "end"
     )
 
 
@@ -49,11 +34,11 @@ def bundle_identity(
             raise ValueError(f"{name} cannot be empty")
     agg = identities.agg(
         F.count(F.lit(1)).alias("symbols"), F.sum("rows").cast("bigint").alias("rows"),
-        F.min("start").alias("start"), F.max("end").alias("end"), *_fold(["symbol", "version"]),
+        F.min("start").alias("start"), F.max("end").alias("end"), *digest_parts(["symbol", "version"]),
     )
     head = [F.lit(v.strip()) for v in (source, timeframe, schema_version)]
     return agg.select(
-        F.lit(dataset_id).alias("dataset_id"), F.substring(_digest(*head, F.col("symbols")), 1, length).alias("version"),
+        F.lit(dataset_id).alias("dataset_id"), F.substring(digest_of(*head, F.col("symbols")), 1, length).alias("version"),
         "symbols", "rows", "start", "end", F.lit(source.strip()).alias("source"),
         F.lit(timeframe.strip()).alias("timeframe"), F.lit(schema_version.strip()).alias("schema_version"),
     )
@@ -62,8 +47,8 @@ def bundle_identity(
 def frame_fingerprint(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """FP3: fingerprint of values and column types."""
     shape = F.lit(df.schema.json())
-    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *_fold(df.columns))
-    return agg.select(*keys, "rows", _digest(shape, F.col("rows")).alias("fingerprint"))
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *digest_parts(df.columns))
+    return agg.select(*keys, "rows", digest_of(shape, F.col("rows")).alias("fingerprint"))
 
 
 def changed(stored: DataFrame, actual: DataFrame, key: str = "symbol", value: str = "version") -> DataFrame:

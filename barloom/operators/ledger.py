@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import content_id, finite, first_reason, reasons, running, series, whole
+from barloom.functions.columns import content_id, digest_of, digest_parts, finite, first_reason, reasons, running, series, whole
 from barloom.operators.rules import toggle_state
 
 CASH = 100_000.0
@@ -244,20 +244,19 @@ def audit_events(fills: DataFrame, members: DataFrame, run: str = "portfolio_id"
 def manifest(events: DataFrame, run: str = "portfolio_id") -> DataFrame:
     """LG9: contiguous sequence, unique ids and a digest of the ledger.
 
-    The digest folds (sequence, event id) hashes into order-free sums, so a run of any length is a
-    plain aggregate and no task holds the id list.
+    The digest sums the SHA-256 of (sequence, event id) in parts, so a run of any length is a plain
+    aggregate and no task holds the id list.
     """
-    h = F.xxhash64("sequence", "event_id")
     agg = events.groupBy(run).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.count_distinct("sequence").alias("n_seq"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"),
         F.count_distinct("event_id").alias("n_ids"),
-        F.sum(h.cast("decimal(38,0)")).alias("h_sum"), F.bit_xor(h).alias("h_xor"),
+        *digest_parts(["sequence", "event_id"]),
     )
     gap = (F.col("lo") != 0) | (F.col("hi") != F.col("event_count") - 1) | (F.col("n_seq") != F.col("event_count"))
     return agg.select(
         run, "event_count",
-        F.substring(F.sha2(F.concat_ws(":", "event_count", "h_sum", "h_xor"), 256), 1, 16).alias("ledger_fingerprint"),
+        F.substring(digest_of("event_count"), 1, 16).alias("ledger_fingerprint"),
         first_reason(
             (gap, "audit event sequences must be contiguous from zero"),
             (F.col("n_ids") != F.col("event_count"), "audit events must have unique identities"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import content_id, first_reason, reasons
+from barloom.functions.columns import content_id, digest_of, digest_parts, first_reason, reasons
 from barloom.session import cut
 
 
@@ -170,12 +170,9 @@ def graph_problems(experiments: DataFrame, evidence: DataFrame, members: DataFra
 
 
 def table_fingerprint(df: DataFrame, keys: list[str], length: int = 16) -> DataFrame:
-    """Order-free fingerprint of the rows per key, as partial sums and xors of row hashes."""
-    h = F.xxhash64(*[c for c in df.columns])
-    agg = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x")
-    )
-    return agg.select(*keys, F.substring(F.sha2(F.concat_ws(":", "_n", "_s", "_x"), 256), 1, length).alias("fingerprint"))
+    """Order-free fingerprint of the rows per key, from partial sums of row digests."""
+    agg = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *digest_parts(df.columns))
+    return agg.select(*keys, F.substring(digest_of("_n"), 1, length).alias("fingerprint"))
 
 
 CERTIFICATE = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from barloom.operators import portfolio as pf
 from barloom.plans import fixtures as fx
 from barloom.plans import paper as paper_plan
 from barloom.plans.core import r2, r6, stamp
-from barloom.session import cut
+from barloom.session import checkpoint_dir, cut
 from barloom.sources import bars as src
 from barloom.sources import payloads, sinks
 from barloom.streaming import monitors
@@ -396,28 +398,44 @@ def tick_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("symbol", "event_id", "target", r6("net_ret").alias("net_ret"), r2("equity").alias("equity"), r6("drawdown").alias("drawdown"))
 
 
+STREAM_FILES = 4
+
+
+def event_files(spark: SparkSession, sf: str) -> str:
+    """The events as a folder of STREAM_FILES spans of time, written one after the other as they would arrive."""
+    events = src.table(spark, sf, "events")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (span["hi"] - span["lo"]) / STREAM_FILES if span["lo"] is not None else None
+    for k in range(STREAM_FILES if step is not None else 0):
+        last = F.lit(k == STREAM_FILES - 1)
+        part = events.where((F.col("ts") >= F.lit(span["lo"] + k * step)) & (last | (F.col("ts") < F.lit(span["lo"] + (k + 1) * step))))
+        part.write.mode("append").parquet(folder)
+    if step is None:
+        events.write.parquet(folder)
+    return folder
+
+
 def stream_equity(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1 over the event file as a stream."""
-    schema = src.table(spark, sf, "events").schema
+    """ST1 over the events as a stream of several files, one to a trigger; the last hour stays open."""
 
     def shape(raw: DataFrame) -> DataFrame:
         return raw.select(F.col("event_type").alias(G), "ts", (F.lit(1000.0) - F.col("value")).alias("equity"))
 
-    stream = monitors.file_stream(spark, f"{sf}/event[s].parquet", schema, shape)
+    stream = monitors.file_stream(spark, event_files(spark, sf), src.table(spark, sf, "events").schema, shape, files_per_trigger=1)
     out = monitors.run_available(spark, monitors.equity_monitor(stream, 0.49))
     return out.select(G, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), r6("equity").alias("equity"), r6("peak").alias("peak"), "halted")
 
 
 def stream_health(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2 over the event file as a stream: transitions only."""
-    schema = src.table(spark, sf, "events").schema
+    """ST2 over the events as a stream of several files: transitions only; the last hour stays open."""
 
     def shape(raw: DataFrame) -> DataFrame:
         return raw.select(
             F.col("user_id").cast("string").alias("strategy_id"), "ts", (F.col("value") > 150).alias("degraded"), (F.col("value") > 300).alias("halt")
         )
 
-    stream = monitors.file_stream(spark, f"{sf}/event[s].parquet", schema, shape)
+    stream = monitors.file_stream(spark, event_files(spark, sf), src.table(spark, sf, "events").schema, shape, files_per_trigger=1)
     out = monitors.run_available(spark, monitors.health_monitor(stream))
     return out.select("strategy_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "previous_state", "state", "sequence")
 

@@ -1,7 +1,9 @@
 """Two stateful stream monitors: equity halt (ST1) and health states (ST2).
 
-State per key is a few numbers in the checkpoint, so a restart goes on where it stopped.  Rows
-older than the newest one already seen for their key are late and dropped.
+Rows wait in the state of their key until the watermark (newest event time less ``late``) has passed them and are then
+worked off in order of time, ties included.  What comes out therefore does not depend on how the rows were spread over
+triggers, as long as no row is later than ``late`` against the newest row before it; a later one is dropped, which is the
+rule for late rows.  Rows newer than the watermark stay open for the next run.
 """
 
 from __future__ import annotations
@@ -12,76 +14,94 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.session import checkpoint_dir
 
+LATE = "1 hour"
 EQUITY_OUT = "portfolio_id string, ts timestamp_ntz, equity double, peak double, halted boolean"
-EQUITY_STATE = "peak double, halted boolean, last_ts bigint"
+EQUITY_STATE = "peak double, halted boolean, open_ts array<bigint>, open_equity array<double>"
 HEALTH_OUT = "strategy_id string, ts timestamp_ntz, previous_state string, state string, sequence bigint"
-HEALTH_STATE = "state int, sequence bigint, last_ts bigint"
+HEALTH_STATE = "state int, sequence bigint, open_ts array<bigint>, open_want array<double>"
 NAMES = ("active", "degraded", "halted")
 
 
-def _ordered(chunks: Iterable[pd.DataFrame], last: int) -> pd.DataFrame:
-    """Rows of one key in one trigger, in time order, without late ones."""
-    pdf = pd.concat(list(chunks), ignore_index=True)
-    order = pdf["ts"].astype("datetime64[us]").astype("int64")
-    pdf = pdf.assign(_t=order).sort_values("_t", kind="stable")
-    return pdf[pdf["_t"] > last]
+def _arrived(chunks: Iterable[pd.DataFrame], value: Callable[[pd.DataFrame], np.ndarray], times: list, values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Open and new rows of a key in order of time, then value, as two arrays of 16 bytes a row."""
+    t, v = [np.asarray(times, np.int64)], [np.asarray(values, np.float64)]
+    for chunk in chunks:
+        t.append(chunk["_us"].to_numpy(np.int64))
+        v.append(value(chunk))
+    at, what = np.concatenate(t), np.concatenate(v)
+    order = np.lexsort((what, at))
+    return at[order], what[order]
 
 
-def equity_monitor(stream: DataFrame, max_drawdown: float | None) -> DataFrame:
+def _closed(at: np.ndarray, state: GroupState) -> int:
+    """How many leading rows the watermark has passed; asks to be called again for the others."""
+    watermark = state.getCurrentWatermarkMs()
+    n = int(np.searchsorted(at, watermark * 1000, side="right"))
+    if n < len(at):
+        state.setTimeoutTimestamp(max(int(at[n]) // 1000, watermark + 1))
+    return n
+
+
+def _timed(stream: DataFrame, late: str) -> DataFrame:
+    """Event time as microseconds and as the watermark's column, whatever the session's time zone."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    return stream.withColumn("_us", micros).withColumn("_at", F.timestamp_micros("_us")).withWatermark("_at", late)
+
+
+def equity_monitor(stream: DataFrame, max_drawdown: float | None, late: str = LATE) -> DataFrame:
     """ST1: (portfolio_id, ts, equity) to rows with the running peak and a latched halt flag."""
     if max_drawdown is not None and not 0 < max_drawdown < 1:
         raise ValueError("max_drawdown must be between 0 and 1")
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        peak, halted, last = state.get if state.exists else (0.0, False, -(2**62))
-        rows = _ordered(chunks, last)
-        if rows.empty:
-            return
-        eq = rows["equity"].to_numpy()
+        peak, halted, times, values = state.get if state.exists else (0.0, False, [], [])
+        at, equity = _arrived(() if state.hasTimedOut else chunks, lambda c: c["equity"].to_numpy(np.float64), times, values)
+        n = _closed(at, state)
+        eq = equity[:n]
         peaks = np.maximum.accumulate(np.maximum(eq, peak))
         broken = eq <= 0
         if max_drawdown is not None:
             with np.errstate(divide="ignore", invalid="ignore"):
                 broken = broken | (np.where(peaks > 0, 1.0 - eq / peaks, 0.0) >= max_drawdown)
         flags = np.logical_or.accumulate(broken) | halted
-        state.update((float(peaks[-1]), bool(flags[-1]), int(rows["_t"].iloc[-1])))
-        yield pd.DataFrame(
-            {"portfolio_id": key[0], "ts": rows["ts"], "equity": eq, "peak": peaks, "halted": flags}
-        )
+        state.update((float(peaks[-1]) if n else peak, bool(flags[-1]) if n else halted, at[n:].tolist(), equity[n:].tolist()))
+        if n:
+            yield pd.DataFrame({"portfolio_id": key[0], "ts": at[:n].astype("datetime64[us]"), "equity": eq, "peak": peaks, "halted": flags})
 
-    return stream.groupBy("portfolio_id").applyInPandasWithState(
-        step, EQUITY_OUT, EQUITY_STATE, "append", GroupStateTimeout.NoTimeout
+    return _timed(stream, late).groupBy("portfolio_id").applyInPandasWithState(
+        step, EQUITY_OUT, EQUITY_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def health_monitor(stream: DataFrame) -> DataFrame:
+def health_monitor(stream: DataFrame, late: str = LATE) -> DataFrame:
     """ST2: reports (strategy_id, ts, degraded, halt) to state transitions; HALTED absorbs."""
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, sequence, last = state.get if state.exists else (0, 0, -(2**62))
-        rows = _ordered(chunks, last)
-        if rows.empty:
-            return
-        want = np.where(rows["halt"], 2, np.where(rows["degraded"], 1, 0))
-        after = np.maximum.accumulate(np.maximum(want, level))
-        before = np.concatenate([[level], after[:-1]])
+        level, sequence, times, values = state.get if state.exists else (0, 0, [], [])
+        want_of = lambda c: np.where(c["halt"], 2.0, np.where(c["degraded"], 1.0, 0.0))
+        at, wants = _arrived(() if state.hasTimedOut else chunks, want_of, times, values)
+        n = _closed(at, state)
+        after = np.maximum.accumulate(np.maximum(wants[:n], level)).astype(int)
+        before = np.concatenate([[level], after[:-1]]).astype(int)[:n]
         moved = after != before
         numbers = sequence + np.cumsum(moved)
-        state.update((int(after[-1]), int(numbers[-1]), int(rows["_t"].iloc[-1])))
-        yield pd.DataFrame(
-            {
-                "strategy_id": key[0], "ts": rows["ts"][moved],
-                "previous_state": [NAMES[i] for i in before[moved]], "state": [NAMES[i] for i in after[moved]],
-                "sequence": numbers[moved],
-            }
-        )
-
-    return stream.groupBy("strategy_id").applyInPandasWithState(
-        step, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout
+        state.update((int(after[-1]) if n else level, int(numbers[-1]) if n else sequence, at[n:].tolist(), wants[n:].tolist()))
+        if moved.any():
+            yield pd.DataFrame(
+                {
+                    "strategy_id": key[0], "ts": at[:n][moved].astype("datetime64[us]"),
+                    "previous_state": [NAMES[i] for i in before[moved]], "state": [NAMES[i] for i in after[moved]],
+                    "sequence": numbers[moved],
+                }
+            )
+
+    return _timed(stream, late).groupBy("strategy_id").applyInPandasWithState(
+        step, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -97,7 +117,7 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str | None = N
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def file_stream(spark: SparkSession, path: str, schema, shape: Callable[[DataFrame], DataFrame], files_per_trigger: int = 64) -> DataFrame:
-    """Stream of Parquet files, oldest first, shaped by ``shape``."""
+def file_stream(spark: SparkSession, path: str, schema, shape: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:
+    """Stream of Parquet files, oldest first, shaped by ``shape``; a trigger's files bound what a key's task holds."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return shape(raw)

@@ -117,7 +117,7 @@ SQL["tick_backtest"] = with_parts(
     f"SELECT symbol, event_id, target, {r6('net_ret')} AS net_ret, {r2('equity')} AS equity, {r6(f'equity / MAX(equity) OVER (PARTITION BY symbol ORDER BY event_id {RUN}) - 1.0E0')} AS drawdown FROM tk3")
 part("st0", f"SELECT event_type AS portfolio_id, ts, 1000.0E0 - value AS equity, MAX(1000.0E0 - value) OVER (PARTITION BY event_type ORDER BY ts {RUN}) AS peak FROM events")
 SQL["stream_equity"] = with_parts(
-    f"SELECT portfolio_id, EPOCH_US(ts) AS ts_us, {r6('equity')} AS equity, {r6('peak')} AS peak, BOOL_OR(1.0E0 - equity / peak >= 0.49) OVER (PARTITION BY portfolio_id ORDER BY ts {RUN}) AS halted FROM st0")
+    f"SELECT portfolio_id, EPOCH_US(ts) AS ts_us, {r6('equity')} AS equity, {r6('peak')} AS peak, BOOL_OR(1.0E0 - equity / peak >= 0.49) OVER (PARTITION BY portfolio_id ORDER BY ts {RUN}) AS halted FROM st0 QUALIFY ts <= (SELECT DATE_TRUNC('milliseconds', MAX(ts)) - INTERVAL 1 HOUR FROM events)")
 part("sh0", "SELECT *, COALESCE(LAG(lv_ts) OVER (PARTITION BY strategy_id ORDER BY ts), 0) AS pv_ts FROM hst")
 SQL["stream_health"] = with_parts(
-    f"SELECT strategy_id, EPOCH_US(ts) AS ts_us, {NAMES}[pv_ts + 1] AS previous_state, {NAMES}[lv_ts + 1] AS state, ROW_NUMBER() OVER (PARTITION BY strategy_id ORDER BY ts) AS sequence FROM sh0 WHERE pv_ts <> lv_ts")
+    f"SELECT strategy_id, EPOCH_US(ts) AS ts_us, {NAMES}[pv_ts + 1] AS previous_state, {NAMES}[lv_ts + 1] AS state, ROW_NUMBER() OVER (PARTITION BY strategy_id ORDER BY ts) AS sequence FROM sh0 WHERE pv_ts <> lv_ts AND ts <= (SELECT DATE_TRUNC('milliseconds', MAX(ts)) - INTERVAL 1 HOUR FROM events)")
