@@ -147,15 +147,22 @@ def regime_labels(benchmark: DataFrame, window: int = 20, keys: Sequence[str] =
 
 
 def regime_stability(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """RB5: mean OOS return per regime; score is the weakest minus the strongest covered regime."""
+    """RB5: mean OOS return per regime; score is the weakest minus the strongest covered regime.
+
+    ``uncovered`` counts the OOS bars that the benchmark does not cover; with any of them nothing is scored, so the
+    candidate lacks its regime evidence.
+    """
     r = F.when(finite("net_ret"), F.col("net_ret"))
-    agg = rows.join(labels, ["symbol", "ts"]).groupBy(*CANDIDATE).agg(
+    labels = labels.withColumn("_label", F.lit(True))
+    agg = rows.join(labels, ["symbol", "ts"], "left").groupBy(*CANDIDATE).agg(
+        F.sum(F.when(F.col("_label").isNull(), 1).otherwise(0)).cast("bigint").alias("uncovered"),
         F.avg(F.when(F.col("rising"), r)).alias("rising"),
         F.avg(F.when(~F.col("rising"), r)).alias("falling"),
         F.avg(F.when(F.col("high_vol"), r)).alias("high_volatility"),
         F.avg(F.when(~F.col("high_vol"), r)).alias("low_volatility"),
     )
     cols = ["rising", "falling", "high_volatility", "low_volatility"]
+    agg = agg.withColumns({c: F.when(F.col("uncovered") == 0, F.col(c)) for c in cols})
     return agg.withColumn("regime_score", F.least(*cols) - F.greatest(*cols))
 
 

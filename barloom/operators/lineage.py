@@ -29,18 +29,19 @@ def parent_edges(lineage: DataFrame) -> DataFrame:
     return lineage.select("strategy_id", F.explode("parent_ids").alias("parent_id")).distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """GR2: every (strategy, ancestor) pair reachable from ``roots`` (all strategies by default).
 
     Semi-naive rounds: only the pairs found last are joined again, pairs seen before are dropped,
-    so shared ancestors cost nothing twice and a cycle ends the loop.  Each round is written to
-    the checkpoint folder.
+    so shared ancestors cost nothing twice and a cycle ends the loop, however deep the lineage is.  Each round
+    writes its new pairs only.
     """
     e = cut(edges.select(F.col("strategy_id").alias("child"), F.col("parent_id").alias("up")).distinct())
     start = e if roots is None else e.join(roots.select(F.col("strategy_id").alias("child")).distinct(), "child", "left_semi")
     found = cut(start.select(F.col("child").alias("strategy_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth")))
-    fresh = found
-    for depth in range(2, max_rounds + 2):
+    fresh, depth = found, 1
+    while True:
+        depth += 1
         step = (
             fresh.join(e, fresh["ancestor_id"] == e["child"])
             .select("strategy_id", F.col("up").alias("ancestor_id"))
@@ -51,8 +52,7 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int =
         fresh = cut(step)
         if fresh.isEmpty():
             return found
-        found = cut(found.unionByName(fresh))
-    raise RuntimeError(f"lineage is deeper than {max_rounds} generations")
+        found = found.unionByName(fresh)
 
 
 def cycles(closed: DataFrame) -> DataFrame:

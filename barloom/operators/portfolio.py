@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import longseries as ls
-from barloom.functions.columns import clip01, finite, ratio, reasons, whole
+from barloom.functions.columns import clip01, finite, first_reason, ratio, reasons, whole
 from barloom.functions.scale import tiles
 from barloom.operators.ranking import diversity_from, final_score
 from barloom.session import cut
@@ -237,10 +237,9 @@ def inverse_volatility(
     if floor <= 0:
         raise ValueError("volatility_floor must be positive and finite")
     g = list(groups)
-    vol = returns.groupBy(*g, "strategy_id").agg(
-        F.greatest(F.stddev_samp("r"), F.lit(floor)).alias("est_vol"), F.count(F.lit(1)).alias("_obs"),
-        F.bool_and(finite("r")).alias("_ok"),
-    ).where((F.col("_obs") >= 2) & F.col("_ok"))
+    vol = _member_volatility(returns, g, floor)
+    # One member that cannot be weighed fails its portfolio closed; allocation_problems says why.
+    vol = vol.withColumn("_all", F.bool_and((F.col("_obs") >= 2) & F.col("_ok")).over(whole(g))).where("_all")
     order = Window.partitionBy(*g).orderBy(F.desc("inv"), "strategy_id")
     df = vol.withColumn("inv", F.lit(1.0) / F.col("est_vol"))
     df = df.withColumns(
@@ -267,6 +266,51 @@ def inverse_volatility(
     )
 
 
+def _member_volatility(returns: DataFrame, groups: Sequence[str], floor: float) -> DataFrame:
+    return returns.groupBy(*groups, "strategy_id").agg(
+        F.greatest(F.stddev_samp("r"), F.lit(floor)).alias("est_vol"), F.count(F.lit(1)).alias("_obs"), F.bool_and(finite("r")).alias("_ok"),
+    )
+
+
+def allocation_problems(returns: DataFrame, *, total: float = 1.0, minimum: float = 0.0, groups: Sequence[str] = (G,)) -> DataFrame:
+    """PF6: (portfolio, strategy_id or null, reason) of what keeps a portfolio from being weighed."""
+    g = list(groups)
+    members = _member_volatility(returns, g, 0.0)
+    bad = members.select(
+        *g, "strategy_id",
+        first_reason((~F.col("_ok"), "strategy returns must contain only finite values"), (F.col("_obs") < 2, "at least two return observations are required")).alias("reason"),
+    ).where(F.col("reason").isNotNull())
+    dear = members.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * F.lit(minimum) > F.lit(total))
+    return bad.unionByName(dear.select(*g, F.lit(None).cast("string").alias("strategy_id"), F.lit("minimum weights exceed total exposure").alias("reason")))
+
+
+def build_portfolio(
+    returns: DataFrame, ranked: DataFrame, *, max_strategies: int = 10, max_average_correlation: float = 0.75, min_history: int = 20,
+    total: float = 1.0, minimum: float = 0.0, maximum: float = 1.0, floor: float = 1e-8,
+) -> DataFrame:
+    """PF7: from ranked candidates and their returns to a weighted portfolio, for every portfolio at once.
+
+    Timestamps at which a candidate has no finite return are left out first; then complementary strategies are selected
+    in rank order and weighed by inverse volatility.  Every ranked candidate comes back with ``selected, pos, weight, est_vol`` and,
+    where its portfolio could not be built, ``problem``.
+    """
+    members = ranked.select(G, "strategy_id", "rank")
+    kept = cut(aligned(returns.join(members.select(G, "strategy_id"), [G, "strategy_id"], "left_semi")))
+    chosen = cut(
+        select_diversified(kept, members, max_strategies=max_strategies, max_average_correlation=max_average_correlation, min_history=min_history)
+    )
+    taken = kept.join(chosen.where("selected").select(G, "strategy_id"), [G, "strategy_id"], "left_semi")
+    weights = inverse_volatility(taken, total=total, minimum=minimum, maximum=maximum, floor=floor)
+    problems = allocation_problems(taken, total=total, minimum=minimum).groupBy(G).agg(F.min("reason").alias("_problem"))
+    history = kept.groupBy(G).agg(F.count_distinct("ts").alias("_bars"))
+    out = members.join(chosen.drop("rank"), [G, "strategy_id"], "left").join(weights, [G, "strategy_id"], "left")
+    out = out.join(problems, G, "left").join(history, G, "left")
+    why = first_reason(
+        (F.col("_bars").isNull(), "returns contain no finite observations"), (F.col("_bars") < min_history, "not enough common history"), (F.col("_problem").isNotNull(), F.col("_problem")),
+    )
+    return out.select(G, "strategy_id", "rank", F.coalesce("selected", F.lit(False)).alias("selected"), "pos", "weight", "est_vol", why.alias("problem"))
+
+
 def portfolio_returns(returns: DataFrame, weights: DataFrame, groups: Sequence[str] = (G,)) -> DataFrame:
     """Weighted return per timestamp."""
     g = list(groups)

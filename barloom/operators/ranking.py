@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -146,6 +147,9 @@ def _dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
 def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -> DataFrame:
     """RK4: rows that no other row dominates (every objective larger is better).
 
+    Rows without a finite ``fitness`` (if it is an objective) are left out.  A null or NaN in another objective compares
+    with nothing: such a row neither dominates nor is dominated, and stays.
+
     1. Equal objective vectors collapse to one (copies never dominate each other).
     2. Each partition drops what its own rows dominate.
     3. The few survivors are compared block against block.
@@ -165,6 +169,10 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
                 kept = np.vstack([kept[~_dominated(kept, part)] if len(part) and len(kept) else kept, part])
         yield pd.DataFrame(kept, columns=cols)
 
+    if "fitness" in cols:
+        df = df.where(finite("fitness"))
+    known = functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols])
+    apart, df = df.where(~known), df.where(known)
     vectors = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).distinct()
     candidates = cut(vectors.mapInPandas(local, schema))
     count = candidates.count()
@@ -178,7 +186,7 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
 
     beaten = tiles(candidates, [], F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int"), blocks, losers, schema)
     front = candidates.join(beaten.distinct(), cols, "left_anti")
-    return df.join(front, cols, "left_semi")
+    return df.join(front, cols, "left_semi").select(*df.columns).unionByName(apart)
 
 
 # --- greedy subsets ---------------------------------------------------------
@@ -228,8 +236,10 @@ def select_population(
 ) -> DataFrame:
     """RK7: diverse subset (or Pareto front) first, the rest filled by rank, ``size`` rows in all.
 
-    ``evaluated`` holds the eligible candidates with the rank-key columns.
+    ``evaluated`` holds the eligible candidates with the rank-key columns; fewer of them than ``size`` is an error.
     """
+    if evaluated.count() < size:
+        raise ValueError("fewer eligible candidates than requested population size")
     order = [F.desc(c) for c in RANK_KEY]
     spark = evaluated.sparkSession
     if preserve_diversity:

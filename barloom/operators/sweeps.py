@@ -7,13 +7,16 @@ crossing stay DataFrame work whatever the number of specs.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import content_id, draw
+from barloom.functions.scale import global_rank
 from barloom.operators.specs import spec, spec_table, with_strategy_id
+from barloom.session import cut
 from barloom.sources.schemas import COMPARATORS, SPEC_FIELDS
 
 # Fixed search grids.
@@ -209,18 +212,19 @@ def crossover(pairs: DataFrame, specs: DataFrame, seed: int = 0) -> DataFrame:
     return with_strategy_id(out)
 
 
-def hash_pairs(specs: DataFrame, seed: int, rounds: int, population: int, bucket_size: int = 1000) -> DataFrame:
-    """Pairs for crossing: in each round a spec meets the next one in a hash order.
+def hash_pairs(specs: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """Pairs for crossing: in each round every spec draws one other spec as its partner.
 
-    Hash buckets keep the order local, so no task sorts the whole population.
+    Specs are numbered in order of id; a partner is a drawn distance ahead, never zero, so no spec is left out at any
+    population size and the meeting is a join on the number.  One spec alone has no partner.
     """
-    buckets = max(1, population // bucket_size)
-    df = specs.select("strategy_id").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    df = df.withColumn("h", draw(seed, "strategy_id", "round"))
-    w = Window.partitionBy("round", (F.col("h") % buckets)).orderBy("h", "strategy_id")
-    return df.select(
-        F.col("strategy_id").alias("a_id"), F.lead("strategy_id").over(w).alias("b_id")
-    ).where(F.col("b_id").isNotNull()).distinct()
+    numbered = global_rank(specs.select("strategy_id").distinct(), [F.col("strategy_id")], "number").withColumn("number", F.col("number") - 1)
+    total = numbered.agg(F.count(F.lit(1)).alias("n"))
+    rows = numbered.join(F.broadcast(total), F.col("n") > 1)  # one row
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    ahead = F.lit(1) + draw(seed, "strategy_id", "round", F.lit("partner")) % (F.col("n") - 1)
+    met = rows.select(F.col("strategy_id").alias("a_id"), F.pmod(F.col("number") + ahead, F.col("n")).alias("number"))
+    return met.join(numbered.select(F.col("strategy_id").alias("b_id"), "number"), "number").select("a_id", "b_id").distinct()
 
 
 def roll_count(seed: int, slots: int, rate: float) -> int:
@@ -238,10 +242,13 @@ def evolve(
     crossover_rate: float = 0.5,
     mutation_rate: float = 0.5,
     elite: int = 0,
+    pool_rank: str = "strategy_id",
 ) -> DataFrame:
     """SW7: a unique next population with lineage columns (generation, parent_ids, operator).
 
-    ``lineage`` gives (strategy_id, generation) of the parents.
+    ``lineage`` gives (strategy_id, generation) of the parents.  ``pool_rank`` names the column of ``parents`` that orders the
+    pool, smallest first: the elites are its first members.  Rounds of draws go on until ``target`` distinct members
+    exist; if 50 draws for each member do not give them, the call fails.
     """
     if target <= 0 or not 0 <= elite <= target:
         raise ValueError("target_size must be positive and elite_count between 0 and target_size")
@@ -250,38 +257,65 @@ def evolve(
     if crossover_rate + mutation_rate <= 0 and elite < target:
         raise ValueError("at least one variation rate must be positive")
     gen = lineage.select("strategy_id", "generation")
-    slots = target - elite
-    crossed_slots = roll_count(seed, slots, crossover_rate) if mutation_rate > 0 else slots
-    # about four draws per open slot, shared out over the parents
-    size = parents.count()
-    per_parent = 4 + 4 * slots // max(1, size)
-    mutated = sampled_variants(parents, per_parent, seed)
-    mutated = mutated.join(gen.withColumnRenamed("strategy_id", "parent_id"), "parent_id").select(
-        "strategy_id", *SPEC_FIELDS, (F.col("generation") + 1).alias("generation"),
-        F.array("parent_id").alias("parent_ids"), "operator",
+    size = parents.select("strategy_id").distinct().count()
+    if size == 0:
+        raise ValueError("parent population must not be empty")
+    if crossover_rate > 0 and size < 2 and mutation_rate == 0:
+        raise ValueError("crossover requires at least two parents")
+    kept_slots = min(elite, size)
+    slots = target - kept_slots
+    crossed_slots = 0 if size < 2 else roll_count(seed, slots, crossover_rate) if mutation_rate > 0 else slots
+    kept = parents.dropDuplicates(["strategy_id"]).join(gen, "strategy_id").orderBy(pool_rank, "strategy_id").limit(kept_slots).select(
+        "strategy_id", *SPEC_FIELDS, "generation", F.array().cast("array<string>").alias("parent_ids"), F.lit("elite").alias("operator"),
     )
-    pairs = hash_pairs(parents, seed, rounds=per_parent, population=size)
-    crossed = crossover(pairs, parents, seed)
-    crossed = (
-        crossed.join(gen.select(F.col("strategy_id").alias("a_id"), F.col("generation").alias("ga")), "a_id")
-        .join(gen.select(F.col("strategy_id").alias("b_id"), F.col("generation").alias("gb")), "b_id")
-        .select(
-            "strategy_id", *SPEC_FIELDS, (F.greatest("ga", "gb") + 1).alias("generation"),
-            F.array("a_id", "b_id").alias("parent_ids"), F.lit("crossover").alias("operator"),
+    most = max(100, 50 * target)
+    samples = 4 + 4 * slots // size
+    while True:
+        children = _children(parents, gen, samples, seed, crossover_rate > 0 and size > 1, mutation_rate > 0)
+        found = {r["crossed"]: r["n"] for r in children.groupBy("crossed").agg(F.count(F.lit(1)).alias("n")).collect()}
+        # What one kind cannot fill the other one does, as far as its rate allows it at all.
+        crossed = min(crossed_slots, found.get(True, 0))
+        mutated = min(slots - crossed, found.get(False, 0))
+        crossed = min(slots - mutated, found.get(True, 0))
+        if crossed + mutated == slots:
+            break
+        if samples * size >= most:
+            raise ValueError("unable to produce a unique population with the configured variation operators")
+        samples *= 2
+    out = kept
+    for is_crossed, n in ((True, crossed), (False, mutated)):
+        first = children.where(F.col("crossed") == is_crossed).orderBy(draw(seed, "strategy_id"), "strategy_id").limit(n)
+        out = out.unionByName(first.drop("crossed"))
+    return out
+
+
+def _children(parents: DataFrame, gen: DataFrame, samples: int, seed: int, crossing: bool, mutating: bool) -> DataFrame:
+    """Distinct children that are none of the parents, written once; ``crossed`` tells the two kinds apart."""
+    made = []
+    if mutating:
+        mutated = sampled_variants(parents, samples, seed)
+        made.append(
+            mutated.join(gen.withColumnRenamed("strategy_id", "parent_id"), "parent_id").select(
+                "strategy_id", *SPEC_FIELDS, (F.col("generation") + 1).alias("generation"), F.array("parent_id").alias("parent_ids"),
+                "operator", F.lit(False).alias("crossed"), F.col("sample").cast("string").alias("_key"),
+            )
         )
-    )
-
-    def fresh(df: DataFrame, n: int) -> DataFrame:
-        unique = df.dropDuplicates(["strategy_id"]).join(parents.select("strategy_id"), "strategy_id", "left_anti")
-        return unique.orderBy(draw(seed, "strategy_id"), "strategy_id").limit(n)
-
-    kept = parents.join(gen, "strategy_id").select(
-        "strategy_id", *SPEC_FIELDS, "generation", F.array().cast("array<string>").alias("parent_ids"),
-        F.lit("elite").alias("operator"),
-    ).orderBy("strategy_id").limit(elite)
-    first = fresh(crossed, crossed_slots)
-    rest = fresh(mutated, slots - crossed_slots)
-    return kept.unionByName(first).unionByName(rest).dropDuplicates(["strategy_id"])
+    if crossing:
+        crossed = crossover(hash_pairs(parents, seed, samples), parents, seed)
+        made.append(
+            crossed.join(gen.select(F.col("strategy_id").alias("a_id"), F.col("generation").alias("ga")), "a_id")
+            .join(gen.select(F.col("strategy_id").alias("b_id"), F.col("generation").alias("gb")), "b_id")
+            .select(
+                "strategy_id", *SPEC_FIELDS, (F.greatest("ga", "gb") + 1).alias("generation"), F.array("a_id", "b_id").alias("parent_ids"),
+                F.lit("crossover").alias("operator"), F.lit(True).alias("crossed"), F.lit("").alias("_key"),
+            )
+        )
+    every = functools.reduce(DataFrame.unionByName, made)
+    body = [c for c in every.columns if c not in ("strategy_id", "_key")]
+    # A child that several draws made keeps the same one of them in every run.
+    first = F.struct("crossed", "operator", "_key", "parent_ids")
+    unique = every.groupBy("strategy_id").agg(F.min_by(F.struct(*body), first).alias("_c")).select("strategy_id", "_c.*")
+    return cut(unique.join(parents.select("strategy_id"), "strategy_id", "left_anti"))
 
 
 def spawn(work: DataFrame, population: DataFrame, seed: int = 0) -> DataFrame:

@@ -22,6 +22,15 @@ def inv_vol_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(G, "strategy_id", r6("weight").alias("weight"), r6("est_vol").alias("est_vol"))
 
 
+def portfolio_build(spark: SparkSession, sf: str) -> DataFrame:
+    """PF7: selection and weights in one."""
+    rows = fx.saved_backtest(spark, sf)
+    b = pf.build_portfolio(
+        fx.strategy_returns(spark, sf, rows), fx.ranked_members(spark, sf, rows), max_strategies=4, max_average_correlation=0.35, maximum=0.6,
+    )
+    return b.select(G, "strategy_id", "selected", F.col("pos").cast("double").alias("pos"), r6("weight").alias("weight"), r6("est_vol").alias("est_vol"), "problem")
+
+
 def portfolio_volatility(spark: SparkSession, sf: str) -> DataFrame:
     r = fx.saved_returns(spark, sf)
     v = pf.portfolio_volatility(r, pf.inverse_volatility(r))
@@ -98,6 +107,7 @@ def portfolio_feedback(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "corr_matrix": corr_matrix,
     "inv_vol_weights": inv_vol_weights,
+    "portfolio_build": portfolio_build,
     "portfolio_volatility": portfolio_volatility,
     "diversified_selection": diversified_selection,
     "average_correlation": average_correlation,

@@ -62,7 +62,7 @@ def sweep_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def crossover_children(spark: SparkSession, sf: str) -> DataFrame:
     """SW6 over hash-ordered pairs; checked by the rules every child must keep."""
     s = fx.part_specs(spark, sf)
-    kids = sweeps.crossover(sweeps.hash_pairs(s, seed=5, rounds=1, population=s.count()), s, seed=5)
+    kids = sweeps.crossover(sweeps.hash_pairs(s, seed=5, rounds=1), s, seed=5)
     a = s.select(F.col("strategy_id").alias("a_id"), F.struct(*SPEC_FIELDS).alias("pa"))
     b = s.select(F.col("strategy_id").alias("b_id"), F.struct(*SPEC_FIELDS).alias("pb"))
     j = kids.join(a, "a_id").join(b, "b_id")
@@ -77,14 +77,16 @@ def crossover_children(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def next_population(spark: SparkSession, sf: str) -> DataFrame:
-    """SW7: next generation of the part population."""
-    s = fx.part_specs(spark, sf)
+    """SW7: next generation of the part population; the pool is in order of name and period."""
+    s = fx.part_specs(spark, sf).withColumn("place", F.format_string("%s/%06d", "name", F.col("indicators")[0]["period"]))
     lineage = s.select("strategy_id", F.lit(0).alias("generation"))
-    kids = sweeps.evolve(s, lineage, 200, seed=11, crossover_rate=0.25, elite=20)
-    return kids.groupBy("operator").agg(
+    kids = sweeps.evolve(s, lineage, 200, seed=11, crossover_rate=0.25, elite=20, pool_rank="place")
+    kind = F.when(F.col("operator").isin("elite", "crossover"), F.col("operator")).otherwise("mutation")
+    elite = F.when(F.col("operator") == "elite", F.format_string("%s/%06d", "name", F.col("indicators")[0]["period"]))
+    return kids.groupBy(kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("members"), F.count_distinct("strategy_id").alias("unique_ids"),
         F.min("generation").alias("min_generation"), F.max("generation").alias("max_generation"),
-        F.max(F.size("parent_ids")).alias("parents"),
+        F.max(F.size("parent_ids")).alias("parents"), F.min(elite).alias("first_elite"), F.max(elite).alias("last_elite"),
     )
 
 

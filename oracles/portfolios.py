@@ -16,9 +16,9 @@ part("corrs", "SELECT *, CASE WHEN sa * sb <> 0 THEN cov / (sa * sb) END AS corr
 SQL["corr_matrix"] = with_parts(f"SELECT {G}, a, b, n, {r6('cov * 1000000.0E0')} AS cov_ppm, {r6('corr')} AS corr FROM corrs WHERE a <= b")
 
 
-def weights_parts(name: str, lo: float, hi: float) -> None:
+def weights_parts(name: str, lo: float, hi: float, source: str = "ret") -> None:
     """Water-filling one capped strategy after the other, as unrolled rounds (five members)."""
-    part(f"{name}_w0", f"SELECT {G}, strategy_id, GREATEST(STDDEV_SAMP(r), 1e-8) AS vol, {lo}E0 AS w, TRUE AS active FROM ret GROUP BY 1, 2")
+    part(f"{name}_w0", f"SELECT {G}, strategy_id, GREATEST(STDDEV_SAMP(r), 1e-8) AS vol, {lo}E0 AS w, TRUE AS active FROM {source} GROUP BY 1, 2")
     for k in range(1, 7):
         p = f"{name}_w{k - 1}"
         part(f"{name}_q{k}",
@@ -51,6 +51,12 @@ for k in range(2, 5):
          f"SELECT * FROM {p} UNION ALL SELECT {G}, MIN_BY(strategy_id, rank), MIN(rank), {k} FROM opt{k} WHERE mc <= 0.35 GROUP BY {G}")
 SQL["diversified_selection"] = with_parts(
     f"SELECT m.portfolio_id, m.strategy_id, s.pos IS NOT NULL AS selected, CAST(s.pos AS DOUBLE) AS pos FROM mem m JOIN hist USING ({G}) LEFT JOIN sel4 s ON s.portfolio_id = m.portfolio_id AND s.strategy_id = m.strategy_id")
+part("ret_sel", f"SELECT r.* FROM ret r JOIN sel4 s ON s.{G} = r.{G} AND s.strategy_id = r.strategy_id")
+weights_parts("wts_d", 0.0, 0.6, "ret_sel")
+SQL["portfolio_build"] = with_parts(
+    f"SELECT m.{G}, m.strategy_id, s.pos IS NOT NULL AS selected, CAST(s.pos AS DOUBLE) AS pos, {r6('w.w')} AS weight, {r6('w.vol')} AS est_vol, "
+    f"CASE WHEN h.{G} IS NULL THEN 'not enough common history' END AS problem FROM mem m LEFT JOIN hist h ON h.{G} = m.{G} "
+    f"LEFT JOIN sel4 s ON s.{G} = m.{G} AND s.strategy_id = m.strategy_id LEFT JOIN wts_d w ON w.{G} = m.{G} AND w.strategy_id = m.strategy_id")
 part("avgc",
      f"SELECT s.portfolio_id, COUNT(DISTINCT s.strategy_id) AS members, COALESCE(AVG(GREATEST(c.corr, 0.0E0)) FILTER (WHERE c.corr IS NOT NULL), 0.0E0) AS ac FROM sel4 s "
      "LEFT JOIN sel4 t ON t.portfolio_id = s.portfolio_id AND t.strategy_id < s.strategy_id LEFT JOIN corrs c ON c.portfolio_id = s.portfolio_id AND c.a = s.strategy_id AND c.b = t.strategy_id GROUP BY 1")

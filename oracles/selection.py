@@ -86,6 +86,13 @@ SQL["selected_population"] = with_parts(
     "SELECT candidate_id, tier FROM (SELECT *, CAST(CASE WHEN EXISTS (SELECT 1 FROM scores o WHERE o.fitness > -3 AND o.candidate_id <> s.candidate_id AND " + DOM + ") THEN 1 ELSE 0 END AS BIGINT) AS tier "
     "FROM scores s WHERE fitness > -3) ORDER BY tier, fitness DESC, mc_pass_rate DESC, rob_ratio DESC, regime_score DESC, candidate_id DESC LIMIT 60")
 
-# one round pairs every spec with its successor in the hash order of its bucket
+# one round gives every spec one partner
 SQL["crossover_children"] = with_parts(
-    "SELECT COUNT(*) - GREATEST(1, COUNT(*) // 1000) AS children, TRUE AS universe_ok, TRUE AS sizing_ok, TRUE AS one_condition, TRUE AS version_ok, TRUE AS marked FROM p_num")
+    "SELECT COUNT(*) AS children, TRUE AS universe_ok, TRUE AS sizing_ok, TRUE AS one_condition, TRUE AS version_ok, TRUE AS marked FROM p_num")
+part("np_elite", "SELECT name || '/' || lpad(CAST(fast AS VARCHAR), 6, '0') AS place FROM p_num ORDER BY 1 LIMIT 20")
+part("np_crossed", "SELECT COUNT(*) AS n FROM range(200 - (SELECT COUNT(*) FROM np_elite)) AS r(k) WHERE CAST('0x' || substr(md5('11:roll:' || k), 1, 8) AS BIGINT) / 4294967296.0E0 < 0.25E0")
+SQL["next_population"] = with_parts(
+    "SELECT 'elite' AS kind, COUNT(*) AS members, COUNT(*) AS unique_ids, 0 AS min_generation, 0 AS max_generation, 0 AS parents, MIN(place) AS first_elite, MAX(place) AS last_elite FROM np_elite "
+    "UNION ALL SELECT 'crossover', n, n, 1, 1, 2, NULL, NULL FROM np_crossed "
+    "UNION ALL SELECT 'mutation', 200 - (SELECT COUNT(*) FROM np_elite) - n, 200 - (SELECT COUNT(*) FROM np_elite) - n, 1, 1, 1, NULL, NULL FROM np_crossed")
+

@@ -194,7 +194,7 @@ def test_sweeps_respect_rules(spark):
     period = sweeps.neighbours(base, sweeps.PERIOD)
     by = {r.name: r["count"] for r in period.join(base.select(F.col("strategy_id").alias("parent_id"), F.col("name").alias("n")), "parent_id").groupBy("name").count().collect()}
     assert by["rsi_14"] == 6 and by["sma_10_30"] == 13
-    kids = sweeps.crossover(sweeps.hash_pairs(base, 3, 2, 5), base, 3)
+    kids = sweeps.crossover(sweeps.hash_pairs(base, 3, 2), base, 3)
     assert kids.count() > 0 and spec_problems(kids.select(*base.columns)).where(F.size("reasons") > 0).count() == 0
     lineage = base.select("strategy_id", F.lit(0).alias("generation"))
     nxt = sweeps.evolve(base, lineage, 20, seed=5, elite=2)
@@ -211,3 +211,44 @@ def test_spawn_respects_budget(spark):
     s = sweeps.spawn(work, base, seed=2)
     assert {r.request_id: r["count"] for r in s.groupBy("request_id").count().collect()} == {"r1": 7, "r2": 3}
     assert s.join(base.select("strategy_id"), "strategy_id", "left_semi").count() == 0
+
+
+def test_population_is_complete_or_fails(spark):
+    """More members than the grid of edits gives in one go, elites by the order of the pool, one parent."""
+    base = spec_table(spark, demo_records())
+    lineage = base.select("strategy_id", F.lit(3).alias("generation"))
+    big = sweeps.evolve(base, lineage, 400, seed=1, elite=2, pool_rank="name")
+    assert big.count() == 400 and big.select("strategy_id").distinct().count() == 400
+    assert [r.name for r in big.where("operator = 'elite'").orderBy("name").collect()] == sorted(r.name for r in base.collect())[:2]
+    one = base.limit(1)
+    alone = sweeps.evolve(one, lineage, 8, seed=1, elite=5)
+    assert alone.count() == 8 and alone.where("operator = 'elite'").count() == 1
+    with pytest.raises(ValueError, match="unique population"):
+        sweeps.evolve(base.limit(2), lineage, 60, seed=1, mutation_rate=0.0, crossover_rate=1.0)
+    pairs = sweeps.hash_pairs(base, 3, 4)
+    assert pairs.where("a_id = b_id").count() == 0
+    assert pairs.select("a_id").distinct().count() == base.count()
+
+
+def test_pareto_keeps_rows_that_compare_with_nothing(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.5, 0.5), ("c", None, 2.0), ("d", float("nan"), 0.0), ("e", 0.7, None)], "id string, x double, y double")
+    assert {r.id for r in ranking.pareto_front(df, ["x", "y"]).collect()} == {"a", "c", "d", "e"}
+    by_fitness = df.withColumnRenamed("x", "fitness")
+    assert {r.id for r in ranking.pareto_front(by_fitness, ["fitness", "y"]).collect()} == {"a", "e"}
+
+
+def test_portfolio_build_fails_closed(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, s, ts(k), float(rng.normal(0, 0.01))) for p in ("ok", "short") for s in ("a", "b", "c") for k in range(30 if p == "ok" else 5)]
+    rows += [("ok", "d", ts(k), float("nan") if k == 3 else 0.001 * k) for k in range(30)]
+    returns = spark.createDataFrame(rows, "portfolio_id string, strategy_id string, ts timestamp_ntz, r double")
+    ranked = spark.createDataFrame([(p, s, k + 1) for p in ("ok", "short", "none") for k, s in enumerate("abcd")], "portfolio_id string, strategy_id string, rank int")
+    built = {(r.portfolio_id, r.strategy_id): r for r in pf.build_portfolio(returns, ranked, max_average_correlation=0.9).collect()}
+    assert len(built) == 12
+    taken = [r.weight for (p, _), r in built.items() if p == "ok" and r.selected]
+    assert taken and sum(taken) == pytest.approx(1.0)
+    assert {r.problem for (p, _), r in built.items() if p == "short"} == {"not enough common history"}
+    assert {r.problem for (p, _), r in built.items() if p == "none"} == {"returns contain no finite observations"}
+    why = pf.allocation_problems(returns, minimum=0.3).collect()
+    assert {(r.portfolio_id, r.strategy_id) for r in why} == {("ok", "d"), ("ok", None)}
+    assert pf.inverse_volatility(returns).where("portfolio_id = 'ok'").count() == 0
