@@ -216,7 +216,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     held = stored(held, "cut")
     few = held.where(F.col("spans") <= GROUP).repartition("h").sortWithinPartitions("h", "row", "s").mapInArrow(group_repeats, "row bigint, start bigint, stop bigint")
     many = held.where(F.col("spans") > GROUP).mapInArrow(single_windows, "row bigint, start bigint, n bigint, d1 bigint, d2 bigint")
-    again = many.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    again = lookup(many, ["d1", "d2"], F.count(F.lit(1)).alias("c")).where("c > 1")
     single = many.where("n = 1").join(again, ["d1", "d2"], "left_semi").select("row", "start", (F.col("start") + WINDOW).alias("stop"))
     return whole.unionByName(few).unionByName(single)
 
