@@ -99,8 +99,9 @@ def saved_returns(spark: SparkSession, sf: str) -> DataFrame:
 def scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Evidence columns of every (strategy, supplier) from one aggregate over back-test rows.
 
-    mc_pass_rate is the share of held bars that did not lose, regime_score compares rising and
-    falling bars, so the table has the shape of full evidence at the cost of one pass.
+    mc_pass_rate is the share of held bars that did not lose and mc_lower the worst of them,
+    pert_pass_rate is the share of falling bars without a loss, mc_simulations counts the held bars, regime_score
+    compares rising and falling bars: the table has the shape of full evidence at the cost of one pass.
     """
     b = demo_backtest(spark, sf) if rows is None else rows
     rates = bt.scenario_rates()
@@ -111,6 +112,9 @@ def scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataF
         F.min("drawdown").alias("train_drawdown"),
         (F.max_by("equity", "ts") / F.lit(bt.CASH) - 1.0).alias("oos_return"),
         F.coalesce(F.avg(F.when(F.col("target"), F.when(F.col("net_ret") >= 0, 1.0).otherwise(0.0))), F.lit(0.0)).alias("mc_pass_rate"),
+        F.coalesce(F.min(F.when(F.col("target"), F.col("net_ret"))), F.lit(0.0)).alias("mc_lower"),
+        F.avg(F.when(~up, F.when(F.col("net_ret") >= 0, 1.0).otherwise(0.0))).alias("pert_pass_rate"),
+        F.count(F.when(F.col("target"), 1)).alias("mc_simulations"),
         F.avg(F.when(up, F.col("net_ret"))).alias("up"),
         F.avg(F.when(~up, F.col("net_ret"))).alias("down"),
         *[bt.final_equity(r).alias(f"eq_{s}") for s, r in rates.items()],
@@ -119,7 +123,7 @@ def scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataF
     return a.select(
         F.concat_ws("|", "strategy_id", "symbol").alias("candidate_id"), *CAND, "oos_return", "oos_sharpe",
         F.abs("train_drawdown").alias("oos_drawdown"), "train_drawdown", "mc_pass_rate",
-        F.lit(0.0).alias("mc_lower"), F.lit(1.0).alias("pert_pass_rate"),
+        "mc_lower", "pert_pass_rate",
         (F.least("up", "down") - F.greatest("up", "down")).alias("regime_score"),
         (worst / F.col("eq_baseline")).alias("rob_ratio"), "eq_baseline",
         (worst >= F.col("eq_baseline") * 0.97).alias("rob_passed"),
@@ -127,13 +131,13 @@ def scores(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataF
         .otherwise(F.array().cast("array<string>")).alias("rob_reasons"),
         (finite("oos_sharpe") & (F.col("oos_sharpe") >= 0.5) & (F.abs("train_drawdown") <= 0.25)).alias("wf_passed"),
         F.col("oos_sharpe").alias("fitness"),
-        F.lit(200).cast("bigint").alias("mc_simulations"),
+        "mc_simulations",
     )
 
 
 def gated(spark: SparkSession, sf: str) -> DataFrame:
     """Scores with the promotion verdict."""
-    return gates.promotion(scores(spark, sf), min_mc_pass_rate=0.45, min_regime_score=-0.01)
+    return gates.promotion(scores(spark, sf), min_mc_pass_rate=0.45, min_mc_lower=-0.003, min_pert_pass_rate=0.38, min_regime_score=-0.01)
 
 
 def ranked_members(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:

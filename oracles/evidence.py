@@ -296,6 +296,8 @@ def gate(prefix: str, scen: str, pert: bool) -> str:
     ]
     if pert:
         checks.append(("pert_pass_rate < 0.8", "parameter perturbation stability is below the promotion minimum"))
+    else:
+        checks.append(("TRUE", "parameter perturbation evidence is required"))
     checks += [
         ("regime_score IS NULL", "regime stability evidence is required"),
         ("regime_score < -0.05", "regime stability is below the promotion minimum"),

@@ -9,11 +9,11 @@ part("jud",
      "SELECT g.* EXCLUDE (strategy_id, candidate_id), candidate_id AS strategy_id, why = '' AS promo, CASE WHEN symbol LIKE '%3' THEN NULL ELSE 1.0E0 - mc_pass_rate END AS nov FROM gated_sc g")
 cols = ("fitness", "robustness", "novelty", "uncertainty", "capacity_gap")
 part("sig1",
-     "SELECT strategy_id, CASE WHEN NOT (wf_passed AND promo) THEN 'degraded' ELSE 'capacity' END AS reason, "
+     "SELECT strategy_id, CASE WHEN NOT (wf_passed AND promo) THEN 'degraded' WHEN mc_simulations <= 0 THEN 'halted' ELSE 'capacity' END AS reason, "
      f"{CL.format('fitness')} AS fitness, CASE WHEN rob_passed THEN 1.0E0 ELSE 0.0E0 END AS robustness, {CL.format('COALESCE(nov, 0.0E0)')} AS novelty, "
      f"{CL.format('1.0E0 - mc_pass_rate')} AS uncertainty, CASE WHEN promo THEN 1.0E0 ELSE 0.0E0 END AS capacity_gap FROM jud")
 part("sig2",
-     "SELECT strategy_id, CASE WHEN NOT (wf_passed AND promo) THEN 'degraded' WHEN COALESCE(nov, 0.0E0) < 0.25 THEN 'diversification' ELSE 'capacity' END AS reason, "
+     "SELECT strategy_id, CASE WHEN NOT (wf_passed AND promo) THEN 'degraded' WHEN mc_simulations = 0 THEN 'halted' WHEN COALESCE(nov, 0.0E0) < 0.25 THEN 'diversification' ELSE 'capacity' END AS reason, "
      "GREATEST(fitness, 0.0E0) AS fitness, CASE WHEN rob_passed THEN 1.0E0 ELSE 0.0E0 END AS robustness, GREATEST(COALESCE(nov, 0.0E0), 0.0E0) AS novelty, "
      f"{CL.format('1.0E0 - mc_pass_rate')} AS uncertainty, CASE WHEN nov IS NULL THEN 1.0E0 ELSE 0.0E0 END AS capacity_gap FROM jud")
 for q, t in (("research_signals", "sig1"), ("plan_signals", "sig2")):

@@ -51,15 +51,18 @@ SQL["replacement_templates"] = with_parts(
 
 part("scores",
      f"SELECT b.strategy_id || '|' || b.symbol AS candidate_id, b.strategy_id, b.symbol, s.sharpe AS fitness, s.max_drawdown AS train_drawdown, s.total_return AS oos_return, "
-     "COALESCE(b.mc, 0.0E0) AS mc_pass_rate, LEAST(up, down) - GREATEST(up, down) AS regime_score, r.rob_ratio, r.eq_baseline, r.rob_ratio >= 0.97 AS rob_passed, "
+     "COALESCE(b.mc, 0.0E0) AS mc_pass_rate, COALESCE(b.lo, 0.0E0) AS mc_lower, b.pp AS pert_pass_rate, b.sims AS mc_simulations, LEAST(up, down) - GREATEST(up, down) AS regime_score, r.rob_ratio, r.eq_baseline, r.rob_ratio >= 0.97 AS rob_passed, "
      "s.sharpe >= 0.5 AND ABS(s.max_drawdown) <= 0.25 AS wf_passed FROM ("
-     f"SELECT {CAND}, AVG(CASE WHEN net_ret >= 0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE target) AS mc, AVG(net_ret) FILTER (WHERE close >= prev_close) AS up, "
+     f"SELECT {CAND}, AVG(CASE WHEN net_ret >= 0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE target) AS mc, MIN(net_ret) FILTER (WHERE target) AS lo, COUNT(*) FILTER (WHERE target) AS sims, AVG(CASE WHEN net_ret >= 0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE close < prev_close) AS pp, AVG(net_ret) FILTER (WHERE close >= prev_close) AS up, "
      f"AVG(net_ret) FILTER (WHERE close < prev_close) AS down FROM sf_b GROUP BY {CAND}) b JOIN sf_s s USING ({CAND}) JOIN sc_sup_r r USING ({CAND})")
 _checks = [
     ("NOT wf_passed", "walk-forward/OOS evaluation failed"),
     ("fitness < 0.5", "OOS Sharpe is below the promotion minimum"),
     ("ABS(train_drawdown) > 0.25", "OOS drawdown exceeds the promotion maximum"),
     ("mc_pass_rate < 0.45", "Monte Carlo pass rate is below the promotion minimum"),
+    ("mc_lower < -0.003", "Monte Carlo lower-percentile return is too weak"),
+    ("pert_pass_rate IS NULL", "parameter perturbation evidence is required"),
+    ("pert_pass_rate < 0.38", "parameter perturbation stability is below the promotion minimum"),
     ("regime_score < -0.01", "regime stability is below the promotion minimum"),
     ("NOT rob_passed", "cost_slippage_2x equity fell below robustness threshold"),
 ]
