@@ -22,6 +22,15 @@ def check_config(cash: float, commission_bps: float, slippage_bps: float) -> Non
         raise ValueError("transaction costs cannot be negative")
 
 
+def config_problems(configs: DataFrame) -> DataFrame:
+    """BT10 over a table of configurations (initial_cash, commission_bps, slippage_bps): all columns and ``reasons``."""
+    why = reasons(
+        (F.col("initial_cash") <= 0, "initial_cash must be positive"),
+        ((F.col("commission_bps") < 0) | (F.col("slippage_bps") < 0), "transaction costs cannot be negative"),
+    )
+    return configs.withColumn("reasons", why).where(F.size("reasons") > 0)
+
+
 def with_moves(df: DataFrame, keys: Sequence[str], signal: str = "signal", order: str = "ts") -> DataFrame:
     """BT1-BT4: next-bar target, its predecessor, gross return and turnover.
 

@@ -266,8 +266,8 @@ def manifest(events: DataFrame, run: str = "portfolio_id") -> DataFrame:
 
 def fill_reasons(events: DataFrame, run: str = "portfolio_id") -> DataFrame:
     """LG10: the decision that authorises each fill; a fill without one is an error."""
-    first_ts = F.min("ts").over(whole([run]))
-    df = events.withColumn("first_ts", first_ts)
+    # One row for each run, from map-side minima: no task sorts or holds the fills of a run.
+    df = events.join(events.groupBy(run).agg(F.min("ts").alias("first_ts")), run)
     sell = F.col("action") == "sell"
     reason = (
         F.when(F.col("halted") & sell, F.when(F.col("ts") == F.col("end_ts"), F.lit("risk_halt")))

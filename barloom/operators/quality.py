@@ -20,6 +20,14 @@ def schema_problems(bars: DataFrame) -> list[str]:
     return out
 
 
+def table_problems(bars: DataFrame) -> DataFrame:
+    """DQ1, DQ2, DQ5 as rows (problem): what the schema lacks, and a table without rows."""
+    spark = bars.sparkSession
+    found = [(p,) for p in schema_problems(bars)]
+    empty = bars.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("market data cannot be empty").alias("problem"))
+    return spark.createDataFrame(found, "problem string").unionByName(empty)
+
+
 def cast_numeric(bars: DataFrame) -> DataFrame:
     """DQ6: try-cast the bar columns and drop the others; ``bad_cast`` counts lost values."""
     bad = sum(

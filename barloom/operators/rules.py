@@ -95,6 +95,10 @@ def compiled_signals(
 
 
 # --- spec-table route -----------------------------------------------------
+# Parts of a symbol's bars in the join with the specs; a spec row is copied once for each.
+SALTS = 16
+
+
 def table_indicators(specs: DataFrame) -> list[tuple[str, str, int]]:
     """Distinct (kind, source, period) of a spec table: metadata, not data."""
     rows = (
@@ -181,11 +185,11 @@ def table_signals(
     operands = [*BAR_COLUMNS, *[column_name(*d) for d in wanted]]
     df = with_indicators(bars, keys, wanted, order).withColumn("_vals", F.array(*operands))
     df = df.withColumn("_prev", F.lag("_vals").over(series(keys, order)))
-    # A rule check needs one bar only: spread a hot symbol by time before the specs multiply it.
-    n = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.select(*keys, order, *keep, "_vals", "_prev").repartition(n, "symbol", order)
+    # A rule check needs one bar only: a hot symbol is spread over SALTS parts by time, and each rule goes to all of them.
+    df = df.select(*keys, order, *keep, "_vals", "_prev", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int").alias("_salt"))
     rules = resolve_conditions(specs, operands).withColumn("symbol", F.explode("universe")).drop("universe")
-    return df.join(rules, "symbol").select(
+    rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.join(rules, ["symbol", "_salt"]).select(
         "strategy_id", *keys, order, *keep,
         _signal("entry").alias("entry"), _signal("exit").alias("exit"), "max_position",
     )

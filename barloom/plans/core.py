@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from barloom.operators import backtest as bt
 from barloom.operators import indicators as ind
 from barloom.operators import metrics, quality, rules
 from barloom.operators.specs import demo_records
+from barloom.session import checkpoint_dir
 from barloom.sources import bars as src
 
 KEYS = ["strategy_id", "symbol"]
@@ -75,6 +79,61 @@ def dq_raw_prices(spark: SparkSession, sf: str) -> DataFrame:
     return fails.select("symbol", F.array_join("reasons", "; ").alias("reasons"))
 
 
+def table_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ1, DQ2, DQ5: a good table, one without volume, one with zoned time, one without rows."""
+    good = src.bars_event(spark, sf)
+    cases = {
+        "good": good, "narrow": good.drop("volume", "high"), "zoned": good.withColumn("ts", F.col("ts").cast("timestamp")),
+        "empty": good.where(F.col("volume") < 0),
+    }
+    parts = [quality.table_problems(df).select(F.lit(name).alias("case"), "problem") for name, df in cases.items()]
+    sizes = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("case"), F.concat(F.lit("rows: "), F.col("n").cast("string")).alias("problem")) for name, df in cases.items()]
+    return functools.reduce(DataFrame.unionByName, parts + sizes)
+
+
+def config_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """BT10 over configurations read from parts."""
+    configs = src.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("config"), (F.col("p_retailprice") - 1200.0).alias("initial_cash"),
+        (F.col("p_size") - 3.0).alias("commission_bps"), (F.col("p_size") % 7 - 1.0).alias("slippage_bps"),
+    )
+    return bt.config_problems(configs).select("config", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def stored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC1 and SRC2: bars written as CSV and Parquet and read back, whole and for a range of one symbol."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bars-{uuid.uuid4().hex}"
+    bars = src.bars_priority(spark, sf)
+    bars.write.parquet(f"{folder}/parquet")
+    rows = spark.read.schema(src.BARS).parquet(f"{folder}/parquet")
+    urgent = rows.where(F.col("symbol") == "1-URGENT").drop("symbol")
+    urgent.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Date"), *src.BAR_COLUMNS).write.option("header", True).csv(f"{folder}/csv")
+    loaded = {
+        "csv": src.read_csv_bars(spark, f"{folder}/csv", "1-URGENT"),
+        "range": src.read_bars(spark, f"{folder}/parquet", "2-HIGH", "1995-01-01", "1996-01-01"),
+        "open range": src.read_bars(spark, f"{folder}/parquet", "5-LOW", "1997-06-01"),
+    }
+    parts = [
+        df.groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("bars"), r2(F.sum("close")).alias("close_sum"), r2(F.sum("volume")).alias("volume_sum"),
+            stamp(F.min("ts")).alias("first_ts"), stamp(F.max("ts")).alias("last_ts"),
+        ).withColumn("source", F.lit(name))
+        for name, df in loaded.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def load_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC2 checks: one request for each customer, some for unknown symbols or empty ranges."""
+    k = F.col("c_custkey")
+    start = F.when(k % 5 == 0, F.lit("2030-01-01")).when(k % 3 == 0, F.lit("1995-01-01")).cast("timestamp_ntz")
+    suppliers = src.table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n"))
+    requests = src.table(spark, sf, "customer").join(F.broadcast(suppliers), F.lit(True)).select(  # one row
+        k.alias("request_id"), (k % (F.col("n") + 20)).cast("string").alias("symbol"), start.alias("start"), F.lit(None).cast("timestamp_ntz").alias("end"),
+    )
+    return src.load_problems(src.bars_supplier(spark, sf), requests)
+
+
 def ema_bars(spark: SparkSession, sf: str) -> DataFrame:
     b = src.bars_priority(spark, sf)
     for p in (2, 10, 30):
@@ -255,6 +314,10 @@ QUERIES = {
     "bars_priority": bars_query(src.bars_priority),
     "bars_event": bars_query(src.bars_event),
     "dq_report": dq_report,
+    "table_problems": table_problems,
+    "config_problems": config_problems,
+    "stored_bars": stored_bars,
+    "load_problems": load_problems,
     "dq_raw_prices": dq_raw_prices,
     "ingest_order": ingest_order,
     "numeric_cast": numeric_cast,

@@ -142,6 +142,22 @@ def request_problems(bars: DataFrame, requests: DataFrame) -> DataFrame:
     return twice.unionByName(empty)
 
 
+def load_problems(bars: DataFrame, requests: DataFrame) -> DataFrame:
+    """SRC2 checks: (request_id, reason) of requests(request_id, symbol, start, end) that cannot be loaded.
+
+    A symbol without any bar is unknown; one whose half-open range holds none is an empty range.
+    """
+    seen = bars.groupBy("symbol").agg(F.lit(True).alias("known"))
+    r = requests.select("request_id", "symbol", F.col("start").alias("req_start"), F.col("end").alias("req_end"))
+    inside = (F.col("req_start").isNull() | (F.col("ts") >= F.col("req_start"))) & (F.col("req_end").isNull() | (F.col("ts") < F.col("req_end")))
+    got = r.join(bars.select("symbol", "ts"), "symbol").where(inside).select("request_id").distinct().withColumn("found", F.lit(True))
+    reason = F.when(F.col("known").isNull(), F.concat(F.lit("unknown symbol: "), "symbol")).when(
+        F.col("found").isNull(), F.lit("requested market-data range is empty")
+    )
+    out = r.join(seen, "symbol", "left").join(got, "request_id", "left")
+    return out.select("request_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def inclusive_end(requests: DataFrame, timeframe: str = "1d") -> DataFrame:
     """SRC11: turn an inclusive end into the exclusive one by adding one bar."""
     step = {

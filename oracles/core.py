@@ -182,3 +182,20 @@ SQL["ragged_timestamps"] = with_parts(
 SQL["key_mismatch"] = (
     "WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer ), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderpriority = '2-HIGH') "
     "SELECT key, 'right' AS missing_in FROM a WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'left' FROM b WHERE key NOT IN (SELECT key FROM a)")
+
+SQL["table_problems"] = with_parts(
+    "SELECT 'narrow' AS \"case\", 'missing required columns: ' || c AS problem FROM (VALUES ('high'), ('volume')) t(c) UNION ALL SELECT 'zoned', 'market data index must be timezone-naive' "
+    "UNION ALL SELECT 'empty', 'market data cannot be empty' FROM bars_event HAVING COUNT(*) FILTER (WHERE volume < 0) = 0 "
+    "UNION ALL SELECT c, 'rows: ' || COUNT(*) FILTER (WHERE c <> 'empty' OR volume < 0) FROM bars_event, (VALUES ('good'), ('narrow'), ('zoned'), ('empty')) t(c) GROUP BY c")
+SQL["config_problems"] = with_parts(
+    "SELECT config, reasons FROM (SELECT p_partkey AS config, CONCAT_WS('; ', CASE WHEN p_retailprice - 1200.0E0 <= 0 THEN 'initial_cash must be positive' END, "
+    "CASE WHEN p_size < 3 OR p_size % 7 < 1 THEN 'transaction costs cannot be negative' END) AS reasons FROM part) WHERE reasons <> ''")
+_T = "STRFTIME({}(ts), '%Y-%m-%d %H:%M:%S')"
+SQL["stored_bars"] = with_parts(
+    f"SELECT symbol, COUNT(*) AS bars, {r2('SUM(close)')} AS close_sum, {r2('SUM(volume)')} AS volume_sum, {_T.format('MIN')} AS first_ts, {_T.format('MAX')} AS last_ts, source FROM ("
+    "SELECT *, 'csv' AS source FROM bars_priority WHERE symbol = '1-URGENT' UNION ALL SELECT *, 'range' FROM bars_priority WHERE symbol = '2-HIGH' AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1996-01-01' "
+    "UNION ALL SELECT *, 'open range' FROM bars_priority WHERE symbol = '5-LOW' AND ts >= TIMESTAMP '1997-06-01') GROUP BY symbol, source")
+SQL["load_problems"] = with_parts(
+    "SELECT request_id, CASE WHEN sy NOT IN (SELECT symbol FROM bars_supplier) THEN 'unknown symbol: ' || sy ELSE 'requested market-data range is empty' END AS reason FROM ("
+    "SELECT c_custkey AS request_id, CAST(c_custkey % ((SELECT COUNT(*) FROM supplier) + 20) AS VARCHAR) AS sy, CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '2030-01-01' WHEN c_custkey % 3 = 0 THEN TIMESTAMP '1995-01-01' END AS st FROM customer) q "
+    "WHERE NOT EXISTS (SELECT 1 FROM bars_supplier b WHERE b.symbol = q.sy AND (q.st IS NULL OR b.ts >= q.st))")
