@@ -34,10 +34,33 @@ def aligned(returns: DataFrame) -> DataFrame:
     return returns.join(good, [G, "ts"], "left_semi")
 
 
+# Members up to which the pairs of one timestamp are aggregated directly; larger portfolios go through block tiles.
+PAIR_MEMBERS = 32
+
+
+def pair_moments(returns: DataFrame) -> DataFrame:
+    """``moments`` for small portfolios: the pairs of a timestamp are rows of a map-side aggregate."""
+    at = returns.groupBy(G, "ts").agg(F.sort_array(F.collect_list(F.struct("strategy_id", "r"))).alias("m"))
+    pairs = F.flatten(
+        F.transform(
+            "m",
+            lambda a, i: F.transform(
+                F.slice(F.col("m"), i + 1, F.size("m")),
+                lambda b: F.struct(a["strategy_id"].alias("a"), b["strategy_id"].alias("b"), a["r"].alias("x"), b["r"].alias("y")),
+            ),
+        )
+    )
+    cells = at.select(G, F.inline(pairs)).groupBy(G, "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.covar_samp("x", "y").alias("cov"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy")
+    )
+    return cells.select(G, "a", "b", "n", "cov", ratio(F.col("cov"), F.col("sx") * F.col("sy")).alias("corr"))
+
+
 def moments(returns: DataFrame, blocks: int | None = None, ts_blocks: int | None = None) -> DataFrame:
     """PF2, PF3: covariance and correlation of every strategy pair of aligned returns.
 
-    Block tiles multiply matrices of (timestamps x strategies): a return is copied once per
+    Portfolios of up to PAIR_MEMBERS strategies take ``pair_moments`` (equal up to the order of sums).  For larger ones block
+    tiles multiply matrices of (timestamps x strategies): a return is copied once per
     strategy block, not once per partner, and partial products add up over timestamp blocks.
     Returns are centred first, so the sums do not cancel.  Block counts follow from the largest
     portfolio unless given: a tile holds at most about 512 x 512 strategies and 4096 timestamps.
@@ -46,6 +69,8 @@ def moments(returns: DataFrame, blocks: int | None = None, ts_blocks: int | None
         top = returns.groupBy(G, "strategy_id").agg(F.count(F.lit(1)).alias("t")).groupBy(G).agg(
             F.count(F.lit(1)).alias("n"), F.max("t").alias("t")
         ).agg(F.max("n").alias("n"), F.max("t").alias("t")).first()
+        if blocks is None and (top["n"] or 0) <= PAIR_MEMBERS:
+            return pair_moments(returns)
         blocks = blocks or max(1, math.ceil((top["n"] or 1) / 512))
         ts_blocks = ts_blocks or max(1, math.ceil((top["t"] or 1) / 4096))
     centred = returns.withColumn(
