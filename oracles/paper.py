@@ -58,6 +58,29 @@ SQL["halted_reasons"] = with_parts("SELECT portfolio_id, reason, COUNT(*) AS fil
 SQL["audit_manifest"] = with_parts("SELECT portfolio_id, COUNT(*) AS event_count, TRUE AS valid, TRUE AS has_fingerprint FROM lfill_f GROUP BY 1")
 part("lcash", f"SELECT portfolio_id, 75000.0E0 + SUM(CASE WHEN action = 'buy' THEN -q * {PX} * {1 + C}E0 ELSE q * {PX} * {1 - C}E0 END) AS ec FROM lfill_f GROUP BY 1")
 SQL["ledger_replay"] = with_parts(f"SELECT portfolio_id, TRUE AS valid, {r2('ec')} AS ending_cash, CAST(NULL AS VARCHAR) AS error FROM lcash")
+# the ledger with one thing broken in each of four runs, replayed event by event
+part("tam0",
+     f"SELECT portfolio_id, strategy_id, action, q, {PX} AS price, q * {PX} * {C}E0 AS fee, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY ts, phase, strategy_id) - 1 AS seq FROM lfill_f")
+part("tam1",
+     "SELECT portfolio_id, strategy_id, seq, price, CASE WHEN portfolio_id = 'click' AND seq = 2 THEN q * 50 ELSE q END AS q, "
+     "CASE WHEN portfolio_id = 'purchase' AND seq = 0 THEN 'hold' ELSE action END AS action, "
+     "CASE WHEN portfolio_id = 'error' AND seq = 1 THEN 0.0E0 WHEN portfolio_id = 'view' AND seq = 3 THEN fee * 2 + 1 ELSE fee END AS fee FROM tam0")
+part("tam2",
+     f"SELECT *, ABS(fee - q * price * {C}E0) > 1e-8 * GREATEST(q * price * {C}E0, 1.0E0) AS off, SUM(CASE WHEN action = 'buy' THEN q ELSE -q END) OVER w AS pos, "
+     "15000.0E0 + SUM(CASE WHEN action = 'buy' THEN -(q * price + fee) ELSE q * price - fee END) OVER w AS cash "
+     "FROM tam1 WINDOW w AS (PARTITION BY portfolio_id, strategy_id ORDER BY seq)")
+part("tam3",
+     "SELECT *, CASE WHEN action NOT IN ('buy', 'sell') THEN 'audit event action must be buy or sell' WHEN action = 'sell' AND pos < -1e-8 THEN 'audit ledger contains a sell exceeding the strategy position' "
+     "WHEN action = 'buy' AND cash < -1e-8 THEN 'audit ledger contains a buy exceeding available strategy cash' END AS why, "
+     "ROW_NUMBER() OVER (PARTITION BY portfolio_id, strategy_id ORDER BY seq DESC) = 1 AS last FROM tam2")
+part("tam4",
+     "SELECT portfolio_id, MIN_BY(why, seq) FILTER (WHERE why IS NOT NULL) AS first_why, BOOL_OR(off AND fee = 0) AS zero_fee, BOOL_OR(off) AS any_off, MAX(ABS(pos)) FILTER (WHERE last) AS open, "
+     "75000.0E0 + SUM(CASE WHEN action = 'buy' THEN -(q * price + fee) ELSE q * price - fee END) AS ends FROM tam3 GROUP BY 1")
+part("tam",
+     "SELECT portfolio_id, COALESCE(first_why, CASE WHEN zero_fee THEN 'audit fill fee does not match execution configuration' WHEN open > 1e-8 THEN 'audit ledger does not end flat' "
+     "WHEN any_off THEN 'audit fill fee does not match execution configuration' WHEN ABS(ends - ec) > 1e-8 * GREATEST(ABS(ec), 1.0E0) THEN 'audit ledger cash does not reconcile to final equity' END) AS error "
+     "FROM tam4 JOIN lcash USING (portfolio_id)")
+SQL["tampered_replay"] = with_parts("SELECT portfolio_id, error IS NULL AS valid, error FROM tam")
 part("ports", "SELECT DISTINCT event_type AS portfolio_id FROM events")
 SQL["run_verification"] = with_parts(
     "SELECT portfolio_id, COUNT(*) AS event_count, portfolio_id <> 'view' AS valid, CASE WHEN portfolio_id = 'view' THEN 'persisted execution ledger fingerprint mismatch' END AS reason FROM lfill_f GROUP BY 1")
