@@ -190,6 +190,7 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
 
 
 # --- greedy subsets ---------------------------------------------------------
+FOLD = 16
 RANK_KEY = ("fitness", "mc_pass_rate", "rob_ratio", "regime_score", "candidate_id")
 
 
@@ -199,35 +200,34 @@ def diverse_subset(
     """RK6: start from the best candidate, then add the one farthest from the chosen set.
 
     Each round is one pass with a map-side maximum; only the chosen row reaches the driver, and
-    the round count is the requested population size.
+    the round count is the requested population size.  The distance to the chosen set is a column that is
+    renewed every FOLD picks, so the expressions of a pass do not grow with the population.
     """
     fields = [f"_g{n}" for n in range(N_FIELDS)]
     wide = genes.select(
         F.col("strategy_id").alias("candidate_id"),
         *[F.xxhash64(canonical(f)).alias(g) for f, g in zip(SPEC_FIELDS, fields)],
     )
-    base = cut(evaluated.select(*RANK_KEY).join(wide, "candidate_id"))
-    if size <= 0:
-        return []
-    chosen: list = []
+    base = cut(evaluated.select(*RANK_KEY).join(wide, "candidate_id").withColumn("_d", F.lit(2.0)))
+    chosen: list[str] = []
+    recent: list = []
     while len(chosen) < size:
         pool = base
-        if chosen:
-            pool = pool.where(~F.col("candidate_id").isin([c["candidate_id"] for c in chosen]))
-            apart = [
-                sum((F.col(g) != F.lit(c[g])).cast("int") for g in fields) / F.lit(float(N_FIELDS)) for c in chosen
-            ]
-            nearest = apart[0] if len(apart) == 1 else F.least(*apart)
-            pool = pool.withColumn("_d", nearest).where(F.col("_d") >= minimum_distance)
-        else:
-            pool = pool.withColumn("_d", F.lit(0.0))
+        if recent:
+            apart = [sum((F.col(g) != F.lit(c[g])).cast("int") for g in fields) / F.lit(float(N_FIELDS)) for c in recent]
+            pool = pool.where(~F.col("candidate_id").isin([c["candidate_id"] for c in recent])).withColumn("_d", F.least("_d", *apart))
+            pool = pool.where(F.col("_d") >= minimum_distance)
+        if len(recent) == FOLD:
+            base = pool = cut(pool)
+            recent = []
         best = pool.agg(
             F.max_by(F.struct("candidate_id", *fields), F.struct("_d", *RANK_KEY)).alias("best")
         ).first()["best"]
         if best is None:
             break
-        chosen.append(best)
-    return [c["candidate_id"] for c in chosen]
+        chosen.append(best["candidate_id"])
+        recent.append(best)
+    return chosen
 
 
 def select_population(

@@ -165,14 +165,19 @@ def selected_population(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diverse_population(spark: SparkSession, sf: str) -> DataFrame:
-    """RK6/RK7: max-min diverse part specs, fitness read from the retail price."""
+    """RK6/RK7: max-min diverse part specs; fitness read from the period, ties settled by a draw over the genes."""
     s = fx.part_specs(spark, sf)
+    first, second = F.col("indicators")[0], F.get("indicators", 1)
+    level = F.coalesce(second["period"].cast("string"), F.format_string("%.0f", F.get("entry.all", 0)["right_num"]))
+    genes = F.concat_ws(
+        "|", "name", F.col("universe")[0], first["kind"], first["period"].cast("string"), level, F.format_string("%.2f", "position_sizing.max_position"),
+    )
     e = s.select(
-        F.col("strategy_id").alias("candidate_id"), (F.col("indicators")[0]["period"] / 50.0).alias("fitness"),
-        F.lit(1.0).alias("mc_pass_rate"), F.lit(1.0).alias("rob_ratio"), F.lit(0.0).alias("regime_score"),
+        F.col("strategy_id").alias("candidate_id"), (first["period"] / 50.0).alias("fitness"),
+        (F.conv(F.substring(F.md5(genes), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)).alias("mc_pass_rate"), F.lit(1.0).alias("rob_ratio"), F.lit(0.0).alias("regime_score"),
     )
     p = ranking.select_population(e, s, 12, minimum_distance=0.2)
-    return p.groupBy("tier").agg(F.count(F.lit(1)).alias("members"), r6(F.max("fitness")).alias("best"))
+    return p.groupBy("tier").agg(F.count(F.lit(1)).alias("members"), r6(F.max("fitness")).alias("best"), r6(F.sum("mc_pass_rate")).alias("draws"))
 
 
 QUERIES = {

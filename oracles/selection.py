@@ -99,3 +99,13 @@ SQL["next_population"] = with_parts(
     "UNION ALL SELECT 'crossover', n, n, 1, 1, 2, NULL, NULL FROM np_crossed "
     "UNION ALL SELECT 'mutation', 200 - (SELECT COUNT(*) FROM np_elite) - n, 200 - (SELECT COUNT(*) FROM np_elite) - n, 1, 1, 1, NULL, NULL FROM np_crossed")
 
+
+# max-min picks, one unrolled step each
+part("dv", "SELECT *, fast / 50.0E0 AS fit, CAST('0x' || substr(md5(CONCAT_WS('|', name, universe, kind, fast, COALESCE(CAST(slow_or AS INTEGER), CAST(level_or AS INTEGER)), FORMAT('{:.2f}', cap))), 1, 8) AS BIGINT) / 4294967296.0E0 AS mc FROM p_num")
+part("dv1", "SELECT * FROM dv ORDER BY fit DESC, mc DESC LIMIT 1")
+for k in range(2, 13):
+    part(f"dv{k}",
+         f"SELECT * FROM dv{k - 1} UNION ALL SELECT * FROM (SELECT a.* FROM dv a JOIN (SELECT a.id, MIN({DIST}) AS d FROM dv a, dv{k - 1} b GROUP BY a.id) n ON n.id = a.id "
+         f"WHERE a.id NOT IN (SELECT id FROM dv{k - 1}) AND n.d / 11.0E0 >= 0.2E0 ORDER BY n.d DESC, a.fit DESC, a.mc DESC LIMIT 1)")
+SQL["diverse_population"] = with_parts(
+    f"SELECT CAST(0 AS BIGINT) AS tier, COUNT(*) AS members, {r6('MAX(fit)')} AS best, {r6('SUM(mc)')} AS draws FROM dv12")
