@@ -159,8 +159,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # One row for each language.
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    # One row for each language; the texts are not shuffled for it.
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.join(sizes, "lang").where(draw < F.lit(float(sample)) / F.col("total")).select("lang", "text")
     counts = picked.mapInArrow(gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
