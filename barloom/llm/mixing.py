@@ -3,7 +3,8 @@
 Within a source every document expects ``target / source_size`` copies.  Documents are put in order of
 size, the expected copies are summed up in that order, one random offset is added for the source, and a
 document is taken once for each integer boundary that its sum crosses.  Since neighbours in the order
-have like sizes, the words taken differ from the target by about one large document at most.
+have like sizes, the words taken differ from the target by about one large document at most.  Where a
+source is small that is still much, so OFFSETS offsets are drawn and the one whose words come nearest is used.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from barloom.llm.common import hex_number, table, words_expr
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+OFFSETS = 32
 
 
 def source_key(col: Column) -> Column:
@@ -31,6 +33,12 @@ def id_key(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit("null"))
 
 
+def drawn(key: Column, seed: str, k: int | Column) -> Column:
+    """The k-th random offset of a source, from 0 to 1."""
+    number = F.lit(str(k)) if isinstance(k, int) else k.cast("string")
+    return hex_number(F.md5(F.concat(F.lit(f"{seed}/"), number, F.lit("/"), key)), 1, 13) / F.lit(float(16**13))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``key, n_docs, source_size`` with ``target``: shares by weight, stopped at ``most`` times the size.
 
@@ -69,9 +77,18 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     joined = ranked.join(targets(sizes), "key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = hex_number(F.md5(F.concat(F.lit(f"{seed}/"), F.col("key"))), 1, 13) / F.lit(float(16**13))
     place = F.col("rank") - F.col("first")
-    copies = F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)
+
+    def copies_at(offset: Column) -> Column:
+        return F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)
+
+    # Sums of a source for every offset, one row for each source.
+    tried = joined.groupBy("key").agg(
+        F.first("target").alias("wanted"), *[F.sum(F.col("size") * copies_at(drawn(F.col("key"), seed, k))).alias(f"taken{k}") for k in range(OFFSETS)]
+    )
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken{k}") - F.col("wanted")).alias("far"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
+    joined = joined.join(tried.select("key", drawn(F.col("key"), seed, nearest).alias("offset")), "key")
+    copies = copies_at(F.col("offset"))
     keys = [id_key(F.col("doc_id")).alias("id"), F.col("key")] if with_key else []
     return joined.select("doc_id", "size", "source_size", "target", copies.cast("bigint").alias("copies"), *keys)
 
@@ -101,12 +118,16 @@ t AS (
               ELSE weight * (SELECT MIN_BY(g.level, ({MOST} * g.source_size / g.weight, g.key)) FROM f AS g WHERE {MOST} * g.source_size > g.level * g.weight) END AS target
   FROM f),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.key, d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0E0 END AS rate,
-         CAST('0x' || substr(md5('{SEED}/' || d.key), 1, 13) AS BIGINT) / {float(16**13)!r}::DOUBLE AS u,
          ROW_NUMBER() OVER (PARTITION BY d.key ORDER BY d.size, d.doc_id NULLS FIRST) AS i
   FROM d JOIN t USING (key)),
-c AS (SELECT *, CAST(FLOOR(rate * i + u) - FLOOR(rate * (i - 1) + u) AS BIGINT) AS copies FROM r)
+o AS (SELECT key, k, CAST('0x' || substr(md5('{SEED}/' || k || '/' || key), 1, 13) AS BIGINT) / {float(16**13)!r}::DOUBLE AS u FROM s, range({OFFSETS}) AS n(k)),
+b AS (
+  SELECT key, ARG_MIN(u, (far, k)) AS u FROM (
+    SELECT key, k, u, ABS(SUM(size * (FLOOR(rate * i + u) - FLOOR(rate * (i - 1) + u))) - MAX(target)) AS far FROM r JOIN o USING (key) GROUP BY key, k, u)
+  GROUP BY key),
+c AS (SELECT *, CAST(FLOOR(rate * i + u) - FLOOR(rate * (i - 1) + u) AS BIGINT) AS copies FROM r JOIN b USING (key))
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 

@@ -34,11 +34,14 @@ def brute_mix(rows):
         capped |= over
     out = []
     for s in sources:
-        u = md5_share(f"{mixing.SEED}/" + ("n" if s is None else "a" + s), 13) / 16**13
         rate = target[s] / total[s] if total[s] else 0.0
         own = sorted(((n, i) for i, n, x in sizes if x == s), key=lambda e: (e[0], e[1] is not None, e[1] or 0))
-        for k, (n, i) in enumerate(own, 1):
-            out.append((i, n, total[s], target[s], int(rate * k + u) - int(rate * (k - 1) + u)))
+        tried = []
+        for draw in range(mixing.OFFSETS):
+            u = md5_share(f"{mixing.SEED}/{draw}/" + ("n" if s is None else "a" + s), 13) / 16**13
+            copies = [int(rate * k + u) - int(rate * (k - 1) + u) for k in range(1, len(own) + 1)]
+            tried.append((abs(sum(n * c for (n, _), c in zip(own, copies)) - target[s]), draw, copies))
+        out += [(i, n, total[s], target[s], c) for (n, i), c in zip(own, min(tried)[2])]
     return out
 
 
