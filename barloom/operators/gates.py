@@ -1,4 +1,7 @@
-"""Promotion gate, eligibility, reviews, admissions (GT1-GT10)."""
+"""Promotion gate, eligibility, reviews, admissions (GT1-GT10).
+
+Reason texts and default limits are fixed values: they are part of the results.
+"""
 
 from __future__ import annotations
 
@@ -208,13 +211,45 @@ def paper_admission(admissions: DataFrame, runs: DataFrame, certificates: DataFr
     )
 
 
+ADMISSION = ["run_id", "strategy_id", "source_stage", "target_stage", "certificate_id"]
+
+
+def admission_digest() -> Column:
+    """Digest that is stored with an admission record."""
+    return content_id(ADMISSION, 32)
+
+
+def paper_replay(requests: DataFrame, admissions: DataFrame, runs: DataFrame, certificates: DataFrame) -> DataFrame:
+    """GT6: stored admissions(ADMISSION columns, record_digest) of requests(run_id) checked again, failing closed.
+
+    ``runs`` has (run_id, halted), ``certificates`` (run_id, valid, reason, certificate_id) as verified now.
+    """
+    a = admissions.select(*ADMISSION, "record_digest").withColumn("intact", F.col("record_digest") == admission_digest()).withColumn("stored", F.lit(True))
+    r = runs.select("run_id", F.col("halted").alias("r_halted")).withColumn("has_run", F.lit(True))
+    c = certificates.select("run_id", F.col("valid").alias("c_ok"), F.col("reason").alias("c_reason"), F.col("certificate_id").alias("c_id"))
+    df = requests.select("run_id").join(a, "run_id", "left").join(r, "run_id", "left").join(c, "run_id", "left")
+    there = F.col("stored").isNotNull()
+    valid = F.coalesce("c_ok", F.lit(False))
+    why = reasons(
+        (~there, "paper admission is missing"),
+        (there & ~F.col("source_stage").eqNullSafe(F.lit("promoted")), "admission source stage is not promoted"),
+        (there & ~F.col("target_stage").eqNullSafe(F.lit("paper")), "admission target stage is not paper"),
+        (there & F.col("has_run").isNull(), "portfolio execution run is missing"),
+        (there & F.col("r_halted"), "portfolio execution run is halted"),
+        (there & ~valid, F.concat(F.lit("reproducibility certificate is invalid: "), F.coalesce("c_reason", F.lit("missing")))),
+        (there & valid & ~F.col("c_id").eqNullSafe(F.col("certificate_id")), "admission certificate identity does not match persisted certificate"),
+        (there & ~F.coalesce("intact", F.lit(False)), "durable paper admission verification failed"),
+    )
+    return df.select("run_id", "strategy_id", why.alias("reasons")).withColumn("valid", F.size("reasons") == 0)
+
+
 def successor_handoff(
     requests: DataFrame, lifecycle: DataFrame, runs: DataFrame, members: DataFrame,
     experiments: DataFrame, evidence: DataFrame, verification: DataFrame, certificates: DataFrame,
 ) -> DataFrame:
     """GT7: requests(strategy_id, run_id) against seven tables by left joins on their keys.
 
-    A missing run or portfolio ends the check, so later rules are guarded by it.
+    ``certificates`` has the stored ``certificate_id`` and the recomputed ``integrity_id``.  A missing run or portfolio ends the check, so later rules are guarded by it.
     """
     life = lifecycle.select("strategy_id", F.col("stage").alias("life_stage"))
     run = runs.select("run_id", "portfolio_id", "halted")
@@ -225,7 +260,9 @@ def successor_handoff(
         "experiment_id", F.get_json_object("evidence", "$.promotion.eligible").alias("ev_eligible")
     ).withColumn("has_evidence", F.lit(True))
     check = verification.select("run_id", F.col("valid").alias("v_ok"), F.col("reason").alias("v_reason"))
-    cert = certificates.select("run_id", F.col("valid").alias("c_ok"), F.col("reason").alias("c_reason"))
+    cert = certificates.select(
+        "run_id", F.col("valid").alias("c_ok"), F.col("reason").alias("c_reason"), F.col("certificate_id").alias("c_stored"), F.col("integrity_id").alias("c_found")
+    )
     df = (
         requests.join(life, "strategy_id", "left").join(run, "run_id", "left")
         .join(known, "portfolio_id", "left").join(member, ["portfolio_id", "strategy_id"], "left")
@@ -261,6 +298,10 @@ def successor_handoff(
             go & ~F.coalesce("c_ok", F.lit(False)),
             F.concat(F.lit("reproducibility certificate is invalid: "), F.coalesce("c_reason", F.lit("missing"))),
         ),
+        (
+            go & F.coalesce("c_ok", F.lit(False)) & ~F.coalesce(F.col("c_stored") == F.col("c_found"), F.lit(False)),
+            "persisted reproducibility certificate identity is inconsistent",
+        ),
     )
     return df.select(
         "strategy_id", "run_id", F.array_distinct(F.concat("_first", later)).alias("reasons")

@@ -96,6 +96,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 def provenance_nodes(tables: dict[str, DataFrame]) -> DataFrame:
     """GR4: nodes of all kinds that the given tables describe."""
     out = []
+    # The kinds of node.
     recipes = {
         "paper_run": ("runs", "run_id"), "portfolio": ("portfolios", "portfolio_id"), "dataset": ("datasets", "dataset_key"),
         "data_bundle": ("datasets", "data_bundle_version"), "experiment": ("experiments", "experiment_id"),
@@ -116,6 +117,7 @@ def provenance_nodes(tables: dict[str, DataFrame]) -> DataFrame:
 
 def provenance_edges(tables: dict[str, DataFrame]) -> DataFrame:
     """GR4: labelled edges of the research-to-paper graph."""
+    # The kinds joined by each relation, and its name.
     recipes = [
         ("datasets", "dataset", "dataset_key", "data_bundle", "data_bundle_version", "bundles"),
         ("portfolios", "data_bundle", "data_bundle_version", "portfolio", "portfolio_id", "input_to"),

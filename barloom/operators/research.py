@@ -9,6 +9,7 @@ from barloom.functions.columns import clip01, finite, ratio, reasons, whole
 from barloom.operators.ranking import distance_extremes, mean_distance
 
 SIGNAL = ["strategy_id", "reason", "fitness", "robustness", "novelty", "uncertainty", "capacity_gap"]
+# Fixed weights of the priority score.
 WEIGHTS = {"fitness": 0.20, "robustness": 0.15, "novelty": 0.25, "uncertainty": 0.25, "capacity_gap": 0.15}
 
 

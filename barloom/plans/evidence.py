@@ -144,7 +144,7 @@ def table_signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def cost_scenarios(spark: SparkSession, sf: str) -> DataFrame:
     s = ev.cost_scenarios(moves(src.bars_supplier(spark, sf), ev.compiled(DEMO)))
-    rows = ev.scenario_rows(s.withColumn("rob_ratio", F.col("rob_ratio")))
+    rows = ev.scenario_rows(s)
     return rows.select(*CAND, "scenario", r2("final_equity").alias("final_equity"), "rob_passed")
 
 

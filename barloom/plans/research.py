@@ -221,12 +221,35 @@ def successor_handoff(spark: SparkSession, sf: str) -> DataFrame:
     exp = members.select("experiment_id", "strategy_id").distinct()
     ev = exp.select("experiment_id", F.when(F.col("experiment_id").endswith("3"), '{"promotion":{"eligible":false}}').otherwise('{"promotion":{"eligible":true}}').alias("evidence"))
     ver = runs.select("run_id", (F.col("run_id") % 6 != 0).alias("valid"), F.lit("ledger fingerprint mismatch").alias("reason"))
-    cert = o.where(F.col("o_orderpriority") != "3-MEDIUM").select(k.alias("run_id"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"))
+    cert = o.where(F.col("o_orderpriority") != "3-MEDIUM").select(
+        k.alias("run_id"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"), k.cast("string").alias("certificate_id"),
+        F.when(k % 11 != 0, k.cast("string")).otherwise("other").alias("integrity_id"),
+    )
     h = gates.successor_handoff(req, life, runs, members, exp, ev, ver, cert)
     return h.groupBy(F.array_join("reasons", "; ").alias("reasons"), "handed_off").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def paper_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """GT6: stored admissions of all orders replayed; some are missing, altered or lack their run or certificate."""
+    o = src.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    stored = o.where(F.col("o_orderstatus") != "P").select(
+        k.alias("run_id"), F.col("o_custkey").cast("string").alias("strategy_id"), F.when(k % 9 == 0, "paper").otherwise("promoted").alias("source_stage"),
+        F.when(k % 10 == 0, "live").otherwise("paper").alias("target_stage"), F.concat(F.lit("c"), (k % 1000).cast("string")).alias("certificate_id"),
+    )
+    stored = stored.withColumn("record_digest", gates.admission_digest())
+    stored = stored.withColumn("strategy_id", F.when(F.col("run_id") % 13 == 0, F.lit("changed later")).otherwise(F.col("strategy_id")))
+    runs = o.where(F.col("o_orderpriority") != "5-LOW").select(k.alias("run_id"), (k % 8 == 0).alias("halted"))
+    cert = o.where(F.col("o_orderpriority") != "3-MEDIUM").select(
+        k.alias("run_id"), (k % 6 != 0).alias("valid"), F.when(k % 6 == 0, "dataset version mismatch").alias("reason"),
+        F.when(k % 7 == 0, F.lit("c?")).otherwise(F.concat(F.lit("c"), (k % 1000).cast("string"))).alias("certificate_id"),
+    )
+    r = gates.paper_replay(o.select(k.alias("run_id")), stored, runs, cert)
+    return r.groupBy(F.array_join("reasons", "; ").alias("reasons"), "valid").agg(F.count(F.lit(1)).alias("runs"))
+
+
 QUERIES = {
+    "paper_replay": paper_replay,
     "research_signals": research_signals,
     "plan_signals": plan_signals,
     "research_priority": research_priority,

@@ -111,5 +111,14 @@ part("hand1",
      "CASE WHEN run AND port AND mem AND c % 10 = 3 THEN 'successor promotion evidence is not eligible' END) AS first FROM hand")
 part("hand2",
      "SELECT CONCAT_WS('; ', NULLIF(first, ''), CASE WHEN run AND port AND first = '' AND k % 6 = 0 THEN 'paper run verification failed: ledger fingerprint mismatch' END, "
-     "CASE WHEN run AND port AND NOT cert THEN 'reproducibility certificate is invalid: missing' END) AS reasons FROM hand1")
+     "CASE WHEN run AND port AND NOT cert THEN 'reproducibility certificate is invalid: missing' END, "
+     "CASE WHEN run AND port AND cert AND k % 11 = 0 THEN 'persisted reproducibility certificate identity is inconsistent' END) AS reasons FROM hand1")
+part("rep6",
+     "SELECT CASE WHEN o_orderstatus = 'P' THEN 'paper admission is missing' ELSE CONCAT_WS('; ', CASE WHEN o_orderkey % 9 = 0 THEN 'admission source stage is not promoted' END, "
+     "CASE WHEN o_orderkey % 10 = 0 THEN 'admission target stage is not paper' END, CASE WHEN o_orderpriority = '5-LOW' THEN 'portfolio execution run is missing' END, "
+     "CASE WHEN o_orderpriority <> '5-LOW' AND o_orderkey % 8 = 0 THEN 'portfolio execution run is halted' END, "
+     "CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'reproducibility certificate is invalid: missing' WHEN o_orderkey % 6 = 0 THEN 'reproducibility certificate is invalid: dataset version mismatch' "
+     "WHEN o_orderkey % 7 = 0 THEN 'admission certificate identity does not match persisted certificate' END, "
+     "CASE WHEN o_orderkey % 13 = 0 THEN 'durable paper admission verification failed' END) END AS reasons FROM orders")
+SQL["paper_replay"] = with_parts("SELECT reasons, reasons = '' AS valid, COUNT(*) AS runs FROM rep6 GROUP BY 1, 2")
 SQL["successor_handoff"] = with_parts("SELECT reasons, reasons = '' AS handed_off, COUNT(*) AS requests FROM hand2 GROUP BY 1, 2")
