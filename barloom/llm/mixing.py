@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scale import global_rank
-from barloom.llm.common import hex_number, table, words_expr
+from barloom.llm.common import hex_number, lookup, table, words_expr
 
 # Fixed by the task: weights by rank of the source, repeating, and the most copies of a source.
 WEIGHTS = (5, 2, 1)
@@ -83,8 +83,8 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)
 
     # Sums of a source for every offset, one row for each source.
-    tried = joined.groupBy("key").agg(
-        F.first("target").alias("wanted"), *[F.sum(F.col("size") * copies_at(drawn(F.col("key"), seed, k))).alias(f"taken{k}") for k in range(OFFSETS)]
+    tried = lookup(
+        joined, ["key"], F.first("target").alias("wanted"), *[F.sum(F.col("size") * copies_at(drawn(F.col("key"), seed, k))).alias(f"taken{k}") for k in range(OFFSETS)]
     )
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken{k}") - F.col("wanted")).alias("far"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
     joined = joined.join(tried.select("key", drawn(F.col("key"), seed, nearest).alias("offset")), "key")
