@@ -1,8 +1,10 @@
 """Benchmark passages in training documents, by spaced-seed hashing.
 
 A seed is a fixed mask over a window of tokens that ignores some positions, so a window with a few other tokens
-still has the hash of the original.  Hashes of the documents that a small Bloom filter of the benchmark lets through
-are joined with those of the benchmark; a hit counts once the two whole windows agree in enough tokens.
+still has the hash of the original; for every two positions there is a mask that ignores both.  Two other tokens also leave
+one third of a window whole, so only windows with such a third in the benchmark are masked.  Hashes of the documents that
+a small Bloom filter of the benchmark lets through are joined with those of the benchmark; a hit counts once the two
+whole windows agree in enough tokens.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import table
 
 SPAN = 12
-# 1: the position counts; each mask has eight of twelve.
-MASKS = ("111010011011", "110110101101", "101101011101", "110011110101")
+# 1: the position counts.  The positions form four groups (by the remainder of 4) and each mask ignores two of them, so every two
+# positions, ends included, are ignored by one.
+MASKS = ("110011001100", "101010101010", "100110011001", "011001100110", "010101010101", "001100110011")
+# Tokens of a third of a window, of which SPAN - AGREE other tokens leave one whole.
+THIRD = 4
 # Tokens of a window that must agree, of SPAN.
 AGREE = 10
 # An item below SPAN tokens is sought whole; one below this many tokens says too little to be sought.
@@ -44,13 +49,13 @@ def token_blocks(text: str, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
     yield start, np.array(held, np.uint64)
 
 
-def masked_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """Hash of the masked tokens of each window."""
+def masked_hashes(tokens: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the masked tokens of each window, or of those that start ``at`` these places."""
     n = len(tokens) - len(mask) + 1
-    total = np.full(max(n, 0), int(mask, 2) + (len(mask) << 32), np.uint64)
+    total = np.full(max(n, 0) if at is None else len(at), int(mask, 2) + (len(mask) << 32), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1" and n > 0:
-            total = (total ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            total = (total ^ (tokens[k : k + n] if at is None else tokens[at + k])) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
     return total
 
@@ -59,8 +64,21 @@ def slots_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64), (hashes >> np.uint64(40)).astype(np.int64) & (FILTER_BITS - 1)
 
 
-def windows_of(texts: DataFrame, masks: Sequence[str], bits=None) -> DataFrame:
-    """``id, pos, hash, window`` of the windows of ``texts`` (id, text); with ``bits`` only of those the filter lets through."""
+def passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    a, b = slots_of(hashes)
+    return ((known[a >> 3] >> (a & 7)) & (known[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def promising(tokens: np.ndarray, thirds: np.ndarray) -> np.ndarray:
+    """Starts of the windows of SPAN tokens of which at least one third may be in the benchmark."""
+    n = max(len(tokens) - SPAN + 1, 0)
+    found = passes(thirds, masked_hashes(tokens, "1" * THIRD))
+    return np.flatnonzero(np.logical_or.reduce([found[k : k + n] for k in range(0, SPAN, THIRD)]))
+
+
+def windows_of(texts: DataFrame, masks: Sequence[str], bits=None, thirds=None) -> DataFrame:
+    """``id, pos, hash, window`` of the windows of ``texts`` (id, text); with ``bits`` and ``thirds`` only of those the filters let through."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else bits.value
@@ -69,16 +87,15 @@ def windows_of(texts: DataFrame, masks: Sequence[str], bits=None) -> DataFrame:
             out: dict[str, list] = {"id": [], "pos": [], "hash": [], "window": []}
             for key, value in zip(ids, text, strict=True):
                 for start, tokens in token_blocks(value or "", SPAN - 1):
+                    some = None if thirds is None else promising(tokens, thirds.value)
                     for mask in masks:
-                        hashes = masked_hashes(tokens, mask)
-                        keep = np.arange(len(hashes))
-                        if known is not None:
-                            a, b = slots_of(hashes)
-                            keep = np.flatnonzero((known[a >> 3] >> (a & 7) & 1) & (known[b >> 3] >> (b & 7) & 1))
-                        for k in keep.tolist():
+                        at = some if some is not None and len(mask) == SPAN else None
+                        hashes = masked_hashes(tokens, mask, at)
+                        keep = np.arange(len(hashes)) if known is None else np.flatnonzero(passes(known, hashes))
+                        for k, h in zip((keep if at is None else at[keep]).tolist(), hashes[keep].view(np.int64).tolist(), strict=True):
                             out["id"].append(key)
                             out["pos"].append(start + k)
-                            out["hash"].append(int(hashes[k].view(np.int64)))
+                            out["hash"].append(h)
                             out["window"].append(tokens[k : k + len(mask)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["id"], pa.int64()), pa.array(out["pos"], pa.int64()), pa.array(out["hash"], pa.int64()), pa.array(out["window"], pa.list_(pa.int64()))],
@@ -119,7 +136,8 @@ def contaminated(
     for n in short:
         sought = sought.unionByName(windows_of(sized.where(F.col("n") == n).select("id", "text"), ["1" * n]))
     bits = spark.sparkContext.broadcast(filter_bits(sought.select("hash")))
-    found = windows_of(texts, [*MASKS, *("1" * n for n in short)], bits)
+    thirds = spark.sparkContext.broadcast(filter_bits(windows_of(items.where(count >= SPAN), ["1" * THIRD]).select("hash")))
+    found = windows_of(texts, [*MASKS, *("1" * n for n in short)], bits, thirds)
     known = sought.select(F.col("id").alias("item_id"), "hash", F.col("window").alias("original"), F.col("pos").alias("item_pos"))
     hits = found.join(known, "hash")
     equal = F.size(F.filter(F.zip_with("window", "original", lambda a, b: a == b), lambda same: same))
