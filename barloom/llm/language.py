@@ -29,6 +29,12 @@ UNKNOWN = "und"
 # Steepness of the score: mean places out of place, as a share of PROFILE, are weighed by exp(-STEEP x share).
 STEEP = 40.0
 PIECE = 1 << 20
+# A text may be as far from its profile (share of PROFILE) as the farthest but one in a hundred of the labelled documents outside the
+# learned part, at full length or cut to CUT words, and MARGIN more; one of under SHORT grams may be RELAXED farther.
+CALIBRATE, CUT, QUANTILE, MARGIN = 500, 32, 0.99, 0.1
+SHORT, RELAXED = 60, 0.15
+# A language with fewer such documents is not calibrated; its texts may be this far.
+FEWEST, LOOSE = 30, 0.75
 
 
 @cache
@@ -119,12 +125,19 @@ class Profiles:
         places = np.where(ranks < PROFILE, np.abs(ranks - np.arange(len(own))), PROFILE)
         return np.minimum(places, PROFILE).mean(axis=1)
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """The nearest language, first in order of name on a tie, and its share of exp(-STEEP x distance / PROFILE)."""
+    def judge(self, text: str | None, limits: dict[str, float] | None = None) -> tuple[str, float]:
+        """The nearest language, first in order of name on a tie, and its share of exp(-STEEP x distance / PROFILE).
+
+        With ``limits`` (places out of place as a share of PROFILE) a text that is farther even from the nearest is unknown.
+        """
         far = self.distances(text) if text else None
         if far is None:
             return UNKNOWN, 0.0
         best = int(far.argmin())
+        if limits is not None and far[best] / PROFILE > limits[self.names[best]]:
+            few = far[best] / PROFILE <= limits[self.names[best]] + RELAXED and len(ranked(text, SHORT)) < SHORT
+            if not few:
+                return UNKNOWN, 0.0
         return self.names[best], float(1 / np.exp((far[best] - far) * STEEP / PROFILE).sum())
 
 
@@ -176,17 +189,39 @@ def profiles(learned: DataFrame) -> Profiles:
     return Profiles.of(lists)
 
 
-def judged(docs: DataFrame, known: Profiles, text_col: str = "text") -> DataFrame:
+def limits(docs: DataFrame, known: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = CALIBRATE) -> dict[str, float]:
+    """How far a text of each language may be from its profile, from about ``sample`` labelled documents outside the learned part."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
+    rows = rows.where((remainder(F.col("id")) == 2) & F.col("lang").isin(*known.names) & F.col("text").isNotNull())
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
+    draw = F.pmod(F.xxhash64(F.lit("limits"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.join(sizes, "lang").where(draw < F.lit(float(sample)) / F.col("total")).select("lang", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, float]] = []
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = [known.distances(t) for t in (text, " ".join(text.split()[:CUT]))]
+                out += [(lang, max(float(f[known.names.index(lang)]) / PROFILE for f in found if f is not None))] if found[0] is not None else []
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["lang", "far"])
+
+    # One row for each language.
+    found = picked.mapInArrow(read, "lang string, far double").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("far", F.lit(QUANTILE)).alias("far"))
+    near = {r["lang"]: r["far"] + MARGIN for r in found.collect() if r["n"] >= FEWEST}
+    return {name: min(near.get(name, LOOSE), LOOSE) for name in known.names}
+
+
+def judged(docs: DataFrame, known: Profiles, text_col: str = "text", limits: dict[str, float] | None = None) -> DataFrame:
     """All columns of ``docs`` in the struct ``doc``, with ``lang_pred`` and ``score``.
 
-    ``und`` with score 0 for a null text, one without letters, and when no language is known.  Nothing but the text
+    ``und`` with score 0 for a null text, one without letters, one beyond ``limits``, and when no language is known.  Nothing but the text
     decides, so repeated rows get the same answer; an empty table gives no rows.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known.judge(t) for t in batch.column("text").to_pylist()]
+            found = [known.judge(t, limits) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc", "lang_pred", "score"]
             )
