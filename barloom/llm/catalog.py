@@ -1,6 +1,6 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import decontaminate, exact, html, language, mixing, pii, repeats, sharding, simhash, urls
+from barloom.llm import decontaminate, exact, html, language, lines, mixing, pii, repeats, sharding, simhash, urls
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_html": html.op10_html,
+    "op13_lines": lines.op13_lines,
 }
 SQL = {
     "op3_sharding": sharding.OP3_SQL,
@@ -20,4 +21,5 @@ SQL = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
     "op9_url_filter": urls.OP9_SQL,
+    "op13_lines": lines.OP13_SQL,
 }
