@@ -1,6 +1,6 @@
 """Registered queries of the text operators and their SQL twins."""
 
-from barloom.llm import decontaminate, exact, html, language, lines, mixing, pii, repeats, sharding, simhash, urls, whitening
+from barloom.llm import decontaminate, exact, html, language, lines, mixing, pii, repeats, sharding, simhash, spelling, urls, whitening
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_url_filter": urls.op9_url_filter,
     "op10_html": html.op10_html,
+    "op11_spelling": spelling.op11_spelling,
     "op12_whitening": whitening.op12_whitening,
     "op13_lines": lines.op13_lines,
 }
