@@ -417,18 +417,18 @@ def event_files(spark: SparkSession, sf: str) -> str:
 
 
 def stream_equity(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1 over the events as a stream of several files, one to a trigger; the last hour stays open."""
+    """ST1 over the events as a stream of several files, one to a trigger; rows that wait for later ones are judged as they stand."""
 
     def shape(raw: DataFrame) -> DataFrame:
         return raw.select(F.col("event_type").alias(G), "ts", (F.lit(1000.0) - F.col("value")).alias("equity"))
 
     stream = monitors.file_stream(spark, event_files(spark, sf), src.table(spark, sf, "events").schema, shape, files_per_trigger=1)
-    out = monitors.run_available(spark, monitors.equity_monitor(stream, 0.49))
+    out = monitors.run_available(spark, monitors.equity_monitor(stream, 0.49), waiting=lambda state: monitors.open_equity(state, 0.49))
     return out.select(G, F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), r6("equity").alias("equity"), r6("peak").alias("peak"), "halted")
 
 
 def stream_health(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2 over the events as a stream of several files: transitions only; the last hour stays open."""
+    """ST2 over the events as a stream of several files: transitions only, those of waiting rows included."""
 
     def shape(raw: DataFrame) -> DataFrame:
         return raw.select(
@@ -436,7 +436,7 @@ def stream_health(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     stream = monitors.file_stream(spark, event_files(spark, sf), src.table(spark, sf, "events").schema, shape, files_per_trigger=1)
-    out = monitors.run_available(spark, monitors.health_monitor(stream))
+    out = monitors.run_available(spark, monitors.health_monitor(stream), waiting=monitors.open_health)
     return out.select("strategy_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "previous_state", "state", "sequence")
 
 

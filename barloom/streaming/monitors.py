@@ -3,7 +3,11 @@
 Rows wait in the state of their key until the watermark (newest event time less ``late``) has passed them and are then
 worked off in order of time, ties included.  What comes out therefore does not depend on how the rows were spread over
 triggers, as long as no row is later than ``late`` against the newest row before it; a later one is dropped, which is the
-rule for late rows.  Rows newer than the watermark stay open for the next run.
+rule for late rows.
+
+Rows newer than the watermark stay in the state for the next run.  They are judged all the same: ``run_available`` reads
+the state when the stream has stopped and adds what these rows would give now, marked ``provisional``.  The next run
+continues from the same state, so its rows replace them.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -105,8 +109,49 @@ def health_monitor(stream: DataFrame, late: str = LATE) -> DataFrame:
     )
 
 
-def run_available(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Process what is there, write it as Parquet beside the stream checkpoint, and read it back."""
+def _open_rows(state: DataFrame, key: str, value: str) -> DataFrame:
+    """The rows that wait in a state: key, the state's own fields, ``_us`` and the value."""
+    held = F.col("value.groupState")
+    fields = [c for c in state.select("value.groupState.*").columns if not c.startswith("open_")]
+    rows = F.inline(F.arrays_zip(held["open_ts"].alias("_us"), held[f"open_{value}"].alias("_value")))
+    return state.select(F.col(f"key.{key}"), *[held[c].alias(f"_{c}") for c in fields], rows).toDF(key, *[f"_{c}" for c in fields], "_us", "_value")
+
+
+# Microseconds since 1970 as a timestamp without time zone.
+MOMENT = "timestampadd(MICROSECOND, _us, TIMESTAMP_NTZ '1970-01-01 00:00:00') AS ts"
+
+
+def open_equity(state: DataFrame, max_drawdown: float | None) -> DataFrame:
+    """ST1 for the rows that still wait: the same columns, on top of the peak and flag of the key."""
+    rows = _open_rows(state, "portfolio_id", "equity")
+    so_far = Window.partitionBy("portfolio_id").orderBy("_us", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("peak", F.greatest(F.max("_value").over(so_far), "_peak"))
+    broken = F.col("_value") <= 0
+    if max_drawdown is not None:
+        broken = broken | ((F.col("peak") > 0) & (1.0 - F.col("_value") / F.col("peak") >= max_drawdown))
+    halted = F.bool_or(broken).over(so_far) | F.col("_halted")
+    return rows.select("portfolio_id", F.expr(MOMENT), F.col("_value").alias("equity"), "peak", halted.alias("halted"))
+
+
+def open_health(state: DataFrame) -> DataFrame:
+    """ST2 for the rows that still wait: the transitions they make."""
+    rows = _open_rows(state, "strategy_id", "want")
+    order = Window.partitionBy("strategy_id").orderBy("_us", "_value")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_after", F.greatest(F.max("_value").over(so_far).cast("int"), "_state"))
+    rows = rows.withColumn("_before", F.coalesce(F.lag("_after").over(order), F.col("_state")))
+    rows = rows.withColumn("sequence", F.col("_sequence") + F.sum((F.col("_after") != F.col("_before")).cast("int")).over(so_far))
+    names = F.array(*[F.lit(n) for n in NAMES])
+    moved = rows.where("_after <> _before")
+    return moved.select("strategy_id", F.expr(MOMENT), F.get(names, F.col("_before")).alias("previous_state"), F.get(names, F.col("_after")).alias("state"), "sequence")
+
+
+def run_available(spark: SparkSession, stream: DataFrame, folder: str | None = None, waiting: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Process what is there, write it as Parquet beside the stream checkpoint, and read it back with a column ``provisional``.
+
+    ``waiting`` turns the state into the rows that it holds back; without it only final rows are returned.  A run on the same
+    ``folder`` continues where the last one stopped, and its result replaces the last one's.
+    """
     base = folder or f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").outputMode("append")
@@ -114,7 +159,13 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str | None = N
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    final = spark.read.schema(stream.schema).parquet(f"{base}/rows").withColumn("provisional", F.lit(False))
+    commits = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/state/commits/0")
+    started = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(commits) or query.lastProgress is not None
+    if waiting is None or not started:
+        return final
+    state = spark.read.format("statestore").load(f"{base}/state")
+    return final.unionByName(waiting(state).withColumn("provisional", F.lit(True)))
 
 
 def file_stream(spark: SparkSession, path: str, schema, shape: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:

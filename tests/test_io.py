@@ -97,6 +97,11 @@ def test_hashes_and_sinks_see_nulls(spark, tmp_path):
     assert sorted((r.k, r.v, r.part) for r in spark.read.parquet(u).collect()) == [(1, "a", "x"), (2, "new", "y"), (3, "d", "x")]
 
 
+def equity_run(spark, path, schema, limit, out, files=1):
+    stream = monitors.file_stream(spark, path, schema, lambda r: r, files_per_trigger=files)
+    return monitors.run_available(spark, monitors.equity_monitor(stream, limit), out, waiting=lambda state: monitors.open_equity(state, limit)).collect()
+
+
 def test_equity_stream_survives_restart(spark, tmp_path):
     rows = [("P", ts(i), e) for i, e in enumerate([100.0, 110.0, 105.0, 98.0, 120.0])] + [("Q", ts(i), 50.0 + i) for i in range(5)]
     schema = "portfolio_id string, ts timestamp_ntz, equity double"
@@ -104,18 +109,24 @@ def test_equity_stream_survives_restart(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
 
     def run():
-        stream = monitors.file_stream(spark, path, schema, lambda r: r, files_per_trigger=1)
-        return {(r.portfolio_id, r.ts): (r.peak, r.halted) for r in monitors.run_available(spark, monitors.equity_monitor(stream, 0.1), out).collect()}
+        got = equity_run(spark, path, schema, 0.1, out)
+        assert len({(r.portfolio_id, r.ts) for r in got}) == len(got)
+        return {(r.portfolio_id, r.ts): (r.peak, r.halted, r.provisional) for r in got}
 
     df.where(F.col("ts") < ts(2)).coalesce(1).write.parquet(path)
-    assert len(run()) == 2  # the newest day is within the hour
+    first = run()
+    # The newest day is within the hour: it is judged, and may still change.
+    assert {k: v[2] for k, v in first.items()} == {(p, ts(i)): i == 1 for p in "PQ" for i in range(2)}
+    assert first["P", ts(1)] == (110.0, False, True)
     df.where(F.col("ts") >= ts(2)).coalesce(1).write.mode("append").parquet(path)
     df.where(F.col("ts") == ts(0)).coalesce(1).write.mode("append").parquet(path)
-    spark.createDataFrame([("R", ts(20), 1.0)], schema).coalesce(1).write.mode("append").parquet(path)
+    spark.createDataFrame([("R", ts(20), -1.0)], schema).coalesce(1).write.mode("append").parquet(path)
     got = run()
-    assert len(got) == 10
-    assert [got["P", ts(i)] for i in range(5)] == [(100.0, False), (110.0, False), (110.0, False), (110.0, True), (120.0, True)]
-    assert not any(h for (p, _), (_, h) in got.items() if p == "Q")
+    assert len(got) == 11
+    assert [got["P", ts(i)][:2] for i in range(5)] == [(100.0, False), (110.0, False), (110.0, False), (110.0, True), (120.0, True)]
+    assert not any(h for (p, _), (_, h, _) in got.items() if p == "Q")
+    assert [k for k, v in got.items() if v[2]] == [("R", ts(20))] and got["R", ts(20)][1]
+    assert run() == got  # nothing new: nothing changes
 
 
 def test_streams_do_not_depend_on_triggers(spark, tmp_path):
@@ -134,18 +145,26 @@ def test_streams_do_not_depend_on_triggers(spark, tmp_path):
         for _, at, equity in sorted((r for r in rows if r[0] == p), key=lambda r: (r[1], r[2])):
             peak = max(peak, equity)
             halted |= 1 - equity / peak >= 0.25
-            if at <= closed:
-                expected.append((p, at, equity, peak, halted))
+            expected.append((p, at, equity, peak, halted, at > closed))
     for n in (1, 2, 64):
-        stream = monitors.file_stream(spark, path, schema, lambda r: r, files_per_trigger=n)
-        got = monitors.run_available(spark, monitors.equity_monitor(stream, 0.25), str(tmp_path / f"o{n}")).collect()
+        got = equity_run(spark, path, schema, 0.25, str(tmp_path / f"o{n}"), n)
         assert sorted(map(tuple, got)) == sorted(expected)
 
 
 def test_health_stream(spark, tmp_path):
     rows = [("s", ts(0), False, False), ("s", ts(1), True, False), ("s", ts(2), True, False), ("s", ts(3), False, True), ("s", ts(4), True, False), ("s", ts(9), True, False)]
+    rows += [("t", ts(9), True, False), ("t", ts(9) + timedelta(minutes=1), False, False), ("t", ts(9) + timedelta(minutes=2), True, True), ("u", ts(9), False, False)]
     schema = "strategy_id string, ts timestamp_ntz, degraded boolean, halt boolean"
     path = str(tmp_path / "in")
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
-    out = monitors.run_available(spark, monitors.health_monitor(monitors.file_stream(spark, path, schema, lambda r: r)), str(tmp_path / "o"))
-    assert [(r.previous_state, r.state, r.sequence) for r in out.orderBy("sequence").collect()] == [("active", "degraded", 1), ("degraded", "halted", 2)]
+    out = monitors.run_available(spark, monitors.health_monitor(monitors.file_stream(spark, path, schema, lambda r: r)), str(tmp_path / "o"), waiting=monitors.open_health)
+    got = [(r.strategy_id, r.previous_state, r.state, r.sequence, r.provisional) for r in out.orderBy("strategy_id", "sequence").collect()]
+    assert got == [
+        ("s", "active", "degraded", 1, False), ("s", "degraded", "halted", 2, False), ("t", "active", "degraded", 1, True), ("t", "degraded", "halted", 2, True),
+    ]
+
+
+def test_stream_without_files(spark, tmp_path):
+    schema = "portfolio_id string, ts timestamp_ntz, equity double"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
+    assert equity_run(spark, str(tmp_path / "in"), schema, 0.25, str(tmp_path / "o")) == []
