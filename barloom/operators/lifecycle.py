@@ -45,14 +45,14 @@ def current_stage(events: DataFrame) -> DataFrame:
     return events.groupBy("strategy_id").agg(F.max_by("target_stage", "seq").alias("stage"))
 
 
-def history_gaps(events: DataFrame, width: int = 100_000) -> DataFrame:
+def history_gaps(events: DataFrame, width: int | None = None) -> DataFrame:
     """LC3: events whose source is not the target of the event before.
 
     A strategy may own any share of the log, so the previous row comes from bucketed windows.
     """
     df = ls.with_bucket(events, F.col("seq"), width)
     df = ls.previous(df, ["strategy_id"], ["seq"], ["target_stage"])
-    return df.where(~F.col("source_stage").eqNullSafe(F.col("prev_target_stage"))).drop(ls.BUCKET)
+    return ls.plain(df.where(~F.col("source_stage").eqNullSafe(F.col("prev_target_stage"))))
 
 
 def with_event_hash(events: DataFrame, columns: Sequence[str] = ("strategy_id", "source_stage", "target_stage", "reason"),
@@ -68,23 +68,23 @@ def hash_problems(events: DataFrame, columns: Sequence[str] = ("strategy_id", "s
     ).drop("_expected")
 
 
-def chain(rows: DataFrame, payload: Sequence[str], order: str = "sequence", width: int = 100_000) -> DataFrame:
+def chain(rows: DataFrame, payload: Sequence[str], order: str = "sequence", width: int | None = None) -> DataFrame:
     """Add ``payload_digest`` and the ``previous_digest`` link in sequence order."""
     df = rows.withColumn("payload_digest", content_id(list(payload), 64)).withColumn("_log", F.lit(0))
     df = ls.previous(ls.with_bucket(df, F.col(order), width), ["_log"], [order], ["payload_digest"])
     return df.withColumn("previous_digest", F.coalesce("prev_payload_digest", F.lit(""))).drop(
-        "prev_payload_digest", "_log", ls.BUCKET
+        "prev_payload_digest", "_log", ls.BUCKET, ls.BLOCK
     )
 
 
-def chain_audit(audit: DataFrame, cycles: DataFrame, payload: Sequence[str], width: int = 100_000) -> DataFrame:
+def chain_audit(audit: DataFrame, cycles: DataFrame, payload: Sequence[str], width: int | None = None) -> DataFrame:
     """LC5, W11: ``audit`` (sequence, cycle_id, generation, payload_digest, previous_digest) against
     the cycles it covers: duplicates, mismatches, broken links and missing coverage."""
     c = cycles.withColumn("expected", content_id(list(payload), 64)).select(
         "cycle_id", F.col("generation").alias("c_generation"), "expected"
     )
     df = ls.with_bucket(audit.withColumn("_log", F.lit(0)), F.col("sequence"), width)
-    df = ls.previous(df, ["_log"], ["sequence"], ["payload_digest"]).drop("_log", ls.BUCKET)
+    df = ls.previous(df, ["_log"], ["sequence"], ["payload_digest"]).drop("_log")
     repeats = audit.groupBy("cycle_id").agg(F.min("sequence").alias("first_seq"))
     df = df.join(repeats, "cycle_id").join(c, "cycle_id", "full_outer")
     problem = first_reason(
@@ -103,7 +103,7 @@ def chain_audit(audit: DataFrame, cycles: DataFrame, payload: Sequence[str], wid
 HEALTH = ("active", "degraded", "halted")
 
 
-def health_states(reports: DataFrame, width: int = 100_000) -> DataFrame:
+def health_states(reports: DataFrame, width: int | None = None) -> DataFrame:
     """LC6: state after every report (strategy_id, seq, degraded, halt): the worst state so far.
 
     HALTED is final and DEGRADED never heals, so the machine is a running maximum.
@@ -118,7 +118,7 @@ def health_states(reports: DataFrame, width: int = 100_000) -> DataFrame:
             "state": F.get(names, F.col("_rank")),
             "previous_state": F.get(names, F.coalesce("prev__rank", F.lit(0))),
         }
-    ).drop("_rank", "prev__rank", ls.BUCKET)
+    ).drop("_rank", "prev__rank", ls.BUCKET, ls.BLOCK)
 
 
 def health_requests(states: DataFrame) -> DataFrame:

@@ -450,10 +450,10 @@ def portfolio_feedback(selection: DataFrame, admission: DataFrame) -> DataFrame:
     )
 
 
-def health_history(history: DataFrame, width: int = 100_000) -> DataFrame:
+def health_history(history: DataFrame, width: int | None = None) -> DataFrame:
     """PF12: rows whose generation does not increase in append order (``seq``)."""
     df = ls.previous(ls.with_bucket(history, F.col("seq"), width), [G], ["seq"], ["generation"])
-    return df.where(F.col("generation") <= F.col("prev_generation")).drop(ls.BUCKET)
+    return ls.plain(df.where(F.col("generation") <= F.col("prev_generation")))
 
 
 def latest_health(history: DataFrame) -> DataFrame:

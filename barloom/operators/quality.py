@@ -103,13 +103,13 @@ def require_valid(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "ts", *BAR_COLUMNS)
 
 
-def out_of_order(rows: DataFrame, position: str = "ingest_pos", width: int = 100_000) -> DataFrame:
+def out_of_order(rows: DataFrame, position: str = "ingest_pos", width: int | None = None) -> DataFrame:
     """DQ3: rows whose timestamp is before the one ingested just earlier.
 
     Ingested rows are not bars yet, so nothing bounds a symbol: the lag runs over buckets.
     """
     df = ls.previous(ls.with_bucket(rows, F.col(position), width), ["symbol"], [position], ["ts"])
-    return df.where(F.col("ts") < F.col("prev_ts")).drop(ls.BUCKET)
+    return ls.plain(df.where(F.col("ts") < F.col("prev_ts")))
 
 
 def key_mismatch(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

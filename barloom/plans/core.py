@@ -278,7 +278,7 @@ def ingest_order(spark: SparkSession, sf: str) -> DataFrame:
     rows = src.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("ingest_pos")
     )
-    late = quality.out_of_order(rows, width=1000)
+    late = quality.out_of_order(rows)
     return late.select("symbol", "ingest_pos", stamp("ts").alias("ts"), stamp("prev_ts").alias("prev_ts"))
 
 

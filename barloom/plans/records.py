@@ -45,7 +45,7 @@ def lifecycle_current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lifecycle_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    g = lc.history_gaps(stage_events(spark, sf), width=2000)
+    g = lc.history_gaps(stage_events(spark, sf))
     return g.select("strategy_id", "seq", "source_stage", "prev_target_stage")
 
 
@@ -63,12 +63,12 @@ def chain_audit(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("sequence"),
     )
     payload = ["cycle_id", "generation", "o_orderstatus"]
-    audit = lc.chain(cycles, payload, width=2000)
+    audit = lc.chain(cycles, payload)
     audit = audit.withColumn("payload_digest", F.when(F.col("sequence") % 2000 == 7, F.lit("x")).otherwise(F.col("payload_digest")))
     audit = audit.where(F.col("sequence") % 3000 != 11)
     last = audit.where(F.col("sequence") % 5000 == 2).withColumn("sequence", F.col("sequence") + 10_000_000_000)
     a = audit.unionByName(last).select("sequence", "cycle_id", "generation", "payload_digest", "previous_digest")
-    bad = lc.chain_audit(cut(a), cycles, payload, width=2000)
+    bad = lc.chain_audit(cut(a), cycles, payload)
     return bad.select("cycle_id", F.col("sequence").cast("double").alias("sequence"), "problem")
 
 
@@ -82,19 +82,19 @@ def event_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def health_states(spark: SparkSession, sf: str) -> DataFrame:
-    s = lc.health_states(event_reports(spark, sf), width=1000)
+    s = lc.health_states(event_reports(spark, sf))
     moved = s.where(F.col("state") != F.col("previous_state"))
     return moved.select("strategy_id", "seq", "previous_state", "state")
 
 
 def health_requests(spark: SparkSession, sf: str) -> DataFrame:
-    r = lc.health_requests(lc.health_states(event_reports(spark, sf), width=1000))
+    r = lc.health_requests(lc.health_states(event_reports(spark, sf)))
     return r.select("strategy_id", "seq", "request_id", F.array_join("constraints", ",").alias("constraints"))
 
 
 def feedback_problems(spark: SparkSession, sf: str) -> DataFrame:
     """LC8: the resulting state of some events is edited after fingerprinting."""
-    r = lc.health_requests(lc.health_states(event_reports(spark, sf), width=1000))
+    r = lc.health_requests(lc.health_states(event_reports(spark, sf)))
     edited = r.withColumn("state", F.when(F.col("seq") % 3 == 0, F.lit("active")).otherwise(F.col("state")))
     return lc.feedback_problems(edited).select("strategy_id", "seq")
 
@@ -390,7 +390,7 @@ def tick_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("symbol"), "event_id", px.alias("close"),
         (F.col("value") < 20).alias("entry"), (F.col("value") > 80).alias("exit"),
     )
-    return ls.with_bucket(t, F.col("event_id"), 500)
+    return ls.with_bucket(t, F.col("event_id"))
 
 
 def tick_backtest(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,7 +114,7 @@ def test_hold_and_toggle_match_loops(spark):
     assert table(got, "symbol", "h")["A"] == [True, True, False, True]
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
+@pytest.mark.parametrize("width", [1, 7, 1000, None])
 def test_long_series_primitives(spark, width):
     rng = random.Random(9)
     rows = [("HOT" if rng.random() < 0.7 else f"K{rng.randrange(5)}", i, rng.choice([None, float(rng.randrange(50))])) for i in range(300)]
@@ -134,6 +134,24 @@ def test_long_series_primitives(spark, width):
     assert len(got) == 300
 
 
+def test_one_key_fills_all_partitions(spark):
+    """A constant key: rows are dealt evenly, and no group of a summary is longer than the square root of the buckets."""
+    n, parts = 200_000, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = ls.with_bucket(spark.range(7, 7 + n).select(F.lit(0).alias("k"), F.col("id").alias("i")), F.col("i"))
+    dealt = sorted(r["count"] for r in df.repartition(parts, "k", ls.BUCKET).groupBy(F.spark_partition_id()).count().collect())
+    assert len(dealt) == parts and dealt[-1] < 2 * dealt[len(dealt) // 2]
+    buckets = df.select(ls.BUCKET, ls.BLOCK).distinct()
+    total, blocks = buckets.count(), buckets.groupBy(ls.BLOCK).count()
+    assert 16 * parts <= total and blocks.agg(F.max("count")).first()[0] ** 2 <= 2 * total and blocks.count() ** 2 <= 2 * total
+    out = ls.previous(ls.running(df, ["k"], ["i"], {"s": ("sum", F.lit(1))}), ["k"], ["i"], ["i"])
+    assert out.where("s <> i - 6 OR NOT prev_i <=> nullif(i - 1, 6)").count() == 0
+
+
+def test_buckets_of_nothing(spark):
+    df = ls.with_bucket(spark.createDataFrame([], "k string, i bigint"), F.col("i"))
+    assert ls.previous(df, ["k"], ["i"], ["i"]).count() == 0
+
+
 def test_tick_backtest_equals_plain_backtest(spark):
     rows, df = flags(spark, 3, 150, 8)
     prices = {s: walk(n, 150) for n, s in enumerate(["S0", "S1", "S2"])}
