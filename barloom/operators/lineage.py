@@ -30,14 +30,33 @@ def parent_edges(lineage: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """GR2: every (strategy, ancestor) pair reachable from ``roots`` (all strategies by default).
+    """GR2: every (strategy, ancestor) pair with its distance ``depth``, for all strategies or from ``roots`` only.
 
-    Semi-naive rounds: only the pairs found last are joined again, pairs seen before are dropped,
-    so shared ancestors cost nothing twice and a cycle ends the loop, however deep the lineage is.  Each round
-    writes its new pairs only.
+    Paths are doubled: a pair farther than 2**k and at most 2**(k + 1) apart is one of exactly 2**k followed by one already
+    known.  So the rounds grow with the logarithm of the depth, each writes its new pairs only, and what it reads is at most
+    what all rounds have found.  A cycle ends the loop, as its pairs are known at their least distance.
+    From a few roots the pairs of all the others would be waste: there only the frontier of the roots moves, a level to a round.
     """
     e = cut(edges.select(F.col("strategy_id").alias("child"), F.col("parent_id").alias("up")).distinct())
-    start = e if roots is None else e.join(roots.select(F.col("strategy_id").alias("child")).distinct(), "child", "left_semi")
+    if roots is not None:
+        return _frontier(e, roots)
+    pair = ["strategy_id", "ancestor_id"]
+    found = e.select(F.col("child").alias("strategy_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth"))
+    reach = 1
+    while True:
+        far = found.where(F.col("depth") == reach).select("strategy_id", F.col("ancestor_id").alias("via"))
+        near = found.select(F.col("strategy_id").alias("via"), "ancestor_id", "depth")
+        step = far.join(near, "via").groupBy(*pair).agg((F.min("depth") + reach).alias("depth"))
+        fresh = cut(step.join(found, pair, "left_anti"))
+        found, reach = found.unionByName(fresh), 2 * reach
+        # Without a pair of exactly this distance there is none beyond.
+        if fresh.where(F.col("depth") == reach).isEmpty():
+            return found
+
+
+def _frontier(e: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of ``roots``, level by level over the cut edges (``child``, ``up``)."""
+    start = e.join(roots.select(F.col("strategy_id").alias("child")).distinct(), "child", "left_semi")
     found = cut(start.select(F.col("child").alias("strategy_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth")))
     fresh, depth = found, 1
     while True:

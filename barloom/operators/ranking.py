@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip01, finite
@@ -91,47 +91,34 @@ def mean_distance(specs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def distance_extremes(specs: DataFrame, groups: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Smallest and largest pairwise distance per group, by block tiles; no pair is ever a row.
+def distance_extremes(specs: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Smallest and largest pairwise distance per group from counts; no pair is ever a row, nor compared.
 
-    Unless given, the number of blocks follows from the largest group.
+    For every subset of the fields, the rows that agree on it are counted.  Summed over the subsets of k fields these
+    pairs are B(k) = sum over j of C(j, k) E(j), where E(j) pairs agree on exactly j fields; solved for E, the least
+    and the greatest j with a pair give the distances.  Fields that never differ are left out of the subsets,
+    equal vectors are one row with a count, and strategies that repeat count once.
     """
-    if blocks is None:
-        top = specs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-        blocks = max(1, math.ceil((top["n"] or 1) / BLOCK))
-    gene_cols = [f"_g{n}" for n in range(N_FIELDS)]
-    genes = specs.select(
-        *groups, "strategy_id", *[F.xxhash64(canonical(f)).alias(g) for f, g in zip(SPEC_FIELDS, gene_cols)]
-    )
     keys = list(groups)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_side"] == "l"]
-        right = pdf[pdf["_side"] == "r"]
-        a, b = left[gene_cols].to_numpy(), right[gene_cols].to_numpy()
-        ids_a, ids_b = left["strategy_id"].to_numpy(), right["strategy_id"].to_numpy()
-        low, high = np.inf, -np.inf
-        for start in range(0, len(a), 256):
-            differ = sum(
-                (a[start : start + 256, None, k] != b[None, :, k]).astype(np.int16) for k in range(N_FIELDS)
-            )
-            other = ids_a[start : start + 256, None] != ids_b[None, :]
-            if other.any():
-                low = min(low, differ[other].min())
-                high = max(high, differ[other].max())
-        head = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**head, "low": [float(low)], "high": [float(high)]})
-
-    group_types = "".join(f"{k} {specs.schema[k].dataType.simpleString()}, " for k in keys)
-    out = tiles(
-        genes, keys, F.pmod(F.xxhash64("strategy_id"), F.lit(blocks)).cast("int"), blocks, compare,
-        f"{group_types}low double, high double",
-    )
-    low = F.min(F.when(finite("low"), F.col("low")))
-    high = F.max(F.when(finite("high"), F.col("high")))
-    return out.groupBy(*keys).agg(
-        F.coalesce(low / N_FIELDS, F.lit(0.0)).alias("min_distance"),
-        F.coalesce(high / N_FIELDS, F.lit(0.0)).alias("max_distance"),
+    genes = [f"_g{n}" for n in range(N_FIELDS)]
+    hashed = specs.select(*keys, "strategy_id", *[F.xxhash64(canonical(f)).alias(g) for f, g in zip(SPEC_FIELDS, genes)])
+    vectors = hashed.distinct().groupBy(*keys, *genes).agg(F.count(F.lit(1)).alias("_c"))
+    vectors = cut(vectors)
+    span = vectors.agg(*[(F.min(g) != F.max(g)).alias(g) for g in genes]).first()
+    varying = [g for g in genes if span[g]]
+    f = len(varying)
+    spread = vectors.select(*keys, "_c", *varying, F.explode(F.sequence(F.lit(0), F.lit(2**f - 1))).alias("_mask"))
+    masked = [F.when(F.getbit(F.col("_mask"), F.lit(n)) == 1, F.col(g)).alias(g) for n, g in enumerate(varying)]
+    alike = spread.select(*keys, "_mask", "_c", *masked).groupBy(*keys, "_mask", *varying).agg(F.sum("_c").cast("decimal(19,0)").alias("n"))
+    pairs = (F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)")
+    agree = [F.coalesce(F.sum(F.when(F.bit_count("_mask") == k, pairs)), F.lit(0)).alias(f"_b{k}") for k in range(f + 1)]
+    sums = alike.groupBy(*keys).agg(*agree)
+    exactly = [sum((-1) ** (k - j) * math.comb(k, j) * F.col(f"_b{k}") for k in range(j, f + 1)) > 0 for j in range(f + 1)]
+    apart = [F.when(there, F.lit((f - j) / N_FIELDS)) for j, there in enumerate(exactly)]
+    return sums.select(
+        *keys,
+        F.coalesce(*reversed(apart), F.lit(0.0)).alias("min_distance"),
+        F.coalesce(*apart, F.lit(0.0)).alias("max_distance"),
     )
 
 
@@ -190,18 +177,38 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
 
 
 # --- greedy subsets ---------------------------------------------------------
-FOLD = 16
+# Candidates that one pass of the max-min choice brings to the driver.
+SHORTLIST = 1024
 RANK_KEY = ("fitness", "mc_pass_rate", "rob_ratio", "regime_score", "candidate_id")
 
 
+def _key_order(row: Row) -> tuple:
+    """The rank key as Spark orders it: null lowest, NaN highest."""
+    return tuple((0, 0) if v is None else (2, 0) if v != v else (1, v) for v in (row[c] for c in RANK_KEY))
+
+
+def _nearer(base: DataFrame, fields: list[str], picks: np.ndarray) -> DataFrame:
+    """``_d`` lowered to the distance from the nearest of ``picks``."""
+
+    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own, d = pdf[fields].to_numpy(), pdf["_d"].to_numpy(copy=True)
+            for pick in picks:
+                np.minimum(d, (own != pick).sum(axis=1) / N_FIELDS, out=d)
+            yield pdf.assign(_d=d)
+
+    return base.mapInPandas(lower, base.schema)
+
+
 def diverse_subset(
-    evaluated: DataFrame, genes: DataFrame, size: int, minimum_distance: float = 0.0
+    evaluated: DataFrame, genes: DataFrame, size: int, minimum_distance: float = 0.0, shortlist: int = SHORTLIST
 ) -> list[str]:
-    """RK6: start from the best candidate, then add the one farthest from the chosen set.
+    """RK6: start from the best candidate, then add the one farthest from the chosen set; of equally far ones the best.
 
-    Each round is one pass with a map-side maximum; only the chosen row reaches the driver, and
-    the round count is the requested population size.  The distance to the chosen set is a column that is
-    renewed every FOLD picks, so the expressions of a pass do not grow with the population.
+    Distances to the chosen set only fall.  So a pass brings the ``shortlist`` candidates that are farthest as of now, and the driver
+    picks among these, lowering their distances, as long as the best of them is not below what the first one left out had:
+    no candidate that is not on the list can be farther.  Then the distances of all are lowered to the picks of the pass
+    and the next list is drawn.  A pass gives many picks; the driver holds one list.
     """
     fields = [f"_g{n}" for n in range(N_FIELDS)]
     wide = genes.select(
@@ -210,24 +217,29 @@ def diverse_subset(
     )
     base = cut(evaluated.select(*RANK_KEY).join(wide, "candidate_id").withColumn("_d", F.lit(2.0)))
     chosen: list[str] = []
-    recent: list = []
-    while len(chosen) < size:
-        pool = base
-        if recent:
-            apart = [sum((F.col(g) != F.lit(c[g])).cast("int") for g in fields) / F.lit(float(N_FIELDS)) for c in recent]
-            pool = pool.where(~F.col("candidate_id").isin([c["candidate_id"] for c in recent])).withColumn("_d", F.least("_d", *apart))
-            pool = pool.where(F.col("_d") >= minimum_distance)
-        if len(recent) == FOLD:
-            base = pool = cut(pool)
-            recent = []
-        best = pool.agg(
-            F.max_by(F.struct("candidate_id", *fields), F.struct("_d", *RANK_KEY)).alias("best")
-        ).first()["best"]
-        if best is None:
-            break
-        chosen.append(best["candidate_id"])
-        recent.append(best)
-    return chosen
+    while True:
+        rows = base.orderBy(F.desc("_d"), *[F.desc(c) for c in RANK_KEY]).limit(shortlist + 1).collect()
+        if not rows:
+            return chosen
+        keys = [_key_order(r) for r in rows]
+        bound = (rows[-1]["_d"], keys[-1]) if len(rows) > shortlist else (-1.0, ())
+        own = np.array([[r[g] for g in fields] for r in rows])
+        d = np.array([r["_d"] for r in rows])
+        picks: list[int] = []
+        while len(chosen) < size:
+            free = [k for k in range(len(rows)) if k not in picks]
+            best = max(free, key=lambda k: (d[k], keys[k]), default=None)
+            if best is None or (d[best], keys[best]) < bound or chosen and d[best] < minimum_distance:
+                break
+            picks.append(best)
+            chosen.append(rows[best]["candidate_id"])
+            d = np.minimum(d, (own != own[best]).sum(axis=1) / N_FIELDS)
+        done = {rows[k]["candidate_id"] for k in picks}
+        # Nothing was left out and nothing could be picked, or the best of all is too near.
+        if len(chosen) >= size or len(rows) <= shortlist or not picks:
+            return chosen
+        rest = base.join(F.broadcast(base.sparkSession.createDataFrame([(c,) for c in sorted(done)], "candidate_id string")), "candidate_id", "left_anti")
+        base = cut(_nearer(rest.select(*base.columns), fields, own[picks]))
 
 
 def select_population(

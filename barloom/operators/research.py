@@ -138,7 +138,7 @@ def generation_metrics(evaluated: DataFrame) -> DataFrame:
 
 
 def generation_history(
-    evaluated: DataFrame, specs: DataFrame, *, epsilon: float = 0.0, blocks: int | None = None
+    evaluated: DataFrame, specs: DataFrame, *, epsilon: float = 0.0
 ) -> DataFrame:
     """RS8: metrics, genome distances, new ids, best id and generations without improvement.
 
@@ -153,7 +153,7 @@ def generation_history(
     new = first.groupBy("generation").agg(F.count(F.lit(1)).alias("new_strategy_count"))
     unique = evaluated.groupBy("generation").agg(F.count_distinct("strategy_id").alias("unique_strategy_count"))
     dist = mean_distance(specs, ["generation"]).drop("members").join(
-        distance_extremes(specs, ["generation"], blocks), "generation"
+        distance_extremes(specs, ["generation"]), "generation"
     )
     df = base.join(best, "generation").join(new, "generation", "left").join(unique, "generation").join(dist, "generation")
     df = df.withColumn("new_strategy_count", F.coalesce("new_strategy_count", F.lit(0)))

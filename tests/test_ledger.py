@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import identity, ledger, lifecycle, lineage, research
+from barloom.session import cut
 from tests.helpers import bars, ts, walk
 
 G = "portfolio_id"
@@ -127,6 +128,28 @@ def test_budget_matches_loop(spark):
             assert [got[p, f"r{i}"] for i in range(len(u))] == u
 
 
+def test_closure_doubles_paths(spark, monkeypatch):
+    """A deep chain with side branches and a cycle at its end: rounds by the logarithm of the depth, least distances."""
+    rng = random.Random(8)
+    edges = {(k, k + 1) for k in range(300)} | {(rng.randrange(290), rng.randrange(5) + 290) for _ in range(10)} | {(300, 295)}
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+    expected = {}
+    for a in up:
+        level, depth = {a}, 0
+        while level:
+            depth += 1
+            level = {c for b in level for c in up.get(b, ()) if (a, c) not in expected}
+            expected |= {(a, c): depth for c in level}
+    rounds = []
+    monkeypatch.setattr(lineage, "cut", lambda df: rounds.append(1) or cut(df))
+    got = lineage.closure(spark.createDataFrame([(str(a), str(b)) for a, b in edges], "strategy_id string, parent_id string"))
+    assert {(int(r.strategy_id), int(r.ancestor_id)): r.depth for r in got.collect()} == expected
+    assert len(rounds) <= 10
+    assert lineage.closure(spark.createDataFrame([], "strategy_id string, parent_id string")).count() == 0
+
+
 def test_closure_with_cycle(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("e", "d")], "strategy_id string, parent_id string")
     c = lineage.closure(e)

@@ -154,9 +154,17 @@ def test_distances_match_pairs(spark):
         others = [dist(a, b) for b in rows if b.strategy_id != a.strategy_id]
         assert nov[a.strategy_id] == pytest.approx(sum(others) / len(others))
     pairs = [dist(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :]]
-    for blocks in (1, 4):
-        e = ranking.distance_extremes(pop, blocks=blocks).first()
-        assert e.min_distance == pytest.approx(min(pairs)) and e.max_distance == pytest.approx(max(pairs))
+    e = ranking.distance_extremes(pop).first()
+    assert e.min_distance == pytest.approx(min(pairs)) and e.max_distance == pytest.approx(max(pairs))
+    parts = pop.withColumn("g", F.pmod(F.xxhash64("strategy_id"), F.lit(3))).unionByName(pop.limit(1).withColumn("g", F.lit(9).cast("bigint")))
+    groups = {r.strategy_id: r.g for r in parts.where("g < 9").collect()}
+    got = {r.g: (r.min_distance, r.max_distance) for r in ranking.distance_extremes(parts, ["g"]).collect()}
+    assert got.pop(9) == (0.0, 0.0)
+    for g, extremes in got.items():
+        own = [dist(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :] if groups[a.strategy_id] == groups[b.strategy_id] == g]
+        assert extremes == pytest.approx((min(own), max(own)) if own else (0.0, 0.0))
+    twice = pop.limit(1).unionByName(pop.limit(1)).unionByName(pop.limit(1).withColumn("strategy_id", F.lit("other")))
+    assert ranking.distance_extremes(twice).first()[:] == (0.0, 0.0)
     assert ranking.mean_distance(pop).first().mean_distance == pytest.approx(sum(pairs) / len(pairs))
 
 
@@ -169,6 +177,17 @@ def test_max_min_subset(spark):
     assert picked[0] == best and len(set(picked)) == 6
     assert ranking.select_population(e, pop, 8).count() == 8
     assert ranking.diverse_subset(e, pop, 6, minimum_distance=0.99) == [best]
+    # Short lists need more passes and give the same picks, which are those of a loop over all pairs.
+    from barloom.operators.specs import canonical
+    from barloom.sources.schemas import SPEC_FIELDS
+
+    genes = {r.strategy_id: r[1:] for r in pop.select("strategy_id", *[canonical(f).alias(f) for f in SPEC_FIELDS]).collect()}
+    order = {r.candidate_id: (r.fitness, r.candidate_id) for r in e.collect()}
+    plain, far = [best], {c: 2.0 for c in genes}
+    while len(plain) < 12:
+        far = {c: min(d, sum(x != y for x, y in zip(genes[c], genes[plain[-1]], strict=True)) / len(SPEC_FIELDS)) for c, d in far.items() if c not in plain}
+        plain.append(max(far, key=lambda c: (far[c], order[c])))
+    assert [ranking.diverse_subset(e, pop, 12, shortlist=n) for n in (2, 7, 1024)] == [plain] * 3
 
 
 def test_global_rank_with_ties(spark):
