@@ -5,6 +5,9 @@ still has the hash of the original; for every two positions there is a mask that
 one third of a window whole, so only windows with such a third in the benchmark are masked.  Hashes of the documents that
 a small Bloom filter of the benchmark lets through are joined with those of the benchmark; a hit counts once the two
 whole windows agree in enough tokens.
+
+Items shorter than a window are windows of their own length: a fifth of their tokens, rounded down, may be others, and the
+masks ignore every choice of so many positions.
 """
 
 from __future__ import annotations
@@ -24,17 +27,22 @@ SPAN = 12
 # 1: the position counts.  The positions form four groups (by the remainder of 4) and each mask ignores two of them, so every two
 # positions, ends included, are ignored by one.
 MASKS = ("110011001100", "101010101010", "100110011001", "011001100110", "010101010101", "001100110011")
-# Tokens of a third of a window, of which SPAN - AGREE other tokens leave one whole.
+# Tokens of a third of a window, of which two other tokens leave one whole.
 THIRD = 4
-# Tokens of a window that must agree, of SPAN.
-AGREE = 10
-# An item below SPAN tokens is sought whole; one below this many tokens says too little to be sought.
-LEAST = 5
+# Of so many tokens one may be another: 10 of 12 agree, 8 of 10, 4 of 5, and below 5 all.
+ONE_OFF = 5
 # Bits of the filter: 2 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 24
 TOKEN = re.compile(r"[^\W_]+")
 BLOCK = 1 << 16
-WINDOWS = "id bigint, pos bigint, hash bigint, window array<bigint>"
+WINDOWS = "pos bigint, hash bigint, window array<bigint>"
+
+
+def masks_of(n: int) -> list[str]:
+    """Masks of windows of ``n`` tokens: every choice of n // ONE_OFF positions is ignored by one of them."""
+    if n >= 2 * ONE_OFF:
+        return [m[:n] for m in MASKS]
+    return [("10" * n)[:n], ("01" * n)[:n]] if n >= ONE_OFF else ["1" * n]
 
 
 def token_blocks(text: str, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,9 +91,8 @@ def windows_of(texts: DataFrame, masks: Sequence[str], bits=None, thirds=None) -
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else bits.value
         for batch in batches:
-            ids, text = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             out: dict[str, list] = {"id": [], "pos": [], "hash": [], "window": []}
-            for key, value in zip(ids, text, strict=True):
+            for key, value in enumerate(batch.column("text").to_pylist()):
                 for start, tokens in token_blocks(value or "", SPAN - 1):
                     some = None if thirds is None else promising(tokens, thirds.value)
                     for mask in masks:
@@ -98,11 +105,11 @@ def windows_of(texts: DataFrame, masks: Sequence[str], bits=None, thirds=None) -
                             out["hash"].append(h)
                             out["window"].append(tokens[k : k + len(mask)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["pos"], pa.int64()), pa.array(out["hash"], pa.int64()), pa.array(out["window"], pa.list_(pa.int64()))],
+                [batch.column("id").take(pa.array(out["id"], pa.int64())), pa.array(out["pos"], pa.int64()), pa.array(out["hash"], pa.int64()), pa.array(out["window"], pa.list_(pa.int64()))],
                 names=list(out),
             )
 
-    return texts.mapInArrow(read, WINDOWS)
+    return texts.mapInArrow(read, f"id {dict(texts.dtypes)['id']}, {WINDOWS}")
 
 
 def filter_bits(hashes: DataFrame) -> np.ndarray:
@@ -121,27 +128,28 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, item_id, n_windows`` for every document and benchmark item that share a verified window.
 
-    Tokens are runs of letters and digits, lower-cased.  A window of 12 tokens is verified if 10 agree; an item of 5 to 11 tokens
-    must occur whole.  Null and empty texts, and items below 5 tokens, share nothing; rows that repeat an id count
-    together; null ids are one document (or item); other columns are not read.  The benchmark may have any size: its
-    hashes are joined, and the filter has a fixed size and only spares rows.
+    Tokens are runs of letters and digits, lower-cased.  A window of 12 tokens is verified if 10 agree; an item of fewer tokens is
+    one window, of which a fifth of the tokens, rounded down, may differ, so one below 5 tokens must occur whole.  Null and empty
+    texts, and items without tokens, share nothing; rows that repeat an id count together; null ids are one document (or item); ids may
+    have any type; other columns are not read.  The benchmark may have any size: its hashes are joined, and the filter has a
+    fixed size and only spares rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    items = benchmark.select(F.col(f"`{item_col}`").alias("id"), F.col(f"`{item_text}`").alias("text"))
     count = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"))
     sized = items.withColumn("n", count)
-    short = sorted(r["n"] for r in sized.where(F.col("n").between(LEAST, SPAN - 1)).select("n").distinct().collect())
+    short = sorted(r["n"] for r in sized.where(F.col("n").between(1, SPAN - 1)).select("n").distinct().collect())
     sought = windows_of(items.where(count >= SPAN), MASKS)
     for n in short:
-        sought = sought.unionByName(windows_of(sized.where(F.col("n") == n).select("id", "text"), ["1" * n]))
+        sought = sought.unionByName(windows_of(sized.where(F.col("n") == n).select("id", "text"), masks_of(n)))
     bits = spark.sparkContext.broadcast(filter_bits(sought.select("hash")))
     thirds = spark.sparkContext.broadcast(filter_bits(windows_of(items.where(count >= SPAN), ["1" * THIRD]).select("hash")))
-    found = windows_of(texts, [*MASKS, *("1" * n for n in short)], bits, thirds)
+    found = windows_of(texts, [*MASKS, *(m for n in short for m in masks_of(n))], bits, thirds)
     known = sought.select(F.col("id").alias("item_id"), "hash", F.col("window").alias("original"), F.col("pos").alias("item_pos"))
     hits = found.join(known, "hash")
     equal = F.size(F.filter(F.zip_with("window", "original", lambda a, b: a == b), lambda same: same))
-    needed = F.when(F.size("original") < SPAN, F.size("original")).otherwise(F.lit(AGREE))
+    needed = F.size("original") - F.floor(F.size("original") / ONE_OFF)
     verified = hits.where((F.size("window") == F.size("original")) & (equal >= needed)).select(F.col("id").alias("doc_id"), "item_id", "pos").distinct()
     return verified.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
@@ -151,11 +159,11 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame
     found = contaminated(docs, benchmark, **columns)
     each = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("n_windows").alias("n_windows"),
-        F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("item_id")), lambda i: i.cast("string")), ",").alias("items"),
     )
     each = each.withColumnRenamed("doc_id", "found_id")
     rows = docs.select(F.col(f"`{columns.get('id_col', 'doc_id')}`").alias("doc_id"))
-    joined = rows.join(each, F.col("doc_id").cast("bigint").eqNullSafe(F.col("found_id")), "left")
+    joined = rows.join(each, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     zero = F.lit(0).cast("bigint")
     return joined.select(
         "doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", zero).alias("n_items"),
@@ -168,22 +176,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_CARE = ", ".join(f"({len(m)}, {[k for k, bit in enumerate(m) if bit == '1']})" for m in [*MASKS, *("1" * n for n in range(LEAST, SPAN))])
+# Without masks: windows with f = span // 5 other tokens have one of f + 1 equal pieces whole; those that share one are compared token by token.
 OP7_SQL = rf"""
-WITH masks(span, care) AS (VALUES {_CARE}),
+WITH spans AS (SELECT n AS span, n // {ONE_OFF} AS off, p, n * p // (n // {ONE_OFF} + 1) AS start, n * (p + 1) // (n // {ONE_OFF} + 1) AS stop
+               FROM (SELECT n, unnest(range(n // {ONE_OFF} + 1)) AS p FROM range(1, {SPAN + 1}) t(n))),
 i AS (SELECT item_id, regexp_extract_all(lower(COALESCE(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
 d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
 iw AS (
-  SELECT item_id, span, w[pos + 1:pos + span] AS original, care, [w[pos + c + 1] FOR c IN care] AS key
-  FROM (SELECT *, unnest(range(len(w) - span + 1)) AS pos FROM i, masks
-        WHERE span = {SPAN} AND len(w) >= {SPAN} OR span < {SPAN} AND len(w) = span)),
+  SELECT item_id, span, off, p, w[pos + 1:pos + span] AS original, w[pos + start + 1:pos + stop] AS piece
+  FROM (SELECT *, unnest(range(len(w) - span + 1)) AS pos FROM i, spans WHERE span = {SPAN} AND len(w) >= {SPAN} OR span < {SPAN} AND len(w) = span)),
 dw AS (
-  SELECT doc_id, span, pos, w[pos + 1:pos + span] AS win, care, [w[pos + c + 1] FOR c IN care] AS key
-  FROM (SELECT *, unnest(range(len(w) - span + 1)) AS pos FROM d, masks
-        WHERE len(w) >= span AND (span = {SPAN} OR span IN (SELECT len(w) FROM i)))),
+  SELECT doc_id, span, p, pos, w[pos + 1:pos + span] AS win, w[pos + start + 1:pos + stop] AS piece
+  FROM (SELECT *, unnest(range(len(w) - span + 1)) AS pos FROM d, spans WHERE len(w) >= span AND span IN (SELECT span FROM iw))),
 hit AS (
-  SELECT DISTINCT doc_id, item_id, pos FROM dw JOIN iw USING (span, care, key)
-  WHERE len([1 FOR k IN range(1, span + 1) IF win[k] = original[k]]) >= CASE WHEN span < {SPAN} THEN span ELSE {AGREE} END),
+  SELECT DISTINCT doc_id, item_id, pos FROM dw JOIN iw USING (span, p, piece)
+  WHERE len([1 FOR k IN range(1, span + 1) IF win[k] = original[k]]) >= span - off),
 pair AS (SELECT doc_id, item_id, COUNT(*) AS n FROM hit GROUP BY ALL),
 each AS (SELECT doc_id, COUNT(*) AS n_items, CAST(SUM(n) AS BIGINT) AS n_windows, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM pair GROUP BY doc_id)
 SELECT documents.doc_id, each.doc_id IS NOT NULL AS contaminated, COALESCE(n_items, 0) AS n_items, COALESCE(n_windows, 0) AS n_windows, COALESCE(items, '') AS items

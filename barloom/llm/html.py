@@ -25,7 +25,9 @@ from barloom.llm.common import table
 
 # Fixed by HTML: elements without content, with raw text, that begin a block, and that an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe svg math object canvas"
+RAW = frozenset("script style".split())
+# Their content is read like what stands around them; they only end a block.
+FALLBACK = frozenset("noscript template iframe object canvas".split())
 FORM = frozenset("form button select textarea option label fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -44,10 +46,10 @@ ASIDE_NAMES = (
 MAIN_NAMES = "content article post entry story main body text page-content post-content article-body entry-content".split()
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^<>]*(?:>|\Z)|<\Z",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|<[!?/][^<>]*(?:>|\Z)|<\Z",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
 NAME = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
@@ -81,13 +83,15 @@ def labels_of(name: str, attrs: str) -> tuple[str, ...]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order: path of the open elements, text with single spaces, and how much of it is in links.
 
-    Comments, scripts, styles and other raw elements vanish; a tag that the page's end cuts off is markup.  Inline elements and
-    ``br`` stay inside their block; ``br`` counts as white space.
+    Comments, scripts and styles vanish; a script or style that is never closed ends at its own tag, and a tag that the page's end
+    cuts off is markup.  Inline elements, ``svg`` and ``math`` among them, and ``br`` stay inside their block; ``br`` counts as white
+    space.  What stands in place of an object, canvas, frame or script is a block of its own, on the path of what is around it.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, in_svg, at = 0, 0, 0, 0
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -105,7 +109,7 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in stop:
                 return
 
-    for m in TAG.finditer(page):
+    while m := TAG.search(page, at):
         if m.start() > at:
             parts.append(html.unescape(page[at : m.start()]))
             linked += (m.start() - at) * (in_link > 0)
@@ -113,11 +117,22 @@ def blocks_of(page: str) -> list[Block]:
         name = (m["name"] or "").lower()
         if not name:
             continue
-        if name == "br":
+        if name in RAW and not m["end"] and name not in endless:
+            end = RAW_END[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)
+        elif name == "br":
             parts.append(" ")
         elif name == "a":
             in_link = 0 if m["end"] else 1
-        elif name in BLOCKS:
+        elif name == "svg":
+            in_svg = not m["end"] and not m["attrs"].endswith("/")
+        elif name in FALLBACK:
+            close()
+        elif name in BLOCKS and not (in_svg and name == "title"):
+            in_svg = 0
             close()
             in_link = 0
             if m["end"]:

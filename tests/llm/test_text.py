@@ -1,5 +1,6 @@
 """Personal data, language, pages and benchmark passages against plain Python."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -173,40 +174,126 @@ def test_gradients():
         network.weights[name][at] = value
 
 
+def texts(page):
+    return [b.text for b in html.blocks_of(page)]
+
+
+def test_nothing_but_scripts_and_styles_is_lost():
+    assert texts('<p>One <svg class="i"/> two <svg><title>x</title><path d="M0"/></svg> more.</p><p>Three.') == ["One two x more.", "Three."]
+    assert texts("<p>a <svg viewBox='0'> never closed</p><p>rest</p><title>t</title>") == ["a never closed", "rest", "t"]
+    assert texts("<p>Since <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds.</p>") == ["Since E=m holds."]
+    for name in ("canvas", "object", "noscript", "iframe", "template"):
+        assert texts(f"<p>Before</p><{name} id=x>fallback<p>rest of article</p><p>end") == ["Before", "fallback", "rest of article", "end"]
+        assert texts(f"<div>Before<{name}>inner <b>text</b></{name}>after</div>") == ["Before", "inner text", "after"]
+        assert {b.path for b in html.blocks_of(f"<article><{name}>inner</{name}>after</article>")} == {("article",)}
+    assert texts("a<script>var x = '<p>no</p>';</script>b<STYLE>p{}</Style >c<script src=x>") == ["abc"]
+    assert texts("<p>a<script>never closed<p>kept<style>p{}</style><style>x") == ["anever closed", "keptx"]
+    assert texts("<scripts>shown</scripts><styled>too</styled>") == ["showntoo"]
+
+
+# Written by hand, like pages as they are found: no ``article`` and no ``main``.  m: main text, x: something else.
+HAND = [
+    """<html><body><div id="top"><a href="/">Daily Paper</a> <a href="/w">World</a></div> x
+<div class="wrap"><div class="story-body"><h1>Bridge reopens after ten years</h1> m
+<p>The old bridge over the river was opened again on Monday, ten years after the flood.</p> m
+<p>Hundreds of people walked across it in the morning, and many had brought their children.</p> m
+<div class="promo"><a href="/sub">Subscribe to our newsletter</a></div> x
+<p>The mayor said that the work had cost less than had been feared.</p></div> m
+<div class="sidebar"><ul><li><a href="/1">Ten best walks</a></li> x
+<li><a href="/2">What to eat</a></li></ul></div></div> x
+<div class="footer">Copyright Daily Paper. All rights reserved.</div></body></html> x""",
+    """<html><body><table><tr><td class="menu"><a href="a">Start</a></td> x
+<td><div class="post"><h2>How to sharpen a knife</h2> m
+<p>Hold the blade at a low angle and draw it over the stone in long even strokes.</p> m
+<ul><li>Use plenty of water, never oil, on a water stone.</li> m
+<li>Count the strokes so that both sides get the same.</li></ul> m
+<p>When a burr can be felt along the whole edge, turn to the finer stone.</p></div></td></tr></table> m
+<div class="comments"><h3>Comments</h3> x
+<p>Great tips, thank you!</p> x
+<form><label>Your name</label> x
+<button>Send</button></form></div></body></html> x""",
+    """<body><div class="cookie-banner"><p>We use cookies to improve your visit.</p> x
+<button>Accept</button></div> x
+<div class="navbar"><ul><li><a href="/">Home</a></li> x
+<li><a href="/about">About</a></li></ul></div> x
+<div class="entry-content"><h1>A week on the island</h1> m
+<p>We arrived late in the evening, when the harbour was already dark and the last boats had come in.</p> m
+<blockquote>Nobody locks a door here, said the old man who met us.</blockquote> m
+<p>The next day we walked around the whole coast, which takes about seven hours.</p></div> m
+<div class="share"><a href="#">Share this</a></div> x
+<div class="related"><h3>You may also like</h3> x
+<p><a href="/x">Two days in the hills</a></p></div> x
+<p class="copyright">Some rights reserved.</p></body> x""",
+    """<html><body><div class="masthead">The Village Blog</div> x
+<section class="content"><h1>Notes on growing beans</h1> m
+<pre>row 1: early, row 2: late</pre> m
+<p>Beans want warm soil, so there is nothing to be gained from sowing before the middle of May.</p> m
+<noscript><p>A drawing of the bed is on the next page.</p></noscript> m
+<p>Water them in the morning and pick often, and they will bear until the first frost.</p></section> m
+<div class="ads"><p>Buy cheap seeds now!</p></div> x
+<div class="disqus"><p>First comment by a reader.</p></div></body></html> x""",
+]
+
+
+def hand_made():
+    """Page and, for each of its blocks, whether it is main text."""
+    for text in HAND:
+        lines = [line.rsplit(" ", 1) for line in text.split("\n")]
+        yield "\n".join(part for part, _ in lines), [mark == "m" for _, mark in lines]
+
+
+def test_hand_made_pages():
+    """Pages that the generator of training pages did not make; at least nine blocks in ten are told right."""
+    network = html.train([p for _, p, _ in page_rows()])
+    right = []
+    for page, wanted in hand_made():
+        read = html.blocks_of(page)
+        assert len(read) == len(wanted), [b.text for b in read]
+        right += [bool(a) == b for a, b in zip(html.label([read], network, html.Reader())[0], wanted, strict=True)]
+    print("hand-made pages:", sum(right), "of", len(right))
+    assert np.mean(right) >= 0.9
+
+
 def test_broken_markup_ends():
-    for page in ("<" * 20_000, "<a " * 20_000, "<p class=\"" * 5_000, "&am", "<!--", "<script", "a<b" * 10_000):
+    for page in ("<script>" * 20_000, "<style>" * 10_000 + "</style>" * 2, "<canvas>" * 20_000, "<" * 20_000, "<a " * 20_000, "<p class=\"" * 5_000, "&am", "<!--", "<script", "a<b" * 10_000):
         html.blocks_of(page)
 
 
 def brute_contaminated(docs, items):
+    """All windows against all windows, by the number of tokens that agree."""
     tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = set()
-    masks = [[k for k, b in enumerate(m) if b == "1"] for m in decontaminate.MASKS]
     for d, t in docs:
         w = tokens(t)
         for i, u in items:
             v = tokens(u)
-            if 5 <= len(v) < 12:
-                if any(w[k : k + len(v)] == v for k in range(len(w) - len(v) + 1)):
-                    out.add((d, i))
+            span = min(len(v), 12)
+            if not span:
                 continue
-            for a in range(len(w) - 11):
-                for b in range(len(v) - 11):
-                    same = [x == y for x, y in zip(w[a : a + 12], v[b : b + 12])]
-                    if sum(same) >= 10 and any(all(same[k] for k in m) for m in masks):
-                        out.add((d, i))
+            needed = {12: 10, 11: 9, 10: 8, 9: 8, 8: 7, 7: 6, 6: 5, 5: 4}.get(span, span)
+            for b in range(len(v) - span + 1):
+                if any(sum(map(str.__eq__, w[a : a + span], v[b : b + span])) >= needed for a in range(len(w) - span + 1)):
+                    out.add((d, i))
+                    break
     return out
 
 
+def test_masks_ignore_every_choice_of_positions():
+    for n in range(1, 13):
+        masks = decontaminate.masks_of(n) if n < 12 else decontaminate.MASKS
+        for off in itertools.combinations(range(n), n // 5):
+            assert any(all(m[k] == "0" for k in off) for m in masks) and all(len(m) == n and "1" in m for m in masks)
+
+
 @pytest.mark.parametrize("block", [1 << 16, 40])
 def test_decontamination(spark, monkeypatch, block):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(60)] + ["Ünder", "naïve"]
-    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((12, 15, 20, 30, 5, 7, 11, 4, 0))] + [(20, None), (21, "w1 w2 w3 w4 w5 w6 w7"), (21, "w9 " * 14)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((12, 15, 20, 30, 5, 7, 11, 4, 0, 3, 8, 9, 10, 6))] + [(20, None), (21, "w1 w2 w3 w4 w5 w6 w7"), (21, "w9 " * 14)]
     docs = []
-    for k in range(60):
+    for k in range(140):
         around = [rng.choice(words) for _ in range(rng.randrange(60))]
-        passage = (items[rng.randrange(9)][1] or "").split()
+        passage = (items[k % 14][1] or "").split()
         for _ in range(rng.randrange(4)):
             if passage:
                 passage[rng.randrange(len(passage))] = "other"
@@ -219,6 +306,8 @@ def test_decontamination(spark, monkeypatch, block):
         return
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(left, right).collect()}
     assert got == brute_contaminated(docs, items)
+    named = decontaminate.contaminated(left.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text"), right.select(F.concat(F.lit("i"), "item_id").alias("item_id"), "text"))
+    assert {(r["doc_id"], r["item_id"]) for r in named.collect()} == {(f"d{d}", f"i{i}") for d, i in got}
     judged = decontaminate.verdicts(left, right).collect()
     assert Counter(r["doc_id"] for r in judged) == Counter(d for d, _ in docs)
     assert all(r["contaminated"] == any(d == r["doc_id"] for d, _ in got) for r in judged)
