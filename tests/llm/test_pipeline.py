@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import mixing, sharding, urls
-from tests.llm.test_copies import WORDS, brute_components, brute_fingerprint
+from tests.llm.test_similar import jaccard, shingles
 from tests.llm.test_text import brute_contaminated
 
 
@@ -169,13 +169,19 @@ def test_pipeline(spark, tmp_path):
     assert Counter(kept) == Counter(r for r in rows if r[0] < 400)
 
     alone = stages["near_copies"](spark, spark.createDataFrame(kept, schema), str(tmp_path)).collect()
-    prints = {r[0]: brute_fingerprint(r[1]) for r in kept}
-    root = brute_components(set(prints.values()))
+    # All pairs of five-word shingle sets; 0.8 or more is near, and of what hangs together the smallest id stays.
+    sets = [shingles(r[1]) for r in kept]
+    root = list(range(len(kept)))
+    for j in range(len(kept)):
+        for k in range(j):
+            if root[j] != root[k] and jaccard(sets[j], sets[k]) >= 0.8:
+                old, new = root[j], root[k]
+                root = [new if x == old else x for x in root]
     groups = defaultdict(list)
-    for r in kept:
-        groups[root[prints[r[0]]]].append(r[0])
+    for r, at in zip(kept, root, strict=True):
+        groups[at].append(r[0])
     assert sorted(r["doc_id"] for r in alone) == sorted(min(g) for g in groups.values())
-    assert {tuple(r) for r in alone} <= set(kept) and len(groups) < len(kept)
+    assert {tuple(r) for r in alone} <= set(kept) and len(groups) <= len(kept) - 50
 
     clean = stages["decontamination"](spark, spark.createDataFrame(alone, schema), str(tmp_path)).collect()
     bad = {d for d, _ in brute_contaminated([(r["doc_id"], r["text"]) for r in alone], items)}
@@ -190,6 +196,15 @@ def test_pipeline(spark, tmp_path):
     assert all(texts[r["doc_id"]] == r["text"] and 0 <= r["shard"] < sharding.SHARDS for r in out)
 
 
+def test_decontamination_hands_on_all_columns(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(14)))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(k, "clean words" if k % 2 else "so " + " ".join(f"q{k}" for k in range(14)), k, "p", 3, "d") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _key bigint, print string, name int, doc string")
+    left = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] % 2]
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string"
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
