@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions import longseries as ls
 from barloom.functions.columns import content_id, digest_of, digest_parts, finite, first_reason, reasons, running, series, whole
 from barloom.operators.rules import toggle_state
 
@@ -230,11 +231,15 @@ AUDIT = ["sequence", "strategy_id", "action", "timestamp", "quantity", "price",
 
 
 def audit_events(fills: DataFrame, members: DataFrame, run: str = "portfolio_id", sleeve: str = "strategy_id") -> DataFrame:
-    """LG8: fills numbered from 0 by time, phase and member rank, with a content id."""
-    w = Window.partitionBy(run).orderBy("ts", "phase", "member_rank")
+    """LG8: fills numbered from 0 by time, phase and member rank, with a content id.
+
+    The number is a running count over buckets of time, so a run of any length is spread over all tasks.
+    """
     ranked = fills.join(members.select(run, sleeve, "member_rank"), [run, sleeve])
-    df = ranked.withColumns(
-        {"sequence": F.row_number().over(w) - 1, "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")}
+    placed = ls.with_bucket(ranked, F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+    counted = ls.plain(ls.running(placed, [run], ["ts", "phase", "member_rank"], {"_number": ("sum", F.lit(1))}))
+    df = counted.withColumns(
+        {"sequence": (F.col("_number") - 1).cast("int"), "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")}
     ).withColumnRenamed(sleeve, "strategy_id")
     return df.withColumn("event_id", content_id(AUDIT)).select(
         run, *AUDIT, "event_id", "ts", "entry", "exit", "halted", "end_ts"
@@ -298,24 +303,21 @@ def replay(
     stop at the event they meet are ordered by event; the end-of-ledger rules follow.
     """
     keys = [run, "strategy_id"]
-    w = Window.partitionBy(*keys).orderBy("sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     signed = F.when(F.col("action") == "buy", 1.0).otherwise(-1.0)
     notional = F.col("quantity") * F.col("price")
     expected = notional * F.lit(commission_bps / 10_000.0)
-    df = events.join(sleeves_cash.select(*keys, "start_cash"), keys, "left").withColumns(
+    # Both the run and the sleeve are walked in buckets of the sequence: neither bounds the number of its fills.
+    df = ls.previous(ls.with_bucket(events, F.col("sequence")), [run], ["sequence"], ["ts"])
+    df = df.join(sleeves_cash.select(*keys, "start_cash"), keys, "left").withColumns(
         {
             "notional": notional,
-            "late": F.col("ts") < F.lag("ts").over(Window.partitionBy(run).orderBy("sequence")),
+            "late": F.col("ts") < F.col("prev_ts"),
             "fee_off": F.abs(F.col("fee") - expected) > tolerance * F.greatest(expected, F.lit(1.0)),
             "flow": F.when(F.col("action") == "buy", -(notional + F.col("fee"))).otherwise(notional - F.col("fee")),
         }
     )
-    df = df.withColumns(
-        {
-            "position": F.sum(signed * F.col("quantity")).over(w),
-            "cash": F.col("start_cash") + F.sum("flow").over(w),
-        }
-    )
+    df = ls.plain(ls.running(df, keys, ["sequence"], {"position": ("sum", signed * F.col("quantity")), "_flow": ("sum", F.col("flow"))}))
+    df = df.withColumn("cash", F.col("start_cash") + F.col("_flow"))
     problem = first_reason(
         (F.col("start_cash").isNull(), "audit event references a strategy outside the execution"),
         (F.col("late"), "audit events must be chronological"),

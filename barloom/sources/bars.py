@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import longseries as ls
 from barloom.sources.schemas import BAR_COLUMNS, BARS
 
 
@@ -129,17 +130,41 @@ def select_requests(bars: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def next_bars(bars: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (symbol, start, end) with ``next_ts``: the first bar of the symbol at or after ``start`` (any, if it is null).
+
+    Bars and requests of a symbol are merged in falling order of time, and each request takes the newest bar time that the
+    running window has met.  The windows run over buckets of time, so neither the bars nor the requests of a frequent symbol
+    meet in one task, and no request is multiplied by bars.
+    """
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})"
+    span = bars.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(F.expr(micros.format("low")).alias("low"), F.expr(micros.format("high")).alias("high")).first()
+    if span["low"] is None:
+        return requests.withColumn("next_ts", F.lit(None).cast("timestamp_ntz"))
+    columns = F.struct(*[F.col(c) for c in requests.columns])
+    # Starts outside the bars move to their edge, so buckets need to span no more than the bars.
+    start = F.least(F.greatest(F.coalesce(F.expr(micros.format("start")), F.lit(span["low"])), F.lit(span["low"])), F.lit(span["high"] + 1))
+    asked = requests.select("symbol", (-start).alias("_at"), F.lit(1).alias("_role"), F.lit(None).cast("timestamp_ntz").alias("_bar"), columns.alias("_row"))
+    there = bars.select("symbol", (-F.expr(micros.format("ts"))).alias("_at"), F.lit(0).alias("_role"), F.col("ts").alias("_bar"), F.lit(None).cast(requests.select(columns.alias("r")).schema["r"].dataType).alias("_row"))
+    merged = ls.with_bucket(there.unionByName(asked), F.col("_at"))
+    met = ls.running(merged, ["symbol"], ["_at", "_role"], {"next_ts": ("last", F.col("_bar"))})
+    return met.where("_role = 1").select("_row.*", "next_ts")
+
+
+def answered(bars: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` with ``found``: whether a bar lies in the half-open range."""
+    inside = F.col("next_ts").isNotNull() & (F.col("end").isNull() | (F.col("next_ts") < F.col("end")))
+    return next_bars(bars, requests).withColumn("found", inside).drop("next_ts")
+
+
 def request_problems(bars: DataFrame, requests: DataFrame) -> DataFrame:
-    """SRC10 checks: a symbol asked for twice, and a request that no bar answers."""
+    """SRC10 checks: a symbol asked for twice, and one of which no request is answered by a bar."""
     twice = (
         requests.groupBy("symbol").count().where("count > 1")
         .select("symbol", F.lit("duplicate request symbol").alias("reason"))
     )
-    got = select_requests(bars, requests).select("symbol").distinct()
-    empty = requests.select("symbol").distinct().join(got, "symbol", "left_anti").select(
-        "symbol", F.lit("requested market-data range is empty").alias("reason")
-    )
-    return twice.unionByName(empty)
+    empty = answered(bars, requests).groupBy("symbol").agg(F.bool_or("found").alias("found")).where("NOT found")
+    return twice.unionByName(empty.select("symbol", F.lit("requested market-data range is empty").alias("reason")))
 
 
 def load_problems(bars: DataFrame, requests: DataFrame) -> DataFrame:
@@ -148,14 +173,11 @@ def load_problems(bars: DataFrame, requests: DataFrame) -> DataFrame:
     A symbol without any bar is unknown; one whose half-open range holds none is an empty range.
     """
     seen = bars.groupBy("symbol").agg(F.lit(True).alias("known"))
-    r = requests.select("request_id", "symbol", F.col("start").alias("req_start"), F.col("end").alias("req_end"))
-    inside = (F.col("req_start").isNull() | (F.col("ts") >= F.col("req_start"))) & (F.col("req_end").isNull() | (F.col("ts") < F.col("req_end")))
-    got = r.join(bars.select("symbol", "ts"), "symbol").where(inside).select("request_id").distinct().withColumn("found", F.lit(True))
+    r = answered(bars, requests.select("request_id", "symbol", "start", "end"))
     reason = F.when(F.col("known").isNull(), F.concat(F.lit("unknown symbol: "), "symbol")).when(
-        F.col("found").isNull(), F.lit("requested market-data range is empty")
+        ~F.col("found"), F.lit("requested market-data range is empty")
     )
-    out = r.join(seen, "symbol", "left").join(got, "request_id", "left")
-    return out.select("request_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return r.join(seen, "symbol", "left").select("request_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def inclusive_end(requests: DataFrame, timeframe: str = "1d") -> DataFrame:

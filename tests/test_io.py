@@ -168,3 +168,28 @@ def test_stream_without_files(spark, tmp_path):
     schema = "portfolio_id string, ts timestamp_ntz, equity double"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "in"))
     assert equity_run(spark, str(tmp_path / "in"), schema, 0.25, str(tmp_path / "o")) == []
+
+
+def test_requests_meet_their_next_bar(spark):
+    """Against a loop over all bars: repeated requests of one symbol, open ends, empty ranges, unknown symbols."""
+    rng = random.Random(7)
+    day = datetime(2020, 1, 1)
+    held = {s: sorted(rng.sample(range(400), n)) for s, n in (("HOT", 200), ("A", 3), ("B", 1))}
+    b = spark.createDataFrame([(s, day + timedelta(hours=h), 1.0) for s, hs in held.items() for h in hs], "symbol string, ts timestamp_ntz, close double")
+    asked = []
+    for k in range(300):
+        s = rng.choice(["HOT", "HOT", "A", "B", "none"])
+        start, length = rng.choice([None, rng.randrange(-50, 450)]), rng.choice([None, 1, 5, 90])
+        end = None if length is None else (start or 0) + length
+        asked.append((k, s, start, end))
+    when = lambda h: None if h is None else day + timedelta(hours=h)
+    r = spark.createDataFrame([(k, s, when(a), when(e)) for k, s, a, e in asked], "request_id int, symbol string, start timestamp_ntz, end timestamp_ntz")
+    expected = {}
+    for k, s, a, e in asked:
+        if s not in held:
+            expected[k] = "unknown symbol: none"
+        elif not any((a is None or h >= a) and (e is None or h < e) for h in held[s]):
+            expected[k] = "requested market-data range is empty"
+    assert {x.request_id: x.reason for x in src.load_problems(b, r).collect()} == expected
+    assert len(set(expected.values())) == 2 and len(expected) < 250
+    assert {x.reason for x in src.load_problems(b.limit(0), r).collect()} == {f"unknown symbol: {s}" for s in ("HOT", "A", "B", "none")}
