@@ -253,6 +253,12 @@ def inverse_volatility(
     Water-filling in closed form: with strategies ordered by inverse volatility the capped ones are a
     prefix, and its length is the first rank whose share of what is left stays under the cap.
     """
+    g = list(groups)
+    return _filled(_member_volatility(returns, g, floor), g, total, minimum, maximum, floor)
+
+
+def _filled(vol: DataFrame, g: list[str], total: float, minimum: float, maximum: float, floor: float) -> DataFrame:
+    """Weights of the members ``vol`` (groups, strategy_id, est_vol, _obs, _ok)."""
     if not 0 < total <= 1:
         raise ValueError("max_total_weight must be in (0, 1]")
     if minimum < 0:
@@ -261,8 +267,6 @@ def inverse_volatility(
         raise ValueError("max_weight must be positive and at least min_weight")
     if floor <= 0:
         raise ValueError("volatility_floor must be positive and finite")
-    g = list(groups)
-    vol = _member_volatility(returns, g, floor)
     # One member that cannot be weighed fails its portfolio closed; allocation_problems says why.
     vol = vol.withColumn("_all", F.bool_and((F.col("_obs") >= 2) & F.col("_ok")).over(whole(g))).where("_all")
     order = Window.partitionBy(*g).orderBy(F.desc("inv"), "strategy_id")
@@ -356,19 +360,29 @@ def risk_prefix(
 ) -> DataFrame:
     """PF9: largest prefix of the selected strategies, in acceptance order, whose volatility is allowed.
 
-    Every prefix length is a group of its own; the policy bounds their number.
+    Each return is moved once: the members' returns of a timestamp meet in one row, which holds the weights of all
+    prefixes beside them, and gives one return for each prefix.  The policy bounds the members, so also these rows.
     """
     if max_volatility <= 0:
         raise ValueError("max_portfolio_volatility must be finite and positive")
+    limits = {"total": 1.0, "minimum": 0.0, "maximum": 1.0, "floor": 1e-8} | allocation
     sel = selection.where("selected").select(G, "strategy_id", "pos")
     size = sel.groupBy(G).agg(F.max("pos").alias("members"))
-    pref = sel.join(size, G).withColumn("prefix", F.explode(F.sequence("pos", "members")))
-    rows = returns.join(pref.select(G, "strategy_id", "prefix"), [G, "strategy_id"])
-    keys = [G, "prefix"]
-    weights = inverse_volatility(rows, groups=keys, **allocation)
-    vol = rows.join(weights, [*keys, "strategy_id"]).groupBy(*keys, "ts").agg(
-        F.sum(F.col("weight") * F.col("r")).alias("p")
-    ).groupBy(*keys).agg(F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("volatility"))
+    rows = returns.join(sel, [G, "strategy_id"]).select(G, "strategy_id", "ts", "pos", "r")
+    pref = sel.join(size, G).withColumn("prefix", F.explode(F.sequence("pos", "members"))).select(G, "strategy_id", "prefix")
+    single = _member_volatility(rows, [G], limits["floor"]).join(pref, [G, "strategy_id"])
+    weights = _filled(single, [G, "prefix"], **limits).join(sel, [G, "strategy_id"])
+    by_prefix = weights.groupBy(G, "prefix").agg(F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("w"))
+    by_prefix = by_prefix.groupBy(G).agg(F.collect_list(F.struct("prefix", "w")).alias("prefixes"))
+    at = rows.groupBy(G, "ts").agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("rs")).join(by_prefix, G)
+
+    def combined(p: Column) -> Column:
+        own = F.filter("rs", lambda x: x["pos"] <= p["prefix"])
+        total = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x["r"] * F.element_at(p["w"], x["pos"]))
+        return F.struct(p["prefix"].alias("prefix"), F.when(F.size(own) > 0, total).alias("p"))
+
+    parts = at.select(G, F.inline(F.transform("prefixes", combined))).where(F.col("p").isNotNull())
+    vol = parts.groupBy(G, "prefix").agg(F.coalesce(F.stddev_samp("p"), F.lit(0.0)).alias("volatility"))
     ok = F.when(F.col("volatility") <= max_volatility, F.col("prefix"))
     best = vol.groupBy(G).agg(
         F.max(ok).alias("admitted"), F.min_by("volatility", "prefix").alias("last_vol"),

@@ -126,6 +126,27 @@ def test_prefix_admission(spark):
     assert none.volatility == pytest.approx(frames["P"]["s0"].std(ddof=1))
 
 
+@pytest.mark.parametrize("limits", [{}, {"maximum": 0.4}, {"minimum": 0.1, "maximum": 0.5, "total": 0.9}])
+def test_every_prefix_is_weighed_alone(spark, limits):
+    """Prefix volatilities, capped weights and gaps in a member's returns included, against one allocation for each prefix."""
+    frames, r = make_returns(spark, {"P": 5, "Q": 3})
+    r = r.where("NOT (strategy_id = 's0' AND day(ts) % 3 = 0)")
+    names = {"P": ["s3", "s0", "s4", "s1", "s2"], "Q": ["s2", "s0", "s1"]}
+    sel = spark.createDataFrame([(p, s, True, k + 1) for p, ss in names.items() for k, s in enumerate(ss)], f"{G} string, strategy_id string, selected boolean, pos int")
+    vols = {}
+    for p, ss in names.items():
+        for k in range(1, len(ss) + 1):
+            part = r.where((F.col(G) == p) & F.col("strategy_id").isin(ss[:k]))
+            vols[p, k] = pf.portfolio_volatility(part, pf.inverse_volatility(part, **limits)).first()
+    vols = {k: v.volatility for k, v in vols.items() if v is not None}
+    for level in sorted(vols.values())[::3]:
+        for x in pf.risk_prefix(r, sel, max_volatility=level * 1.000001, **limits).collect():
+            own = {k: v for (p, k), v in vols.items() if p == x[G]}
+            admitted = max((k for k, v in own.items() if v <= level * 1.000001), default=0)
+            assert (x.members, x.admitted) == (len(names[x[G]]), admitted)
+            assert x.volatility == pytest.approx(own[admitted] if admitted else own[min(own)])
+
+
 def test_pareto_brute_force(spark):
     rng = random.Random(3)
     pts = [(i, *(float(rng.randrange(12)) for _ in range(3))) for i in range(400)]
