@@ -13,6 +13,7 @@ masks ignore every choice of so many positions.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -34,7 +35,9 @@ ONE_OFF = 5
 # Bits of the filter: 2 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 24
 TOKEN = re.compile(r"[^\W_]+")
-BLOCK = 1 << 16
+BETWEEN = re.compile(r"[\W_]")
+# Tokens of a block, characters read at once, and token hashes that a task remembers.
+BLOCK, PIECE, MEMORY = 1 << 16, 1 << 20, 1 << 17
 WINDOWS = "pos bigint, hash bigint, window array<bigint>"
 
 
@@ -45,16 +48,38 @@ def masks_of(n: int) -> list[str]:
     return [("10" * n)[:n], ("01" * n)[:n]] if n >= ONE_OFF else ["1" * n]
 
 
-def token_blocks(text: str, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
+class Hashes(dict):
+    """Hashes of tokens; the frequent ones are computed once, and the memory has a bound."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[token] = found = xxhash.xxh64_intdigest(token)
+        return found
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of at least PIECE characters that do not cut a token."""
+    start = 0
+    while len(text) - start > PIECE:
+        edge = BETWEEN.search(text, start + PIECE)
+        if edge is None:
+            break
+        yield text[start : edge.start()]
+        start = edge.start()
+    yield text[start:] if start else text
+
+
+def token_blocks(text: str, overlap: int, hashes: Hashes | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Start and hashes of blocks of lower-cased tokens; each repeats the last ``overlap`` tokens of the one before."""
-    start, held = 0, []
-    digest = xxhash.xxh64_intdigest
-    for found in TOKEN.finditer(text.lower()):
-        held.append(digest(found.group()))
-        if len(held) == BLOCK + overlap:
-            yield start, np.array(held, np.uint64)
+    start, held = 0, array("Q")
+    hashes = Hashes() if hashes is None else hashes
+    for piece in pieces(text.lower()):
+        held.extend(map(hashes.__getitem__, TOKEN.findall(piece)))
+        while len(held) >= BLOCK + overlap:
+            yield start, np.array(held[: BLOCK + overlap])
             start, held = start + BLOCK, held[BLOCK:]
-    yield start, np.array(held, np.uint64)
+    yield start, np.array(held)
 
 
 def masked_hashes(tokens: np.ndarray, mask: str, at: np.ndarray | None = None) -> np.ndarray:
@@ -90,10 +115,11 @@ def windows_of(texts: DataFrame, masks: Sequence[str], bits=None, thirds=None) -
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else bits.value
+        hashes_of = Hashes()
         for batch in batches:
             out: dict[str, list] = {"id": [], "pos": [], "hash": [], "window": []}
             for key, value in enumerate(batch.column("text").to_pylist()):
-                for start, tokens in token_blocks(value or "", SPAN - 1):
+                for start, tokens in token_blocks(value or "", SPAN - 1, hashes_of):
                     some = None if thirds is None else promising(tokens, thirds.value)
                     for mask in masks:
                         at = some if some is not None and len(mask) == SPAN else None

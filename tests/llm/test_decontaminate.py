@@ -34,3 +34,15 @@ def test_every_two_substitutions_are_found(spark):
     got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in decontaminate.contaminated(left, right).collect()}
     assert got == agreeing(docs, items)
     assert all((d, 12) in got for d in range(68))
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["Word ", "ab_c ", "é", " ", "x1", ", "]) for _ in range(4000)) + "z" * 500
+    whole = next(iter(decontaminate.token_blocks(text, 11)))[1].tolist()
+    for piece in (1, 7, 300, 10_000):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        assert "".join(decontaminate.pieces(text)) == text
+        assert next(iter(decontaminate.token_blocks(text, 11)))[1].tolist() == whole
+    monkeypatch.setattr(decontaminate, "MEMORY", 3)
+    assert next(iter(decontaminate.token_blocks(text, 11)))[1].tolist() == whole
