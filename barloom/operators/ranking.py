@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import math
 from collections.abc import Iterator, Sequence
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import clip01, finite
-from barloom.functions.scale import global_rank, tiles, value_counts
+from barloom.functions.scale import global_rank, value_counts
 from barloom.operators.specs import canonical
 from barloom.session import cut
 from barloom.sources.schemas import SPEC_FIELDS
@@ -131,6 +132,82 @@ def _dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
     return out
 
 
+# Cells of the front search: at most so many, from so many sampled vectors for each.
+MOST_CELLS, CELL_SAMPLE = 256, 64
+
+
+@dataclasses.dataclass
+class Split:
+    """A cut of the objective space: values up to ``at`` in one objective on the left; a leaf has a cell number instead."""
+
+    column: int = -1
+    at: float = 0.0
+    left: Split | None = None
+    right: Split | None = None
+    cell: int = -1
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        out = np.empty(len(points), np.int32)
+        todo = [(self, np.arange(len(points)))]
+        while todo:
+            node, which = todo.pop()
+            if node.left is None:
+                out[which] = node.cell
+                continue
+            low = points[which, node.column] <= node.at
+            todo += [(node.left, which[low]), (node.right, which[~low])]
+        return out
+
+
+def cut_space(sample: np.ndarray, leaf: int) -> tuple[Split, int]:
+    """Cells of about ``leaf`` sampled points, cut at medians of the objectives in turn; and how many there are."""
+    root = Split()
+    todo, cells = [(root, sample, 0)], 0
+    while todo:
+        node, own, depth = todo.pop()
+        for turn in range(own.shape[1] if len(own) > leaf else 0):
+            column = (depth + turn) % own.shape[1]
+            at = np.sort(own[:, column])[(len(own) - 1) // 2]
+            low = own[:, column] <= at
+            if not low.all():
+                node.column, node.at, node.left, node.right = column, float(at), Split(), Split()
+                todo += [(node.left, own[low], column + 1), (node.right, own[~low], column + 1)]
+                break
+        else:
+            node.cell, cells = cells, cells + 1
+    return root, cells
+
+
+def undominated(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by cell, block and role: first the points that are judged, which are held, then those that may beat them, which pass by."""
+    key, held, alive = None, [], None
+
+    def judged() -> pd.DataFrame:
+        points = np.vstack(held) if alive is None else held[0][alive]
+        return pd.DataFrame(points, columns=cols)
+
+    for pdf in batches:
+        for (cell, part, role), own in pdf.groupby(["cell", "part", "role"], sort=True):
+            points = own[cols].to_numpy(dtype=float)
+            if (cell, part) != key:
+                if held:
+                    yield judged()
+                key, held, alive = (cell, part), [], None
+            if role == 0:
+                held.append(points)
+                continue
+            if not held:
+                continue
+            if alive is None:
+                held = [np.vstack(held)]
+                alive = np.ones(len(held[0]), bool)
+            left = np.flatnonzero(alive)
+            alive[left[_dominated(held[0][left], points)]] = False
+    if held:
+        yield judged()
+
+
 def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -> DataFrame:
     """RK4: rows that no other row dominates (every objective larger is better).
 
@@ -138,8 +215,9 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
     with nothing: such a row neither dominates nor is dominated, and stays.
 
     1. Equal objective vectors collapse to one (copies never dominate each other).
-    2. Each partition drops what its own rows dominate.
-    3. The few survivors are compared block against block.
+    2. Each partition drops what a window of its best rows dominates; the window has a bound, and what finds no room goes on.
+    3. The survivors are dealt to cells of the objective space.  A cell whose best corner another one's worst corner dominates goes as a
+       whole; the others are compared only with cells that reach above them, which pass by the held ones in batches.
     4. An equi-join on the vector brings back every row of the front.
     """
     cols = list(objectives)
@@ -149,11 +227,17 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
         kept = np.empty((0, len(cols)))
         for pdf in batches:
             points = pdf[cols].to_numpy(dtype=float)
+            points = points[np.argsort(-points.sum(axis=1), kind="stable")]
             for start in range(0, len(points), block):
                 part = points[start : start + block]
                 part = part[~_dominated(part, part)]
                 part = part[~_dominated(part, kept)] if len(kept) else part
                 kept = np.vstack([kept[~_dominated(kept, part)] if len(part) and len(kept) else kept, part])
+                if len(kept) > 2 * block:
+                    # The points with the largest sums dominate most; the others are passed on.
+                    order = np.argsort(-kept.sum(axis=1), kind="stable")
+                    yield pd.DataFrame(kept[order[block:]], columns=cols)
+                    kept = kept[order[:block]]
         yield pd.DataFrame(kept, columns=cols)
 
     if "fitness" in cols:
@@ -163,16 +247,32 @@ def pareto_front(df: DataFrame, objectives: Sequence[str], block: int = BLOCK) -
     vectors = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).distinct()
     candidates = cut(vectors.mapInPandas(local, schema))
     count = candidates.count()
-    blocks = max(1, math.ceil(count / block))
+    cells = max(1, min(MOST_CELLS, math.ceil(count / block)))
+    every = max(1, count // (CELL_SAMPLE * cells))
+    sample = candidates.where(F.pmod(F.xxhash64(F.lit("cell"), *cols), F.lit(every)) == 0).toPandas()[cols].to_numpy(dtype=float)
+    tree, _ = cut_space(sample, CELL_SAMPLE if cells > 1 else max(1, len(sample)))
 
-    def losers(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = pdf[pdf["_side"] == "l"][cols].to_numpy(dtype=float)
-        b = pdf[pdf["_side"] == "r"][cols].to_numpy(dtype=float)
-        lost = np.vstack([a[_dominated(a, b)], b[_dominated(b, a)]])
-        return pd.DataFrame(np.unique(lost, axis=0), columns=cols)
-
-    beaten = tiles(candidates, [], F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int"), blocks, losers, schema)
-    front = candidates.join(beaten.distinct(), cols, "left_anti")
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(cell=tree.of(pdf[cols].to_numpy(dtype=float)))
+
+    placed = cut(candidates.mapInPandas(place, f"{schema}, cell int"))
+    # At most 2 * MOST_CELLS rows: one for each cell.
+    bounds = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("l", F.min), ("h", F.max))]).collect()
+    low, high = (np.array([[r[f"{k}{i}"] for i in range(len(cols))] for r in bounds]).reshape(len(bounds), len(cols)) for k in "lh")
+    routes = []
+    for b, row in enumerate(bounds):
+        if ((low >= high[b]).all(axis=1) & (low > high[b]).any(axis=1)).any():
+            continue
+        parts = max(1, math.ceil(row["n"] / (4 * block)))
+        routes += [(bounds[a]["cell"], row["cell"], parts) for a in np.flatnonzero((high >= low[b]).all(axis=1))]
+    spark = df.sparkSession
+    route = F.broadcast(spark.createDataFrame(routes, "cell int, target int, parts int"))
+    met = placed.join(route, "cell")
+    own = met.where("cell = target").select(F.col("target").alias("cell"), F.pmod(F.xxhash64(*cols), "parts").cast("int").alias("part"), F.lit(0).alias("role"), *cols)
+    above = met.select(F.col("target").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), *cols)
+    dealt = own.unionByName(above).repartition("cell", "part").sortWithinPartitions("cell", "part", "role")
+    front = dealt.mapInPandas(lambda batches: undominated(batches, cols), schema)
     return df.join(front, cols, "left_semi").select(*df.columns).unionByName(apart)
 
 

@@ -292,3 +292,20 @@ def test_portfolio_build_fails_closed(spark):
     why = pf.allocation_problems(returns, minimum=0.3).collect()
     assert {(r.portfolio_id, r.strategy_id) for r in why} == {("ok", "d"), ("ok", None)}
     assert pf.inverse_volatility(returns).where("portfolio_id = 'ok'").count() == 0
+
+
+def test_pareto_front_of_opposed_objectives(spark):
+    """Nearly all rows are in the front: windows overflow, cells are cut into parts, and cells below others go as a whole."""
+    rng = np.random.default_rng(4)
+    a = rng.random(900)
+    points = np.column_stack([a, 1 - a + rng.normal(0, 0.002, 900), rng.integers(0, 3, 900)])
+    points = np.vstack([points, points[:40], rng.random((600, 3)) * [0.4, 0.4, 1], np.full((30, 3), 0.3), [[np.inf, -5, 0], [-np.inf, 9, 0]]])
+    rows = [(k, *map(float, p)) for k, p in enumerate(points)]
+    want = {k for k, p in enumerate(points) if not ((points >= p).all(axis=1) & (points > p).any(axis=1)).any()}
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    for block in (8, 60, 2048):
+        assert {r.id for r in ranking.pareto_front(df, ["a", "b", "c"], block).collect()} == want
+    assert len(want) > 300
+    assert ranking.pareto_front(df.limit(0), ["a", "b"]).count() == 0
+    tree, cells = ranking.cut_space(points, 64)
+    assert set(tree.of(points)) == set(range(cells)) and max(np.bincount(tree.of(points))) <= 128
