@@ -11,6 +11,7 @@ from barloom.functions.columns import finite
 from barloom.operators import backtest as bt
 from barloom.operators import evaluation as ev
 from barloom.operators import gates, rules, splits, sweeps
+from barloom.operators.candidates import evidence, moves, perturbation_scores
 from barloom.operators.specs import demo_records, spec_table
 from barloom.plans.core import r2, r6, stamp
 from barloom.session import cut
@@ -20,64 +21,6 @@ CAND = list(ev.CANDIDATE)
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def moves(bars: DataFrame, signals: ev.Signals) -> DataFrame:
-    """Whole-series positions of every candidate."""
-    return bt.with_moves(ev.held(signals(bars, ("symbol",)), CAND), CAND)
-
-
-def evidence(
-    bars: DataFrame, signals: ev.Signals, *, seed: int = 0, simulations: int = 1000,
-    perturbations: DataFrame | None = None,
-) -> DataFrame:
-    """GT8 without the gate: one row per candidate with every evidence column.
-
-    The segmented runs feed the segment metrics, the OOS rows and the trades, so they are written
-    once; back-testing them again in every branch would cost a window sort each.  Everything joined
-    here is one row per candidate.
-    """
-    windows = splits.default_windows(bars)
-    runs = cut(ev.segment_runs(windows, signals))
-    oos = ev.oos_rows(runs, overlapping=False)
-    wf = ev.walk_forward(runs, overlapping=False)
-    mc = ev.bootstrap(ev.oos_trades(runs), simulations=simulations, seed=seed)
-    labels = ev.regime_labels(windows.where(F.col("segment") == "test"))
-    regime = ev.regime_stability(oos, labels).select(*CAND, "regime_score")
-    rob = ev.cost_scenarios(moves(bars, signals))
-    out = (
-        wf.join(ev.bootstrap_or_fail(wf, mc), CAND)
-        .join(regime, CAND, "left")
-        .join(rob, CAND, "left")
-    )
-    if perturbations is not None:
-        out = out.join(perturbations, CAND, "left")
-    else:
-        out = out.withColumn("pert_pass_rate", F.lit(None).cast("double"))
-    return out.withColumn("fitness", F.col("oos_sharpe"))
-
-
-def perturbation_scores(
-    bars: DataFrame, specs: DataFrame, samples: int = 20, seed: int = 0, key: str = "strategy_id"
-) -> DataFrame:
-    """RB6: OOS Sharpe of sampled neighbours; equal variants are evaluated once.
-
-    Only the test slice is evaluated, since the score reads nothing else.
-    """
-    variants = sweeps.sampled_variants(specs, samples, seed, (sweeps.PERIOD, sweeps.THRESHOLD), key)
-    names = variants.select(F.col("parent_id"), "sample", "strategy_id")
-    distinct = variants.dropDuplicates(["strategy_id"])
-    test = splits.default_windows(bars).where(F.col("segment") == "test")
-    runs = ev.segment_runs(test, ev.from_table(distinct))
-    score = ev.oos_metrics(ev.oos_rows(runs, overlapping=False)).select(*CAND, "oos_sharpe")
-    per_sample = names.join(score, "strategy_id")
-    ok = finite("oos_sharpe")
-    return per_sample.groupBy(F.col("parent_id").alias("strategy_id"), "symbol").agg(
-        F.count(F.lit(1)).alias("pert_samples"),
-        F.avg(F.when(ok & (F.col("oos_sharpe") >= 0), 1.0).otherwise(0.0)).alias("pert_pass_rate"),
-        F.min(F.when(ok, F.col("oos_sharpe"))).alias("pert_worst"),
-        F.percentile(F.when(ok, F.col("oos_sharpe")), F.lit(0.5)).alias("pert_median"),
-    )
-
-
 # --- registered queries ----------------------------------------------------
 DEMO = demo_records()
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.operators import gates
+from barloom.operators import gates, ranking
 from barloom.operators import research as rs
+from barloom.operators.specs import demo_records, spec_table
 from barloom.plans import fixtures as fx
 from barloom.plans.core import r6
 from barloom.session import cut
@@ -20,8 +21,10 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peers(evaluated: DataFrame) -> DataFrame:
-    """Novelty of the candidates inside the population (suppliers not ending in 3)."""
-    return evaluated.where(~F.col("symbol").endswith("3")).select("strategy_id", (1 - F.col("mc_pass_rate")).alias("novelty"))
+    """Novelty of all candidates: mean distance of a genome (the spec with its symbol as universe) to all others."""
+    specs = spec_table(evaluated.sparkSession, demo_records()).drop("strategy_id", "universe")
+    genomes = evaluated.select("strategy_id", F.split("strategy_id", r"\|")[0].alias("name"), F.array("symbol").alias("universe")).join(F.broadcast(specs), "name")
+    return ranking.novelty(genomes)
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def replacement_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    g = fx.scores(spark, sf).select(
+    g = fx.evidence(spark, sf).select(
         "candidate_id", (F.col("fitness") > -1.0).alias("eligible"), "fitness",
         F.col("rob_ratio").alias("robustness"), F.col("mc_pass_rate").alias("diversity"),
     )
@@ -123,7 +123,7 @@ def with_objectives(df: DataFrame) -> DataFrame:
 
 
 def pareto_front(spark: SparkSession, sf: str) -> DataFrame:
-    s = cut(with_objectives(fx.scores(spark, sf)))
+    s = with_objectives(fx.evidence(spark, sf))
     return ranking.pareto_front(s, OBJECTIVES).select("candidate_id", r6("fitness").alias("fitness"))
 
 
@@ -159,7 +159,7 @@ def selection_eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 def selected_population(spark: SparkSession, sf: str) -> DataFrame:
     """RK7 without the diversity step: the Pareto front first, then by rank, 60 candidates."""
-    s = cut(with_objectives(fx.scores(spark, sf).where(F.col("fitness") > -3)))
+    s = with_objectives(fx.evidence(spark, sf))
     p = ranking.select_population(s, None, 60, preserve_diversity=False, objectives=OBJECTIVES)
     return p.select("candidate_id", F.col("tier").cast("bigint").alias("tier"))
 

@@ -1,12 +1,24 @@
 """SQL twins of the queries in barloom.plans.research."""
 
+import json
+
+from barloom.operators.specs import demo_records
+from barloom.sources.schemas import SPEC_FIELDS
 from oracles import selection as _s
 from oracles.parts import part, r6, with_parts
 
 SQL = {}
 CL = "LEAST(1.0E0, GREATEST(0.0E0, {}))"
+# Mean distance to all other candidates, from how many share the value of each field; the symbol is the universe.
+_genes = ", ".join(
+    f"('{r['name']}', '{f}', '{json.dumps(r.get(f), sort_keys=True)}')" for r in demo_records() for f in SPEC_FIELDS if f != "universe"
+)
+part("gene_v",
+     f"SELECT candidate_id, field, val FROM evid JOIN (VALUES {_genes}) v(strategy_id, field, val) USING (strategy_id) UNION ALL SELECT candidate_id, 'universe', symbol FROM evid")
+part("gene_n", "SELECT candidate_id, COUNT(*) OVER (PARTITION BY field, val) AS same FROM gene_v")
+part("novelties", "SELECT candidate_id, SUM(n - same) / (11.0E0 * (MAX(n) - 1)) AS nov FROM gene_n, (SELECT COUNT(*) AS n FROM evid) GROUP BY 1")
 part("jud",
-     "SELECT g.* EXCLUDE (strategy_id, candidate_id), candidate_id AS strategy_id, why = '' AS promo, CASE WHEN symbol LIKE '%3' THEN NULL ELSE 1.0E0 - mc_pass_rate END AS nov FROM gated_sc g")
+     "SELECT g.* EXCLUDE (strategy_id, candidate_id), candidate_id AS strategy_id, why = '' AS promo, nov FROM gated_sc g JOIN novelties USING (candidate_id)")
 cols = ("fitness", "robustness", "novelty", "uncertainty", "capacity_gap")
 part("sig1",
      "SELECT strategy_id, CASE WHEN NOT (wf_passed AND promo) THEN 'degraded' WHEN mc_simulations <= 0 THEN 'halted' ELSE 'capacity' END AS reason, "

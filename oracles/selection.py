@@ -49,31 +49,30 @@ SQL["replacement_templates"] = with_parts(
     "CAST(f AS BIGINT) AS fast, CAST(s AS BIGINT) AS slow FROM supplier, (VALUES ('sma_fast', 'sma', 10, 30), ('ema_fast', 'ema', 10, 30), ('sma_slow', 'sma', 20, 60)) t(m, k, f, s) "
     "WHERE NOT (s_suppkey % 4 = 0 AND m = 'sma_slow')")
 
-part("scores",
-     f"SELECT b.strategy_id || '|' || b.symbol AS candidate_id, b.strategy_id, b.symbol, s.sharpe AS fitness, s.max_drawdown AS train_drawdown, s.total_return AS oos_return, "
-     "COALESCE(b.mc, 0.0E0) AS mc_pass_rate, COALESCE(b.lo, 0.0E0) AS mc_lower, b.pp AS pert_pass_rate, b.sims AS mc_simulations, LEAST(up, down) - GREATEST(up, down) AS regime_score, r.rob_ratio, r.eq_baseline, r.rob_ratio >= 0.97 AS rob_passed, "
-     "s.sharpe >= 0.5 AND ABS(s.max_drawdown) <= 0.25 AS wf_passed FROM ("
-     f"SELECT {CAND}, AVG(CASE WHEN net_ret >= 0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE target) AS mc, MIN(net_ret) FILTER (WHERE target) AS lo, COUNT(*) FILTER (WHERE target) AS sims, AVG(CASE WHEN net_ret >= 0 THEN 1.0E0 ELSE 0.0E0 END) FILTER (WHERE close < prev_close) AS pp, AVG(net_ret) FILTER (WHERE close >= prev_close) AS up, "
-     f"AVG(net_ret) FILTER (WHERE close < prev_close) AS down FROM sf_b GROUP BY {CAND}) b JOIN sf_s s USING ({CAND}) JOIN sc_sup_r r USING ({CAND})")
+part("scores", f"SELECT s.strategy_id, s.symbol, s.sharpe AS fitness, r.rob_ratio >= 0.97 AS rob_passed FROM sf_s s JOIN sc_sup_r r USING ({CAND})")
 _checks = [
     ("NOT wf_passed", "walk-forward/OOS evaluation failed"),
     ("fitness < 0.5", "OOS Sharpe is below the promotion minimum"),
-    ("ABS(train_drawdown) > 0.25", "OOS drawdown exceeds the promotion maximum"),
-    ("mc_pass_rate < 0.45", "Monte Carlo pass rate is below the promotion minimum"),
-    ("mc_lower < -0.003", "Monte Carlo lower-percentile return is too weak"),
+    ("oos_drawdown > 0.25", "OOS drawdown exceeds the promotion maximum"),
+    ("mc_pass_rate < 0.103", "Monte Carlo pass rate is below the promotion minimum"),
+    ("mc_lower < -0.1", "Monte Carlo lower-percentile return is too weak"),
     ("pert_pass_rate IS NULL", "parameter perturbation evidence is required"),
-    ("pert_pass_rate < 0.38", "parameter perturbation stability is below the promotion minimum"),
-    ("regime_score < -0.01", "regime stability is below the promotion minimum"),
-    ("NOT rob_passed", "cost_slippage_2x equity fell below robustness threshold"),
+    ("pert_pass_rate < 0.8", "parameter perturbation stability is below the promotion minimum"),
+    ("regime_score IS NULL", "regime stability evidence is required"),
+    ("regime_score < -0.05", "regime stability is below the promotion minimum"),
+    ("NOT rob_passed", "robustness"),
 ]
-part("gated_sc", "SELECT *, CONCAT_WS('; ', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in _checks) + ") AS why FROM scores")
+part("evid",
+     "SELECT s.*, s.strategy_id || '|' || s.symbol AS candidate_id, s.oos_sharpe AS fitness, s.rob_reasons = '' AS rob_passed, q.pert_pass_rate "
+     "FROM sup_ev0 s LEFT JOIN (SELECT strategy_id, AVG(pert_pass_rate) AS pert_pass_rate FROM pert GROUP BY 1) q USING (strategy_id)")
+part("gated_sc", "SELECT *, CONCAT_WS('; ', " + ", ".join(f"CASE WHEN {c} THEN " + (f"'{t}'" if t != "robustness" else "rob_reasons") + " END" for c, t in _checks) + ") AS why FROM evid")
 FINAL = "(0.6E0 * fitness + 0.25E0 * rob_ratio + 0.15E0 * mc_pass_rate) / (0.6E0 + 0.25E0 + 0.15E0)"
 SQL["rank_candidates"] = with_parts(
-    f"SELECT candidate_id, ROW_NUMBER() OVER (ORDER BY {FINAL} DESC, fitness DESC, candidate_id) AS rank, {r6(FINAL)} AS final_score FROM scores WHERE fitness > -1.0")
+    f"SELECT candidate_id, ROW_NUMBER() OVER (ORDER BY {FINAL} DESC, fitness DESC, candidate_id) AS rank, {r6(FINAL)} AS final_score FROM evid WHERE fitness > -1.0")
 DOM = ("o.fitness >= s.fitness AND -o.train_drawdown >= -s.train_drawdown AND o.mc_pass_rate >= s.mc_pass_rate AND o.rob_ratio >= s.rob_ratio AND o.regime_score >= s.regime_score "
        "AND (o.fitness > s.fitness OR -o.train_drawdown > -s.train_drawdown OR o.mc_pass_rate > s.mc_pass_rate OR o.rob_ratio > s.rob_ratio OR o.regime_score > s.regime_score)")
 SQL["pareto_front"] = with_parts(
-    f"SELECT candidate_id, {r6('fitness')} AS fitness FROM scores s WHERE NOT EXISTS (SELECT 1 FROM scores o WHERE o.candidate_id <> s.candidate_id AND {DOM})")
+    f"SELECT candidate_id, {r6('fitness')} AS fitness FROM evid s WHERE NOT EXISTS (SELECT 1 FROM evid o WHERE o.candidate_id <> s.candidate_id AND {DOM})")
 SQL["part_pareto"] = with_parts(
     "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT l_quantity, l_extendedprice, l_discount FROM lineitem) o "
     "WHERE o.l_quantity >= s.l_quantity AND o.l_extendedprice <= s.l_extendedprice AND o.l_discount >= s.l_discount "
@@ -86,8 +85,8 @@ _elig = "why = '' AND wf_passed AND {dd} <= 0.05 AND rob_ratio >= 0.9"
 SQL["selection_eligible"] = with_parts(
     f"SELECT candidate_id, {_elig.format(dd='train_drawdown')} AS eligible, {_elig.format(dd='ABS(train_drawdown)')} AS eligible_by_size FROM gated_sc")
 SQL["selected_population"] = with_parts(
-    "SELECT candidate_id, tier FROM (SELECT *, CAST(CASE WHEN EXISTS (SELECT 1 FROM scores o WHERE o.fitness > -3 AND o.candidate_id <> s.candidate_id AND " + DOM + ") THEN 1 ELSE 0 END AS BIGINT) AS tier "
-    "FROM scores s WHERE fitness > -3) ORDER BY tier, fitness DESC, mc_pass_rate DESC, rob_ratio DESC, regime_score DESC, candidate_id DESC LIMIT 60")
+    "SELECT candidate_id, tier FROM (SELECT *, CAST(CASE WHEN EXISTS (SELECT 1 FROM evid o WHERE o.candidate_id <> s.candidate_id AND " + DOM + ") THEN 1 ELSE 0 END AS BIGINT) AS tier "
+    "FROM evid s ) ORDER BY tier, fitness DESC, mc_pass_rate DESC, rob_ratio DESC, regime_score DESC, candidate_id DESC LIMIT 60")
 
 # one round gives every spec one partner
 SQL["crossover_children"] = with_parts(
