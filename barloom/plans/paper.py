@@ -157,14 +157,14 @@ def payload_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 def dataset_identity(spark: SparkSession, sf: str) -> DataFrame:
     d = identity.dataset_identity(src.bars_priority(spark, sf))
-    return d.select("symbol", "rows", stamp("start").alias("start"), stamp("end").alias("end"), (F.length("version") == 16).alias("has_version"))
+    return d.select("symbol", "rows", stamp("start").alias("start"), stamp("end").alias("end"), "version")
 
 
 def bundle_identity(spark: SparkSession, sf: str) -> DataFrame:
     b = identity.bundle_identity(
         identity.dataset_identity(src.bars_supplier(spark, sf)), "suppliers", source="lineitem", timeframe="1d"
     )
-    return b.select("dataset_id", "rows", F.col("symbols").alias("symbols"), stamp("start").alias("start"), stamp("end").alias("end"))
+    return b.select("dataset_id", "version", "rows", F.col("symbols").alias("symbols"), stamp("start").alias("start"), stamp("end").alias("end"))
 
 
 def tamper_test(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.columns import digest_of, digest_parts
 from barloom.operators import gates, ranking
 from barloom.operators import research as rs
 from barloom.operators.specs import demo_records, spec_table
@@ -144,10 +145,11 @@ def provenance_digests(spark: SparkSession, sf: str) -> DataFrame:
     e, s = generations(spark, sf)
     first = s.dropDuplicates(["strategy_id"]).drop("generation")
     p = rs.generation_provenance(e, first, ["fitness", "selected", "promotion_eligible"], seed=3)
-    return p.groupBy("generation").agg(
+    digests = p.groupBy("generation").agg(
         F.count(F.lit(1)).alias("records"), F.count_distinct("evaluation_digest").alias("evaluations"),
-        F.bool_and(F.length("genome_digest") == 64).alias("full_length"),
+        *digest_parts(["strategy_id", "genome_digest", "evaluation_digest"]),
     )
+    return digests.select("generation", "records", "evaluations", digest_of("records").alias("digest"))
 
 
 def robustness_review(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import first_reason
+from barloom.functions.columns import digest_of, digest_parts, first_reason
 from barloom.sources.bars import clip_range
 
 BAR_STRUCT = "struct<timestamp:string,open:double,high:double,low:double,close:double,volume:double>"
@@ -145,17 +145,13 @@ def envelope(df: DataFrame, source: str, dataset: str, payload: Column, fetched_
 def snapshot_manifest(envelopes: DataFrame, group: str) -> DataFrame:
     """SRC12: one fingerprint per snapshot over the distinct fingerprints of its components.
 
-    Sums and xors of hashes do not depend on order, so a snapshot of any size is a plain aggregate.
+    The digest does not depend on order, so a snapshot of any size is a plain aggregate.
     """
-    h = F.xxhash64("fingerprint")
     agg = envelopes.select(group, "dataset", "fingerprint").distinct().groupBy(group).agg(
         F.count(F.lit(1)).alias("components"),
         F.sum(F.when(F.col("dataset") == "daily_ohlcv", 1).otherwise(0)).alias("markets"),
-        F.sum(h.cast("decimal(38,0)")).alias("_s"), F.bit_xor(h).alias("_x"),
+        *digest_parts(["dataset", "fingerprint"]),
+    )
+    return agg.select(
+        group, "components", "markets", digest_of("components").alias("snapshot_fingerprint"), (F.col("markets") >= 1).alias("valid"),
     )
-    return agg.withColumns(
-        {
-            "snapshot_fingerprint": F.sha2(F.concat_ws(":", "components", "_s", "_x"), 256),
-            "valid": F.col("markets") >= 1,
-        }
-    ).drop("_s", "_x")

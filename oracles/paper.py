@@ -1,7 +1,7 @@
 """SQL twins of the queries in barloom.plans.paper.  The ledger is replayed bar by bar."""
 
 from oracles.evidence import flag_parts, indicator_parts
-from oracles.parts import RUN, part, r2, r6, with_parts
+from oracles.parts import RUN, digest_of, part, r2, r6, with_parts
 
 SQL = {}
 K = "portfolio_id, strategy_id"
@@ -109,8 +109,14 @@ part("ly_p", "SELECT portfolio_id, ts, SUM(0.15E0 * r) AS p FROM ly_r GROUP BY 1
 SQL["sleeve_attribution"] = with_parts(
     f"SELECT r.portfolio_id, r.strategy_id, {r6('SUM(0.15E0 * r.r)')} AS return_contribution, {r6('0.15E0 * COVAR_SAMP(r.r, p.p) / STDDEV_SAMP(p.p) * 1000.0E0')} AS risk_permille "
     "FROM ly_r r JOIN ly_p p ON r.portfolio_id = p.portfolio_id AND r.ts = p.ts GROUP BY 1, 2")
+_BAR = "'{\"ts\":\"' || STRFTIME(ts, '%Y-%m-%dT%H:%M:%S.%g') || '\"" + "".join(f",\"{c}\":' || CAST({c} AS VARCHAR) || '" for c in ("open", "high", "low", "close", "volume")) + "}'"
+for _t in ("bars_priority", "bars_supplier"):
+    part(f"{_t}_id", f"SELECT symbol, COUNT(*) AS rows, MIN(ts) AS first_ts, MAX(ts) AS last_ts, substr({digest_of(_BAR, 'COUNT(*)')}, 1, 16) AS version FROM {_t} GROUP BY 1")
 SQL["dataset_identity"] = with_parts(
-    "SELECT symbol, COUNT(*) AS rows, STRFTIME(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, STRFTIME(MAX(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", TRUE AS has_version FROM bars_priority GROUP BY 1")
+    "SELECT symbol, rows, STRFTIME(first_ts, '%Y-%m-%d %H:%M:%S') AS start, STRFTIME(last_ts, '%Y-%m-%d %H:%M:%S') AS \"end\", version FROM bars_priority_id")
+_PAIR = "'{\"symbol\":\"' || symbol || '\",\"version\":\"' || version || '\"}'"
+_BUNDLE = digest_of(_PAIR, "'lineitem'", "'1d'", "'ohlcv.v1'", "COUNT(*)")
 SQL["bundle_identity"] = with_parts(
-    "SELECT 'suppliers' AS dataset_id, COUNT(*) AS rows, COUNT(DISTINCT symbol) AS symbols, STRFTIME(MIN(ts), '%Y-%m-%d %H:%M:%S') AS start, STRFTIME(MAX(ts), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM bars_supplier")
+    f"SELECT 'suppliers' AS dataset_id, substr({_BUNDLE}, 1, 16) AS version, CAST(SUM(rows) AS BIGINT) AS rows, COUNT(*) AS symbols, "
+    "STRFTIME(MIN(first_ts), '%Y-%m-%d %H:%M:%S') AS start, STRFTIME(MAX(last_ts), '%Y-%m-%d %H:%M:%S') AS \"end\" FROM bars_supplier_id")
 SQL["tamper_test"] = with_parts("SELECT DISTINCT symbol, symbol NOT IN ('1-URGENT', '5-LOW') AS matches FROM bars_priority")

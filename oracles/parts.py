@@ -39,6 +39,12 @@ def r2(expression: str) -> str:
     return f"(FLOOR(({expression}) * 100.0E0 + 0.4142135E0) / 100.0E0)"
 
 
+def digest_of(json: str, *head: str) -> str:
+    """Order-free digest of the rows' canonical JSON: sums of the four 60-bit parts of their SHA-256, and SHA-256 of these behind ``head``."""
+    sums = [f"CAST(SUM(CAST('0x' || substr(sha256({json}), {1 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4)]
+    return "sha256(CONCAT_WS(':', " + ", ".join([*head, *sums]) + "))"
+
+
 # --- bars -----------------------------------------------------------------
 def _bars(name: str, symbol: str, ts: str, px: str, qty: str, order: str, source: str) -> None:
     part(

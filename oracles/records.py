@@ -2,7 +2,7 @@
 
 from oracles import paper as _p  # noqa: F401
 from oracles import research as _r  # noqa: F401
-from oracles.parts import RUN, part, r2, r6, with_parts
+from oracles.parts import RUN, digest_of, part, r2, r6, with_parts
 
 SQL = {}
 STAGES = ("research", "validated", "promoted", "paper", "degraded", "retired", "replaced")
@@ -100,8 +100,12 @@ SQL["company_facts_payload"] = with_parts(
     "SELECT LPAD(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_name AS entity, 'core' AS taxonomy, 'AccountBalance' AS concept, 'USD' AS unit, s_acctbal AS val, CAST(fy AS BIGINT) AS fy FROM supplier, (VALUES (1998), (1999)) t(fy)")
 SQL["news_payload"] = with_parts(
     "SELECT conv_id || '-' || page AS feed_id, rn - 1 AS position, role || ' ' || turn AS title FROM (SELECT *, turn // 50 AS page, ROW_NUMBER() OVER (PARTITION BY conv_id, turn // 50 ORDER BY turn, role) AS rn FROM conversations) WHERE rn <= 2")
+part("snap",
+     "SELECT s_nationkey AS nation, 'daily_ohlcv' AS dataset, sha256('supplier|daily_ohlcv|{\"group_key\":' || s_nationkey || ',\"s_suppkey\":' || s_suppkey || '}') AS fp FROM supplier "
+     "UNION SELECT n_nationkey, 'series', sha256('nation|series|{\"group_key\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}') FROM nation")
+_COMPONENT = "'{\"dataset\":\"' || dataset || '\",\"fingerprint\":\"' || fp || '\"}'"
 SQL["snapshot_manifests"] = with_parts(
-    "SELECT CAST(n_nationkey AS VARCHAR) AS nation, 1 + COUNT(s_suppkey) AS components, COUNT(s_suppkey) > 0 AS valid, TRUE AS has_fingerprint FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+    f"SELECT CAST(nation AS VARCHAR) AS nation, COUNT(*) AS components, COUNT(*) FILTER (WHERE dataset = 'daily_ohlcv') > 0 AS valid, {digest_of(_COMPONENT, 'COUNT(*)')} AS snapshot_fingerprint FROM snap GROUP BY 1")
 SQL["provenance_assertions"] = with_parts(
     "SELECT c_custkey AS key, 'source does not match the declared value' AS reason FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 10 = 1 AND c_mktsegment <> 'FURNITURE' UNION ALL "
     "SELECT DISTINCT o_custkey + 3, 'unknown dataset version' FROM orders WHERE o_custkey + 3 NOT IN (SELECT c_custkey FROM customer)")

@@ -5,7 +5,7 @@ import json
 from barloom.operators.specs import demo_records
 from barloom.sources.schemas import SPEC_FIELDS
 from oracles import selection as _s
-from oracles.parts import part, r6, with_parts
+from oracles.parts import digest_of, part, r6, with_parts
 
 SQL = {}
 CL = "LEAST(1.0E0, GREATEST(0.0E0, {}))"
@@ -88,8 +88,17 @@ SQL["operator_summary"] = with_parts(
     "SELECT (SELECT COUNT(*) FROM gated_sc) AS experiment_count, CAST(0 AS BIGINT) AS ranked_experiment_count, (SELECT COUNT(*) FROM gated_sc WHERE why = '') AS promotion_eligible_count, "
     "(SELECT COUNT(*) FROM orders) AS cycle_count, (SELECT CAST(MAX(o_orderkey) AS VARCHAR) FROM orders) AS latest_cycle_id, (SELECT MAX(o_orderkey) FROM orders) AS latest_generation, "
     "(SELECT MAX(o_orderkey) + 1 FROM orders WHERE o_orderstatus = 'F') AS checkpoint_generation, TRUE AS checkpoint_present")
+_SIDE = ("{{\"all\":[{{\"left\":\"fast\",\"comparator\":\"{op}\",' || CASE WHEN kind = 'rsi' THEN '\"right_num\":' || CAST(level_or AS VARCHAR) || ',\"right_ref\":null' "
+         "ELSE '\"right_num\":null,\"right_ref\":\"slow\"' END || '}}],\"any\":[]}}")
+_GENOME = ("'{\"entry\":" + _SIDE.format(op=">") + ",\"exit\":" + _SIDE.format(op="<") + ",\"indicators\":[{\"name\":\"fast\",\"kind\":\"' || kind || '\",\"source\":\"close\",\"period\":' || fast || '}' || "
+           "CASE WHEN kind = 'rsi' THEN '' ELSE ',{\"name\":\"slow\",\"kind\":\"sma\",\"source\":\"close\",\"period\":' || slow_or || '}' END || '],\"metadata\":{},\"name\":\"' || name || "
+           "'\",\"position_sizing\":{\"method\":\"fixed_fraction\",\"value\":0.25,\"max_position\":' || CAST(cap AS VARCHAR) || '},\"risk\":{\"max_leverage\":1.0,\"max_position\":' || CAST(g_risk AS VARCHAR) || "
+           "',\"stop_loss\":null,\"max_drawdown\":null},\"side\":\"long\",\"timeframe\":\"1d\",\"universe\":[\"' || universe || '\"],\"version\":' || version || '}'")
+_VERDICT = "'{\"fitness\":' || CAST(fitness AS VARCHAR) || ',\"promotion_eligible\":' || (fitness > 0.9) || ',\"selected\":' || (fitness > 0) || '}'"
+part("prov", f"SELECT generation, sid, sha256({_GENOME}) AS gd, sha256({_VERDICT}) AS ed FROM gen_e")
+_RECORD = "'{\"strategy_id\":\"' || sid || '\",\"genome_digest\":\"' || gd || '\",\"evaluation_digest\":\"' || ed || '\"}'"
 SQL["provenance_digests"] = with_parts(
-    "SELECT generation, COUNT(*) AS records, COUNT(DISTINCT fitness) AS evaluations, TRUE AS full_length FROM gen_e GROUP BY 1")
+    f"SELECT generation, COUNT(*) AS records, COUNT(DISTINCT ed) AS evaluations, {digest_of(_RECORD, 'COUNT(*)')} AS digest FROM prov GROUP BY 1")
 part("rev",
      "SELECT strategy_id, CONCAT_WS('; ', CASE WHEN symbol LIKE '%4' THEN 'provenance strategy_id does not match candidate' END, CASE WHEN symbol LIKE '%5' THEN 'provenance genome digest does not match candidate' END, "
      "CASE WHEN symbol LIKE '%4' OR LENGTH(symbol) = 1 THEN 'research scheduler has not authorized robustness review' END, CASE WHEN NOT wf_passed THEN 'candidate validation did not pass' END, "
