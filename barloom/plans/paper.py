@@ -129,9 +129,8 @@ def tampered_replay(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(G, "valid", "error")
 
 
-def run_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """LG12: stored commitments checked against recomputed ones; one run's ledger is altered."""
-    p = audited(spark, sf, None)
+def verified_runs(p: dict[str, DataFrame]) -> DataFrame:
+    """LG12 for the audited tables: stored commitments against recomputed ones; the ledger of the run ``view`` is altered."""
     m = p["manifest"].select(G, "event_count", "ledger_fingerprint")
     base = m.select(
         G, "event_count", F.when(F.col(G) == "view", F.lit("0" * 16)).otherwise(F.col("ledger_fingerprint")).alias("ledger_fingerprint"),
@@ -139,9 +138,11 @@ def run_verification(spark: SparkSession, sf: str) -> DataFrame:
     )
     stored = ledger.run_identity(base)
     stored = stored.withColumns({"expected_run_id": F.col("run_id"), "expected_fingerprint": F.col("execution_fingerprint")})
-    v = ledger.verify_runs(
-        stored, p["manifest"], ledger.replay(p["events"], p["cash"], p["finals"]), ledger.fill_reasons(p["events"])
-    )
+    return ledger.verify_runs(stored, p["manifest"], ledger.replay(p["events"], p["cash"], p["finals"]), ledger.fill_reasons(p["events"]))
+
+
+def run_verification(spark: SparkSession, sf: str) -> DataFrame:
+    v = verified_runs(audited(spark, sf, None))
     return v.select(G, "event_count", "valid", "reason")
 
 

@@ -169,7 +169,7 @@ def run_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "audit": p["events"].select(key, F.concat(F.lit("run-"), G).alias("run_id"), "action"),
         "fills": cut(ledger.fill_reasons(p["events"])).select(key, "reason", "decision_id"),
         "manifests": runs.select("run_id", "ledger_fingerprint"),
-        "verifications": runs.select("run_id", F.lit(True).alias("valid")),
+        "verifications": cut(paper_plan.verified_runs(p)).select(F.concat(F.lit("run-"), G).alias("run_id"), "valid", "reason"),
     }
 
 
@@ -206,10 +206,10 @@ def graph_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def certificates(spark: SparkSession, sf: str) -> DataFrame:
-    """GR6: certify the runs, change one stored field of one certificate, and re-check all."""
+    """GR6: certify the runs whose verification holds, change one stored field of one certificate, and re-check all."""
     t = run_tables(spark, sf)
-    verified = t["manifests"].join(t["runs"], "run_id").select(
-        "run_id", F.lit(True).alias("valid"), F.lit(None).cast("string").alias("reason"), "event_count", "ledger_fingerprint",
+    verified = t["manifests"].join(t["runs"], "run_id").join(t["verifications"], "run_id").select(
+        "run_id", "valid", "reason", "event_count", "ledger_fingerprint",
         F.lit("v1").alias("dataset_version"), F.lit("b1").alias("data_bundle_version"), F.sha2("run_id", 256).alias("execution_fingerprint"),
     )
     parts = {

@@ -74,7 +74,7 @@ part("gp2",
      "WHEN promo AND NOT mem THEN 'eligible experiment not represented by portfolio member' WHEN NOT promo AND mem THEN 'ineligible experiment selected into portfolio' END AS problem FROM gp")
 SQL["graph_problems"] = with_parts("SELECT problem, COUNT(*) AS experiments FROM gp2 WHERE problem IS NOT NULL GROUP BY 1")
 SQL["certificates"] = with_parts(
-    "SELECT 'run-' || portfolio_id AS run_id, portfolio_id NOT IN ('click', 'error') AS valid, CASE portfolio_id WHEN 'error' THEN 'certificate is not marked verified' WHEN 'click' THEN 'certificate_id does not match certificate contents' END AS reason FROM ports")
+    "SELECT 'run-' || portfolio_id AS run_id, portfolio_id NOT IN ('click', 'error') AS valid, CASE portfolio_id WHEN 'error' THEN 'certificate is not marked verified' WHEN 'click' THEN 'certificate_id does not match certificate contents' END AS reason FROM ports WHERE portfolio_id <> 'view'")
 
 SQL["append_once"] = with_parts(
     "SELECT 'appended' AS what, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'conflicts', COUNT(*) FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice <> 0")
