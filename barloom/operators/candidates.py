@@ -16,6 +16,8 @@ CAND = list(ev.CANDIDATE)
 
 def moves(bars: DataFrame, signals: ev.Signals) -> DataFrame:
     """Whole-series positions of every candidate."""
+    if isinstance(signals, ev.Compiled):
+        return signals.runs(bars, ("symbol",), equity=False)
     return bt.with_moves(ev.held(signals(bars, ("symbol",)), CAND), CAND)
 
 
