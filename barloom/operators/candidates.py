@@ -32,7 +32,9 @@ def evidence(
     here is one row per candidate.
     """
     windows = splits.default_windows(bars)
-    runs = cut(ev.segment_runs(windows, signals))
+    runs = ev.segment_runs(windows, signals)
+    # Only what the branches read is written.
+    runs = cut(runs.select(*ev.RUN, "ts", "close", "prev_close", "max_position", "target", "prev_target", "net_ret", "equity", "drawdown"))
     oos = ev.oos_rows(runs, overlapping=False)
     wf = ev.walk_forward(runs, overlapping=False)
     mc = ev.bootstrap(ev.oos_trades(runs), simulations=simulations, seed=seed)

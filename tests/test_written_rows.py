@@ -1,11 +1,14 @@
 """What the plans write and copy grows with their results, not with their rows times the strategies."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import evaluation as ev
 from barloom.operators import portfolio as pf
+from barloom.operators import ranking
 from barloom.operators.specs import demo_records
 from barloom.plans import fixtures as fx
 from barloom.plans import portfolios
@@ -75,3 +78,29 @@ def test_specs_side_by_side_are_those_one_by_one(spark):
         for c in columns[3:]:
             assert x[c] == b[key][c] or np.isclose(x[c], b[key][c], rtol=1e-12)
     assert "Exchange hashpartitioning(strategy_id" not in side._jdf.queryExecution().executedPlan().toString()
+
+
+def test_front_reads_one_vector_for_equal_rest(spark, monkeypatch):
+    rows = [(str(i), float(i % 5), float(i % 7), i * 0.5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, c double")
+    written = []
+    real = ranking.cut
+    # Every vector that comes out of the aggregate passes through the local step.
+    monkeypatch.setattr(ranking, "_dominated", lambda points, by: np.zeros(len(points), bool))
+    monkeypatch.setattr(ranking, "cut", lambda d: written.append(d.count()) or real(d))
+    ranking.pareto_front(df, ["a", "b", "c"])
+    assert written[0] <= 35
+
+
+def test_bootstrap_matches_a_loop(spark):
+    rets = {"A": [0.1, -0.05, 0.02, -0.01, 0.03], "B": [-0.02, 0.04]}
+    rows = [("s", k, 0, i, r) for k, v in rets.items() for i, r in enumerate(v)]
+    t = spark.createDataFrame(rows, "strategy_id string, symbol string, window_id int, trade_id bigint, trade_return double")
+    mc = ev.bootstrap(t, simulations=50, seed=9)
+    # No row for a path: one row for each candidate leaves the trades.
+    assert "Generate" not in mc._jdf.queryExecution().executedPlan().toString()
+    for x in mc.collect():
+        own = rets[x.symbol]
+        paths = [np.prod([1 + own[int(hashlib.md5(f"9:{k}:{d}".encode()).hexdigest()[:8], 16) % len(own)] for d in range(len(own))]) - 1 for k in range(50)]
+        assert x.mc_simulations == 50 and x.mc_median == pytest.approx(np.percentile(paths, 50)) and x.mc_lower == pytest.approx(np.percentile(paths, 5))
+        assert x.mc_worst == pytest.approx(min(paths)) and x.mc_pass_rate == pytest.approx(np.mean(np.array(paths) >= 0))
