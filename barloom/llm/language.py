@@ -23,15 +23,13 @@ GRAMS = 4
 # Length of a language's profile, and of a document's list.
 PROFILE = 600
 TOP = 300
-# Documents of a language that its profile is learned from, about; which ones is decided by a hash of the id.
-SAMPLE = 1500
 UNKNOWN = "und"
 # Steepness of the score: mean places out of place, as a share of PROFILE, are weighed by exp(-STEEP x share).
 STEEP = 40.0
 PIECE = 1 << 20
 # A text may be as far from its profile (share of PROFILE) as the farthest but one in a hundred of the labelled documents outside the
 # learned part, at full length or cut to CUT words, and MARGIN more; one of under SHORT grams may be RELAXED farther.
-CALIBRATE, CUT, QUANTILE, MARGIN = 500, 32, 0.99, 0.1
+CUT, QUANTILE, MARGIN = 32, 0.99, 0.1
 SHORT, RELAXED = 60, 0.15
 # A language with fewer such documents is not calibrated; its texts may be this far.
 FEWEST, LOOSE = 30, 0.75
@@ -147,36 +145,40 @@ def remainder(id_col: Column) -> Column:
 
 
 def gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of each language in a batch."""
+    """Counts of the grams of each language, for about PIECE characters of it at a time."""
+
+    def counts_of(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+        points, grams, found = np.concatenate(parts), [], []
+        for size in range(1, GRAMS + 1):
+            starts, codes = gram_codes(points, size)
+            _, first, counts = np.unique(codes, return_index=True, return_counts=True)
+            grams += ["".join(chr(c) if c else " " for c in points[at : at + size].tolist()) for at in starts[first].tolist()]
+            found += counts.tolist()
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(found, pa.int64())], names=["lang", "gram", "n"])
+
+    held: dict[str, list[np.ndarray]] = {}
+    size_of: dict[str, int] = {}
     for batch in batches:
-        out: dict[str, list] = {"lang": [], "gram": [], "n": []}
-        texts: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(spelled(text or ""))
-        for lang, parts in texts.items():
-            points = np.concatenate(parts)
-            for size in range(1, GRAMS + 1):
-                starts, codes = gram_codes(points, size)
-                _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-                for at, n in zip(starts[first].tolist(), counts.tolist(), strict=True):
-                    out["lang"].append(lang)
-                    out["gram"].append("".join(chr(c) if c else " " for c in points[at : at + size].tolist()))
-                    out["n"].append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["gram"], pa.string()), pa.array(out["n"], pa.int64())], names=list(out))
-
-
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``lang, gram, rank``: the profile of every language, from about ``sample`` of its documents outside the held-out part.
+            points = spelled(text or "")
+            held.setdefault(lang, []).append(points)
+            size_of[lang] = size_of.get(lang, 0) + len(points)
+            if size_of[lang] >= PIECE:
+                yield counts_of(lang, held.pop(lang))
+                size_of[lang] = 0
+    for lang, parts in held.items():
+        yield counts_of(lang, parts)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``lang, gram, rank``: the profile of every language, from all of its documents outside the held-out part.
 
     A space stands for a word's end.  Documents without text or language are not learned from.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # One row for each language; the texts are not shuffled for it.
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(sizes, "lang").where(draw < F.lit(float(sample)) / F.col("total")).select("lang", "text")
-    counts = picked.mapInArrow(gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # Counts of a batch, then of a task, then of all: the texts are not shuffled.
+    counts = rows.select("lang", "text").mapInArrow(gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank")
 
@@ -189,13 +191,10 @@ def profiles(learned: DataFrame) -> Profiles:
     return Profiles.of(lists)
 
 
-def limits(docs: DataFrame, known: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = CALIBRATE) -> dict[str, float]:
-    """How far a text of each language may be from its profile, from about ``sample`` labelled documents outside the learned part."""
+def limits(docs: DataFrame, known: Profiles, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """How far a text of each language may be from its profile, from all labelled documents outside the learned part."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where((remainder(F.col("id")) == 2) & F.col("lang").isin(*known.names) & F.col("text").isNotNull())
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("total")))
-    draw = F.pmod(F.xxhash64(F.lit("limits"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(sizes, "lang").where(draw < F.lit(float(sample)) / F.col("total")).select("lang", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +204,9 @@ def limits(docs: DataFrame, known: Profiles, id_col: str = "doc_id", text_col: s
                 out += [(lang, max(float(f[known.names.index(lang)]) / PROFILE for f in found if f is not None))] if found[0] is not None else []
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["lang", "far"])
 
-    # One row for each language.
-    found = picked.mapInArrow(read, "lang string, far double").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile("far", F.lit(QUANTILE)).alias("far"))
+    # Distances are means of whole numbers over at most TOP grams, so their values are few, however many documents there are.
+    values = rows.select("lang", "text").mapInArrow(read, "lang string, far double").groupBy("lang", "far").agg(F.count(F.lit(1)).alias("n"))
+    found = values.groupBy("lang").agg(F.sum("n").alias("n"), F.percentile("far", F.lit(QUANTILE), F.col("n")).alias("far"))
     near = {r["lang"]: r["far"] + MARGIN for r in found.collect() if r["n"] >= FEWEST}
     return {name: min(near.get(name, LOOSE), LOOSE) for name in known.names}
 
