@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import content_id, digest_of, digest_parts, first_reason, reasons
+from barloom.functions.scale import global_rank
 from barloom.session import cut
 
 
@@ -32,26 +33,82 @@ def parent_edges(lineage: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """GR2: every (strategy, ancestor) pair with its distance ``depth``, for all strategies or from ``roots`` only.
 
-    Paths are doubled: a pair farther than 2**k and at most 2**(k + 1) apart is one of exactly 2**k followed by one already
-    known.  So the rounds grow with the logarithm of the depth, each writes its new pairs only, and what it reads is at most
-    what all rounds have found.  A cycle ends the loop, as its pairs are known at their least distance.
-    From a few roots the pairs of all the others would be waste: there only the frontier of the roots moves, a level to a round.
+    From a few roots the sets of all the others would be waste: there only the frontier of the roots moves, a level to a round.
     """
-    e = cut(edges.select(F.col("strategy_id").alias("child"), F.col("parent_id").alias("up")).distinct())
     if roots is not None:
-        return _frontier(e, roots)
-    pair = ["strategy_id", "ancestor_id"]
-    found = e.select(F.col("child").alias("strategy_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth"))
+        return _frontier(cut(_child_up(edges)), roots)
+    sets, names, bits = _ancestor_sets(edges)
+    code = F.col("code")
+    pairs = sets.select("child", F.explode("codes").alias("code")).select(
+        "child", F.shiftright(code, bits).alias("up"), _depth(code, bits).alias("depth")
+    )
+    strategy = names.select(F.col("number").alias("child"), F.col("name").alias("strategy_id"))
+    ancestor = names.select(F.col("number").alias("up"), F.col("name").alias("ancestor_id"))
+    return pairs.join(strategy, "child", "left").join(ancestor, "up", "left").select("strategy_id", "ancestor_id", "depth")
+
+
+def ancestor_counts(edges: DataFrame) -> DataFrame:
+    """Number of ancestors and the distance ``farthest`` to the last of them for each strategy, from the sets behind ``closure``."""
+    sets, names, bits = _ancestor_sets(edges)
+    counts = sets.select(
+        "child", F.size("codes").cast("bigint").alias("ancestors"),
+        F.array_max(F.transform("codes", lambda c: _depth(c, bits))).cast("bigint").alias("farthest"),
+    )
+    strategy = names.select(F.col("number").alias("child"), F.col("name").alias("strategy_id"))
+    return counts.join(strategy, "child", "left").select("strategy_id", "ancestors", "farthest")
+
+
+def _child_up(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("strategy_id").alias("child"), F.col("parent_id").alias("up")).distinct()
+
+
+def _depth(code: Column, bits: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+# Bits of the depth in a code of 32 bits, until a path is longer.
+SHORT = 6
+
+
+def _ancestor_sets(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """One row (child, codes) for each strategy, the names of the numbers, and the bits of the depth in a code.
+
+    Strategies are numbered, and an ancestor at its least distance is one code, number * 2**bits + depth.  So the ancestors of a
+    strategy move as one sorted array of numbers and not as rows with two names.
+
+    Paths are doubled: an ancestor farther than 2**k and at most 2**(k + 1) away is one at most 2**k away from an ancestor at
+    exactly 2**k.  So the rounds grow with the logarithm of the depth.  A cycle ends the loop, as its pairs are known at
+    their least distance.  The edges are read twice.
+    """
+    e = _child_up(edges)
+    ends = e.select(F.explode(F.array("child", "up")).alias("name")).where(F.col("name").isNotNull()).distinct()
+    names = global_rank(ends, [F.col("name")], "number")
+    n = names.count()
+    bits, kind = (SHORT, "int") if n < 1 << (31 - SHORT) else (n.bit_length(), "bigint")
+    # A null child is number 0 and a null parent -1: they count, but nothing follows from them.
+    numbered = e.join(names.select(F.col("name").alias("child"), F.col("number").alias("c")), "child", "left").join(
+        names.select(F.col("name").alias("up"), F.col("number").alias("u")), "up", "left"
+    ).select(F.coalesce("c", F.lit(0)).cast(kind).alias("child"), F.coalesce("u", F.lit(-1)).cast(kind).alias("up"))
+    sets = cut(numbered.groupBy("child").agg(F.collect_list((F.shiftleft("up", bits) + 1).cast(kind)).alias("codes")))
     reach = 1
     while True:
-        far = found.where(F.col("depth") == reach).select("strategy_id", F.col("ancestor_id").alias("via"))
-        near = found.select(F.col("strategy_id").alias("via"), "ancestor_id", "depth")
-        step = far.join(near, "via").groupBy(*pair).agg((F.min("depth") + reach).alias("depth"))
-        fresh = cut(step.join(found, pair, "left_anti"))
-        found, reach = found.unionByName(fresh), 2 * reach
-        # Without a pair of exactly this distance there is none beyond.
-        if fresh.where(F.col("depth") == reach).isEmpty():
-            return found
+        if 2 * reach >= 1 << bits:
+            # No path is longer than the number of strategies.
+            wide = max(n.bit_length(), bits + 1)
+            sets = sets.select(F.col("child").cast("bigint").alias("child"), F.transform(
+                "codes", lambda c: F.shiftleft(F.shiftright(c, bits).cast("bigint"), wide) + _depth(c, bits)
+            ).alias("codes"))
+            bits, kind = wide, "bigint"
+        far = sets.select("child", F.explode(F.filter("codes", lambda c: _depth(c, bits) == reach)).alias("code"))
+        near = sets.select(F.col("child").alias("via"), F.transform("codes", lambda c: c + F.lit(reach).cast(kind)).alias("codes"))
+        step = far.select("child", F.shiftright("code", bits).alias("via")).join(near, "via").select("child", "codes")
+        merged = step.unionByName(sets).groupBy("child").agg(F.sort_array(F.flatten(F.collect_list("codes"))).alias("codes"))
+        # The first code of an ancestor has its least depth.
+        first = F.filter("codes", lambda c, i: (i == 0) | (F.shiftright(c, bits) != F.shiftright(F.get("codes", i - 1), bits)))
+        sets, reach = cut(merged.select("child", first.alias("codes"))), 2 * reach
+        # Without an ancestor at exactly this distance there is none beyond.
+        if sets.where(F.exists("codes", lambda c: _depth(c, bits) == reach)).isEmpty():
+            return sets, names, bits
 
 
 def _frontier(e: DataFrame, roots: DataFrame) -> DataFrame:

@@ -130,8 +130,7 @@ def lineage_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lineage_closure(spark: SparkSession, sf: str) -> DataFrame:
-    c = lineage.closure(lineage.parent_edges(part_lineage(spark, sf)))
-    return c.groupBy("strategy_id").agg(F.count(F.lit(1)).alias("ancestors"), F.max("depth").cast("bigint").alias("farthest"))
+    return lineage.ancestor_counts(lineage.parent_edges(part_lineage(spark, sf)))
 
 
 def lineage_cycles(spark: SparkSession, sf: str) -> DataFrame:

@@ -150,6 +150,39 @@ def test_closure_doubles_paths(spark, monkeypatch):
     assert lineage.closure(spark.createDataFrame([], "strategy_id string, parent_id string")).count() == 0
 
 
+def test_closure_moves_one_row_for_a_strategy(spark, monkeypatch):
+    """The ancestors of a strategy are one row of every round, not a row each; a null parent counts and leads nowhere."""
+    edges = [(str(k), str(p)) for k in range(1, 400) for p in {k // 2, k // 3}] + [("7", None), (None, "5")]
+    up = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+    expected = {}
+    for a in up:
+        level, depth, seen = {a}, 0, {}
+        while level:
+            depth += 1
+            level = {c for b in level if b is not None or depth == 1 for c in up.get(b, ()) if c not in seen}
+            seen |= {c: depth for c in level}
+        expected[a] = seen
+    rows = []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "cut", counted)
+    e = spark.createDataFrame(edges, "strategy_id string, parent_id string")
+    got = {}
+    for r in lineage.closure(e).collect():
+        assert r.ancestor_id not in got.setdefault(r.strategy_id, {})
+        got[r.strategy_id][r.ancestor_id] = r.depth
+    assert got == expected
+    assert max(rows) <= len(up)
+    counts = {r.strategy_id: (r.ancestors, r.farthest) for r in lineage.ancestor_counts(e).collect()}
+    assert counts == {a: (len(x), max(x.values())) for a, x in expected.items()}
+
+
 def test_closure_with_cycle(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("a", "d"), ("e", "d")], "strategy_id string, parent_id string")
     c = lineage.closure(e)
