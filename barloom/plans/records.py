@@ -137,7 +137,7 @@ def lineage_cycles(spark: SparkSession, sf: str) -> DataFrame:
     """GR3: an edge from 1 back to 40 closes cycles through the ancestors of 40."""
     e = lineage.parent_edges(part_lineage(spark, sf))
     back = e.where(F.col("strategy_id") == "1").select("strategy_id", F.lit("40").alias("parent_id"))
-    return lineage.cycles(lineage.closure(e.unionByName(back).distinct()))
+    return lineage.cycles(lineage.closure(lineage.cyclic_core(e.unionByName(back))))
 
 
 def missing_parents(spark: SparkSession, sf: str) -> DataFrame:
