@@ -179,6 +179,23 @@ def test_quality_rules(spark):
         quality.require_valid(good.limit(0))
 
 
+def test_supplier_series_lie_in_bounded_tasks(spark, monkeypatch):
+    """Tasks follow the number of bars, not their compressed bytes, and the windows add no exchange of their own."""
+    from barloom.plans import evidence as plans
+    from barloom.sources import bars as source
+
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(source, "TASK_ROWS", 2000)
+    rows = source.bars_supplier(spark, sf).groupBy(F.spark_partition_id().alias("task"), "symbol").count().collect()
+    tasks = {}
+    for r in rows:
+        tasks[r.task] = tasks.get(r.task, 0) + r["count"]
+    assert len({r.symbol for r in rows}) == len(rows)
+    assert len(tasks) >= 20 and max(tasks.values()) <= 3 * 2000
+    plan = plans.discovery(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan
+
+
 def test_discovery_uses_the_entry_flag_alone(spark):
     rec = spec("always", [], [("close", ">", 0.0)], [("close", ">", 0.0)])
     d = ev.discovery(bars(spark, {"A": [100.0, 110.0, 121.0]}), ev.compiled([rec])).first()
