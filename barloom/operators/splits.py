@@ -72,18 +72,23 @@ def walk_forward_windows(
     return _windows(df, F.lit(train), F.lit(validation), F.lit(test), F.lit(step or 1)).drop("i", "n")
 
 
-def default_windows(bars: DataFrame, keys: Sequence[str] = SYMBOL) -> DataFrame:
-    """SP7: the single 60/20/20 window per series; series that are too short drop out."""
+def default_segments(bars: DataFrame, keys: Sequence[str] = SYMBOL) -> DataFrame:
+    """SP7 labels: position, series length and ``segment`` of the single 60/20/20 window; null in series that are too short."""
     df = with_position(bars, keys)
     train = F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(0.6)))
     validation = F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(0.2)))
     test = F.col("n") - train - validation
-    df = df.where((F.col("n") >= 10) & (test >= 2))
     segment = F.when(F.col("i") < train, "train").when(F.col("i") < train + validation, "validation").otherwise("test")
+    return df.withColumn("segment", F.when((F.col("n") >= 10) & (test >= 2), segment))
+
+
+def default_windows(bars: DataFrame, keys: Sequence[str] = SYMBOL) -> DataFrame:
+    """SP7: the single 60/20/20 window per series; series that are too short drop out."""
+    df = default_segments(bars, keys).where(F.col("segment").isNotNull())
     # always 0, but not a constant: a literal key would be folded out of the later window
     # partitioning and cost a second shuffle
     window = F.floor(F.col("i") / F.col("n")).cast("int")
-    return df.withColumns({"window_id": window, "segment": segment}).drop("i", "n")
+    return df.select(*bars.columns, window.alias("window_id"), "segment")
 
 
 def fold_rows(
