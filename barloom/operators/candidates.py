@@ -66,7 +66,7 @@ def listed_figures(bars: DataFrame, signals: ev.Compiled, *, seed: int, simulati
     """The same for a short list of specs, from wide rows that are folded to one row per series before a spec gets rows of its own.
 
     The training part comes first, so its runs are the beginning of the whole series' runs: only the validation and the test
-    part are back-tested apart.  Of the rows of bars only those of the test part are written, once for metrics and trades.
+    part are back-tested apart.  The narrow bars are written once, and of the back-test rows only those of the test part.
     """
     every, rates = range(len(signals.names)), bt.scenario_rates()
     read = rules.used_columns(signals.records)
