@@ -31,7 +31,7 @@ def test_attribution_from_pairs_is_that_from_returns(spark, limits):
         assert [x[c] for c in FIGURES] == pytest.approx([plain[key][c] for c in FIGURES], rel=1e-9, abs=1e-15)
 
 
-@pytest.mark.parametrize("name", ["portfolio_health"])
+@pytest.mark.parametrize("name", ["attribution", "portfolio_health"])
 def test_queries_write_no_returns(spark, monkeypatch, name):
     written = []
     for module in (fx, pf):
